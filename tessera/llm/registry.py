@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, tokens, topk
+from tessera.llm import mixing, quality, tokens, topk
 from tessera.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -32,6 +36,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tokens": op2_tokens,
+    "op7_quality": op7_quality,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
 }
