@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, quality, tokens, topk
+from tessera.llm import decontaminate, mixing, quality, secrets, tokens, topk
 from tessera.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.trained_on(docs))
+    base, every = (secrets.joined_spans(F.col(c)) for c in ("base_spans", "spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), "n_markov")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
@@ -41,6 +48,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tokens": op2_tokens,
+    "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
