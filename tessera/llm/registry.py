@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, mixing, quality, secrets, substrings, tokens, topk
+from tessera.llm import decontaminate, jaccard, mixing, quality, secrets, substrings, tokens, topk
 from tessera.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, secrets.trained_on(docs))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tokens": op2_tokens,
     "op4_substrings": op4_substrings,
+    "op5_jaccard": op5_jaccard,
     "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
     "op8_topk": op8_topk,
