@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, mixing, quality, secrets, substrings, tokens, topk
+from tessera.llm import decontaminate, jaccard, mixing, perplexity, quality, secrets, substrings, tokens, topk
 from tessera.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tokens": op2_tokens,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
+    "op10_perplexity": op10_perplexity,
 }
 
 ORACLE_SQL: dict[str, str] = {
