@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import coding, colour, quantisation
+
+QUERIES = colour.QUERIES | quantisation.QUERIES | coding.QUERIES
+ORACLE_SQL = colour.ORACLE_SQL | quantisation.ORACLE_SQL | coding.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
