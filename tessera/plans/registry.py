@@ -17,10 +17,11 @@ class Registry:
         self.oracle: dict[str, str] = {}
 
     def both(self, name: str, body: str, *needs: str, duck: str | None = None, gain: int = views.GAIN) -> None:
-        """SQL over the views ``needs``, written ``{name}``; ``duck`` where DuckDB spells it otherwise."""
+        """SQL over the views ``needs``, written ``{name}``; ``duck`` where DuckDB spells it otherwise.
+        Whole-number division is written ``//``."""
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return views.select({n: views.VIEWS[n](spark, sf_dir, gain) for n in needs}, body)
+            return views.select({n: views.VIEWS[n](spark, sf_dir, gain) for n in needs}, body.replace(" // ", " div "))
 
         self.queries[name] = query
         self.oracle[name] = f"{views.duck(*needs, gain=gain)}\n{(duck or body).format(**{n: n for n in needs})}"
