@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.plans.tables import BASIS, ZIGZAG
+from tessera.plans.tables import BASIS, ZIGZAG, longs
 
 
 def map_blocks(df: DataFrame, source: str, target: str, kind: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -87,6 +87,5 @@ def quantise_value(c: Column, q: Column, bits: int = 26) -> Column:
 def quantise(blocks: DataFrame, table: list[int], bits: int = 26) -> DataFrame:
     """z: the coefficients c by the table, in zigzag order."""
     keep = [x for x in blocks.columns if x != "c"]
-    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(table[k]).cast("long").alias("q")) for k in ZIGZAG])
-    one = lambda x: quantise_value(F.get("c", x["k"]), x["q"], bits)
-    return blocks.select(*keep, F.transform(cells, one).alias("z"))
+    ordered = F.transform(longs(ZIGZAG), lambda k: F.get("c", k.cast("int")))
+    return blocks.select(*keep, F.zip_with(ordered, longs([table[k] for k in ZIGZAG]), lambda c, q: quantise_value(c, q, bits)).alias("z"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Base quantisation matrices by variant, in natural order; variant 1 is flat 16.
 ANNEX_K_LUMA = (
@@ -334,3 +335,8 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
 def frame(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """The same rows as a DataFrame; none of these tables has over 1200 rows."""
     return spark.createDataFrame(rows, columns)
+
+
+def longs(values: list[int]) -> Column:
+    """A literal array<bigint>, parsed in one step."""
+    return F.expr("array(" + ", ".join(f"{v}L" for v in values) + ")")
