@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import analysis, coding, colour, quantisation, rates
+from tessera.plans import analysis, coding, colour, quantisation, rates, scans
 
-QUERIES = colour.QUERIES | quantisation.QUERIES | coding.QUERIES | analysis.QUERIES | rates.QUERIES
-ORACLE_SQL = colour.ORACLE_SQL | quantisation.ORACLE_SQL | coding.ORACLE_SQL | analysis.ORACLE_SQL | rates.ORACLE_SQL
+QUERIES = colour.QUERIES | quantisation.QUERIES | coding.QUERIES | analysis.QUERIES | rates.QUERIES | scans.QUERIES
+ORACLE_SQL = colour.ORACLE_SQL | quantisation.ORACLE_SQL | coding.ORACLE_SQL | analysis.ORACLE_SQL | rates.ORACLE_SQL | scans.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
