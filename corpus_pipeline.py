@@ -25,12 +25,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard.jaccard_components(docs)
     losers = small(written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct(), "near-copies"))
     again = written(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id"), "near-repeats")
-    left = docs.join(losers, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    left = docs.join(losers, docs["doc_id"] == losers["copy_id"], "left_anti")
     if again.isEmpty():
         return left
     again = small(again)
-    once = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+    once = left.join(again, docs["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, docs["doc_id"] == again["again_id"], "left_anti").unionByName(once)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
