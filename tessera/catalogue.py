@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.plans import analysis, coding, colour, numeric, quantisation, rates, scans, streams
 
-from tessera.plans import analysis, coding, colour, numeric, quantisation, rates, scans
+QUERIES = colour.QUERIES | quantisation.QUERIES | coding.QUERIES | analysis.QUERIES | rates.QUERIES | scans.QUERIES | numeric.QUERIES | streams.QUERIES
+ORACLE_SQL = colour.ORACLE_SQL | quantisation.ORACLE_SQL | coding.ORACLE_SQL | analysis.ORACLE_SQL | rates.ORACLE_SQL | scans.ORACLE_SQL | numeric.ORACLE_SQL | streams.ORACLE_SQL
 
-QUERIES = colour.QUERIES | quantisation.QUERIES | coding.QUERIES | analysis.QUERIES | rates.QUERIES | scans.QUERIES | numeric.QUERIES
-ORACLE_SQL = colour.ORACLE_SQL | quantisation.ORACLE_SQL | coding.ORACLE_SQL | analysis.ORACLE_SQL | rates.ORACLE_SQL | scans.ORACLE_SQL | numeric.ORACLE_SQL
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["q_scan_bits"](spark, sf_dir)
