@@ -52,8 +52,8 @@ _R.both(
 )
 _R.rows(
     "q_strategy",
-    "SELECT strategy, q, CASE WHEN strategy IN ('mozjpeg', 'auto', 'simple') THEN 'mozjpeg' ELSE strategy END AS approach, strategy IN ('mozjpeg', 'auto', 'hybrid') AS ac_trellis, strategy IN ('mozjpeg', 'auto') AND q < 50 AS dc_trellis, (strategy IN ('mozjpeg', 'auto') AND q < 90) OR (strategy = 'hybrid' AND q < 80) AS progressive, strategy <> 'simple' AS optimise_codes, round(CASE WHEN strategy IN ('jpegli', 'hybrid') THEN (CASE WHEN q >= 90 THEN 1e0 WHEN q >= 80 THEN 0.8e0 WHEN q >= 70 THEN 0.6e0 ELSE 0.4e0 END) * (CASE WHEN strategy = 'hybrid' THEN 0.7e0 ELSE 1e0 END) ELSE 0e0 END, 6) AS aq_strength FROM {strategies} CROSS JOIN {qualities}",
-    ("strategies", "strategy string", "strategy", [(s,) for s in ("mozjpeg", "jpegli", "hybrid", "auto", "simple")]),
+    "SELECT strategy, q, CASE WHEN strategy IN ('trellis', 'auto', 'simple') THEN 'trellis' ELSE strategy END AS approach, strategy IN ('trellis', 'auto', 'hybrid') AS ac_trellis, strategy IN ('trellis', 'auto') AND q < 50 AS dc_trellis, (strategy IN ('trellis', 'auto') AND q < 90) OR (strategy = 'hybrid' AND q < 80) AS progressive, strategy <> 'simple' AS optimise_codes, round(CASE WHEN strategy IN ('adaptive', 'hybrid') THEN (CASE WHEN q >= 90 THEN 1e0 WHEN q >= 80 THEN 0.8e0 WHEN q >= 70 THEN 0.6e0 ELSE 0.4e0 END) * (CASE WHEN strategy = 'hybrid' THEN 0.7e0 ELSE 1e0 END) ELSE 0e0 END, 6) AS aq_strength FROM {strategies} CROSS JOIN {qualities}",
+    ("strategies", "strategy string", "strategy", [(s,) for s in ("trellis", "adaptive", "hybrid", "auto", "simple")]),
     ("qualities", "q int", "q", [(q,) for q in range(1, 101)]),
 )
 
