@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import huffman, rd, tokens, transform, trellis
 from tessera.plans import rates, tables
+from tessera.plans.scans import script
 from tessera.plans.registry import Registry
-from tessera.sources import jpeg, views
+from tessera.sources import jpeg, progressive, views
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
@@ -212,3 +213,13 @@ _R.rows(
     ("sizes", "n int", "n", [(n,) for n in (1, 720, 65519, 65520, 131038, 131039, 200000)]),
     duck="SELECT n, (n + 65518) // 65519 AS chunks, n - ((n + 65518) // 65519 - 1) * 65519 AS last_size FROM {sizes}",
 )
+
+
+@_R.frame("q_progressive_bytes")
+def _progressive(spark, sf_dir):
+    return progressive.encode_images(views.quantised(spark, sf_dir).select("image_id", "n", "z"), _LUMA_75, script("standard", 1))
+
+
+@_R.frame("q_progressive_roundtrip", f"{views.duck('qz')}\nSELECT image_id, n, z, v FROM qz")
+def _progressive_back(spark, sf_dir):
+    return progressive.decode_images(_progressive(spark, sf_dir)).select("image_id", "n", F.posexplode("z").alias("z", "v"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera import catalogue
 from tessera.operators import huffman, rd, tokens, transform, trellis
 from tessera.plans import numeric, tables
-from tessera.sources import images, jpeg, views
+from tessera.plans.scans import script
+from tessera.sources import images, jpeg, progressive, views
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
@@ -227,3 +228,20 @@ def test_curves_are_written(spark, tmp_path):
 def test_validation(spark):
     df = spark.createDataFrame([(1, 1, b"x"), (0, 5, b"x"), (70000, 5, b"x"), (8, 8, None)], "width int, height int, payload binary")
     assert [r["error_code"] for r in jpeg.validated(df).collect()] == [None, "INVALID_DIMENSIONS", "INVALID_DIMENSIONS", "MISSING_PAYLOAD"]
+
+
+@pytest.mark.parametrize("density", [0, 0.02, 0.2, 0.7])
+def test_progressive_streams_decode(density):
+    rng, q = np.random.default_rng(11), tables.quant_table(tables.ANNEX_K_LUMA, 80)
+    for n in (1, 3):
+        parts = [[np.where(rng.random(64) < density, rng.integers(-90, 90, 64), 0) for _ in range(24)] for _ in range(n)]
+        for kind in ("minimal", "simple", "standard"):
+            width, height, back = progressive.decode(progressive.assemble(parts, 48, 32, [q] * n, script(kind, n)))
+            assert (width, height) == (48, 32)
+            assert all((a == b).all() for c, d in zip(parts, back, strict=True) for a, b in zip(c, d, strict=True))
+
+
+def test_runs_of_empty_blocks_are_capped():
+    blocks = [np.zeros(64, np.int64)] * 40_000
+    runs = [t for t in progressive.ac_first(blocks, 1, 63, 0) if t[0] is not None]
+    assert [(1 << (s >> 4)) + v for s, _, v in runs] == [0x7FFF, 40_000 - 0x7FFF]
