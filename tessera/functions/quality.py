@@ -32,8 +32,8 @@ def scale_distance(s: str, exponent: str) -> str:
     return f"CASE WHEN {s} < {_BEND} THEN {s} ELSE least(2e0 * {s}, pow({_BEND}, 1e0 - 1e0 / {exponent}) * pow({s}, 1e0 / {exponent})) END"
 
 
-def perceptual_entry(base: str, d: str, exponent: str) -> str:
-    return f"CAST(least(255e0, greatest(1e0, round({base} * ({distance_scale(d, exponent)}) * {num(GLOBAL_SCALE)}))) AS INT)"
+def perceptual_entry(base: str, d: str, exponent: str, scale: float = GLOBAL_SCALE) -> str:
+    return f"CAST(least(255e0, greatest(1e0, round({base} * ({distance_scale(d, exponent)}) * {num(scale)}))) AS INT)"
 
 
 def standard_entry(base: str, q: str, div: str) -> str:

@@ -24,6 +24,8 @@ _R.rows("q_linear_scale", f"SELECT q * 50 AS scale, round({f.linear_distance('(q
 _TABLE = "SELECT variant, comp, q, k, {} AS qv, CAST(least(255e0, greatest(1e0, round((b * (CASE WHEN q < 50 THEN 5000e0 / q ELSE 200e0 - 2e0 * q END) + 50e0) / 100e0))) AS INT) AS qv_real FROM {{bases}} CROSS JOIN {{qualities}} WHERE q % 5 = 0"
 _R.rows("q_quant_tables", _TABLE.format(f.standard_entry("b", "q", "div")), _BASES, _QUALITIES, duck=_TABLE.format(f.standard_entry("b", "q", "//")))
 _R.rows("q_perceptual_tables", f"SELECT c, q, k, {f.perceptual_entry('base', 'd', 'exponent')} AS qv FROM {{perceptual}} CROSS JOIN (SELECT q, {f.distance('q')} AS d FROM {{qualities}} WHERE q % 5 = 0) AS x", _PERCEPTUAL, _QUALITIES)
+_XYB = ("xyb", "c int, k int, base double, annex double, exponent double", "c, k, base, annex, exponent", tables.xyb_rows())
+_R.rows("q_xyb_tables", f"SELECT c, q, k, {f.perceptual_entry('base', 'd', 'exponent', tables.XYB_GLOBAL_SCALE)} AS qv, {f.perceptual_entry('annex', 'd', 'exponent', 1.0)} AS annex_qv FROM {{xyb}} CROSS JOIN (SELECT q, {f.distance('q')} AS d FROM {{qualities}} WHERE q % 5 = 0) AS x", _XYB, _QUALITIES)
 _R.rows("q_scale_inverse", f"SELECT c, q, k, round({f.scale_distance('(' + f.distance_scale('d', 'exponent') + ')', 'exponent')}, 5) AS back FROM {{perceptual}} CROSS JOIN (SELECT q, q / 10e0 AS d FROM {{qualities}} WHERE q % 10 = 5) AS x", _PERCEPTUAL, _QUALITIES)
 _R.rows(
     "q_zero_bias",

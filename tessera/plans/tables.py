@@ -255,6 +255,35 @@ AC_CHROMINANCE_SYMBOLS = (
     249, 250,
 )
 
+XYB_GLOBAL_SCALE = 1.43951668
+# Base matrix of the XYB space, by component and natural order.
+XYB_BASE = (
+    7.5629935, 19.824781, 22.572495, 20.67067, 22.686459, 23.569628, 25.812908, 36.330757,
+    19.824781, 21.550318, 19.937223, 20.542421, 21.86455, 23.904139, 28.284407, 32.660976,
+    22.572495, 19.937223, 21.901726, 19.122345, 21.751581, 24.67247, 25.424965, 32.665382,
+    20.67067, 20.542421, 19.122345, 20.161022, 25.371969, 25.96689, 30.980495, 31.340601,
+    22.686459, 21.86455, 21.751581, 25.371969, 26.243185, 40.59922, 43.262463, 63.301094,
+    23.569628, 23.904139, 24.67247, 25.96689, 40.59922, 48.302677, 34.096436, 61.985214,
+    25.812908, 28.284407, 25.424965, 30.980495, 43.262463, 34.096436, 34.493744, 66.970276,
+    36.330757, 32.660976, 32.665382, 31.340601, 63.301094, 61.985214, 66.970276, 39.96527,
+    1.6262001, 3.2199242, 3.490378, 3.9148359, 4.8337212, 4.9108844, 5.313712, 6.1676793,
+    3.2199242, 3.4547899, 3.603683, 4.2652836, 4.8368387, 4.8226223, 5.6120515, 6.3431473,
+    3.490378, 3.603683, 3.904456, 4.3374395, 4.8435097, 5.405798, 5.606636, 6.1075134,
+    3.9148359, 4.2652836, 4.3374395, 4.6064835, 5.1751475, 5.4013925, 6.039981, 6.782523,
+    4.8337212, 4.8368387, 4.8435097, 5.1751475, 5.374805, 6.1410837, 7.6529307, 7.5235214,
+    4.9108844, 4.8226223, 5.405798, 5.4013925, 6.1410837, 6.3431473, 7.108305, 7.60083,
+    5.313712, 5.6120515, 5.606636, 6.039981, 7.6529307, 7.108305, 7.0943155, 7.0478363,
+    6.1676793, 6.3431473, 6.1075134, 6.782523, 7.5235214, 7.60083, 7.0478363, 6.9186144,
+    3.3038473, 10.068926, 12.278522, 14.604117, 16.210732, 19.231453, 28.012955, 55.66829,
+    10.068926, 11.408502, 11.387135, 15.493417, 16.536493, 14.915342, 26.374872, 40.861443,
+    12.278522, 11.387135, 17.088688, 13.950035, 16.000322, 28.566063, 26.21242, 30.126013,
+    14.604117, 15.493417, 13.950035, 21.123503, 26.157978, 25.557922, 40.685936, 33.805634,
+    16.210732, 16.536493, 16.000322, 26.157978, 26.804283, 26.158772, 35.734398, 43.685703,
+    19.231453, 14.915342, 28.566063, 25.557922, 26.158772, 34.541813, 41.319794, 48.786766,
+    28.012955, 26.374872, 26.21242, 40.685936, 35.734398, 41.319794, 47.632946, 55.349846,
+    55.66829, 40.861443, 30.126013, 33.805634, 43.685703, 48.786766, 55.349846, 63.60656,
+)
+
 GLOBAL_SCALE = 1.7396601
 DISTANCE_BEND = 1.5
 ZERO_BIAS_OFFSET_AC = (0.59082, 0.58146, 0.57988)
@@ -326,6 +355,11 @@ def perceptual_rows() -> list[tuple[int, int, float, float, float, float]]:
     return [(c, k, PERCEPTUAL_BASE[64 * c + k], FREQUENCY_EXPONENT[k], ZERO_BIAS_LQ[64 * c + k], ZERO_BIAS_HQ[64 * c + k]) for c in range(3) for k in range(64)]
 
 
+def xyb_rows() -> list[tuple[int, int, float, float, float]]:
+    """comp, k, base of the XYB space, Annex K base (one chroma matrix) and exponent."""
+    return [(c, k, XYB_BASE[64 * c + k], float((ANNEX_K_CHROMA if c else ANNEX_K_LUMA)[k]), FREQUENCY_EXPONENT[k]) for c in range(3) for k in range(64)]
+
+
 def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
     """A common table expression of literal rows that both dialects read."""
     lit = lambda x: f"'{x}'" if isinstance(x, str) else f"{x!r}e0" if isinstance(x, float) else str(x)
