@@ -148,8 +148,6 @@ def test_emptied_blocks_never_cost_more():
 
 
 def test_stream_decodes_to_the_same_blocks():
-    z = transform.quantise  # the table form is covered by the queries; here three components and restarts
-    assert z
     rng = np.random.default_rng(9)
     parts = [[np.where(rng.random(64) < 0.2, rng.integers(-60, 60, 64), 0) for _ in range(6)] for _ in range(3)]
     q = tables.quant_table(tables.ANNEX_K_LUMA, 80)
