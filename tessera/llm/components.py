@@ -26,6 +26,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").select("a", "b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge downwards has one only and nothing above it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (the lowest node reached) of every node that has a link.
 
@@ -33,10 +39,6 @@ def components(links: DataFrame) -> DataFrame:
     end when every edge points from a node to the lowest of its component.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
-    state = None
-    while True:
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == state or not after[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").toDF("node", "component").distinct())
-        state = after
+    while not _are_stars(edges):
         edges = written(_star(_star(edges, True), False), "components")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select("b", "b").toDF("node", "component").distinct())

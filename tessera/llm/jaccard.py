@@ -20,9 +20,12 @@ components go on, with another pivot. When the pairs between components are few
 for the number of postings, all of them are compared. Pairs within one
 component need no comparison and no other pair is left out.
 
-A comparison first looks at the keys of both sets: below the lower of their last keys
-both are fully known, and too many differences there rule the pair out. The
-others are compared as whole texts.
+In a list, the shingles behind the shared one bound what two sets can share;
+the first shingle that a linking pair shares always passes that bound. Then
+the lowest ``LEAST_KNOWN`` shingles of both (or all keys) are compared: up to
+the lower of the two last ones both sets are fully known, too many differences
+there rule the pair out, and sets known as a whole are decided. The others are
+compared as whole texts.
 """
 
 from __future__ import annotations
@@ -44,9 +47,13 @@ N = 4
 SIMILARITY = 85
 #: Shingles taken for common, and so put last in the order, at most. The order only steers the cost.
 MOST_COMMON = 200_000
-COMMON_COUNT = 48
+COMMON_COUNT = 24
 CENSUS_SHINGLES = 1 << 21
-STAR_ROUNDS = 8
+STAR_ROUNDS = 6
+#: A further round with pivots must be promised this share of links among its pairs by the round before.
+STAR_YIELD = 0.05
+#: Lowest shingles of a set that are kept at least, for comparisons without the text.
+LEAST_KNOWN = 96
 LARGEST_SMALL = 24
 #: Pairs between components that are compared one by one at most while rounds are left.
 FEW_PAIRS = 200_000
@@ -108,7 +115,7 @@ def _census(n: int):
             nonlocal total, different
             values, times = np.unique(np.concatenate(held), return_counts=True)
             total, different = total + int(times.sum()), different + len(values)
-            keep = times >= 4
+            keep = times >= np.where(values < np.uint64(1 << 61), 2, 4)  # the lowest quarter of hashes fills most keys
             return _census_batch("shingle", values[keep].view(np.int64), times[keep])
 
         for b in batches:
@@ -143,39 +150,40 @@ def _keys(n: int, similarity: int, boundary: int, common: np.ndarray):
                 for s in shingle_sets(texts[i:j], n):
                     size = len(s)
                     d1, d2 = (int(_mix(s ^ np.uint64(x)).sum(dtype=np.uint64)) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47))
-                    lists: np.ndarray = np.zeros(0, np.uint64)
                     subsets: list[int] = []
-                    if size and size >= nearly or size > boundary:
-                        last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(size, bool)
-                        lists = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: size - least_overlap(size, similarity) + 1]
+                    last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(size, bool)
+                    prefix = size - least_overlap(size, similarity) + 1
+                    known = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: max(prefix, LEAST_KNOWN)]
+                    listed = prefix if size and size >= nearly or size > boundary else 0
                     if 0 < size <= boundary:
                         mixed = [int(x) for x in _mix(s + np.uint64(77))]
                         for c in subset_sizes(size, boundary, similarity):
                             subsets += [(sum(x) * 0x9E3779B97F4A7C15 + c) % (1 << 64) - (1 << 63) for x in combinations(mixed, c)]
-                    rows.append((size, d1 - (1 << 63), d2 - (1 << 63), lists.view(np.int64), subsets))
+                    rows.append((size, d1 - (1 << 63), d2 - (1 << 63), known.view(np.int64), listed, subsets))
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "lists", "subsets"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.int32()), pa.array(c[5], pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "known", "listed", "subsets"])
 
     return keys
 
 
 def _possible(similarity: int):
-    """Pairs that their keys do not rule out."""
+    """Pairs that what is known of them does not rule out; ``sure`` if that is all of both."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            keep, sure = [], []
             for na, nb, ka, kb in zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("ka"), b.column("kb"), strict=True):
                 x, y = (k.values.to_numpy().view(np.uint64) for k in (ka, kb))
-                if not len(x) or not len(y):
-                    keep.append(True)
-                    continue
-                top = min(x[-1], y[-1])
-                x, y = x[: np.searchsorted(x, top, side="right")], y[: np.searchsorted(y, top, side="right")]
+                whole = len(x) == na and len(y) == nb
+                if not whole:
+                    top = min(x[-1], y[-1])
+                    x, y = x[: np.searchsorted(x, top, side="right")], y[: np.searchsorted(y, top, side="right")]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 apart = len(x) + len(y) - 2 * shared
                 keep.append((100 + similarity) * apart <= (100 - similarity) * (na + nb))
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
+                sure.append(whole)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask), pa.array(sure, pa.bool_()).filter(mask)], ["a", "b", "sure"])
 
     return possible
 
@@ -214,48 +222,54 @@ def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY
     common = [r["value"] for r in census.filter("kind = 'shingle'").orderBy(F.desc("times"), "value").limit(MOST_COMMON).collect()]
     common = np.sort(np.array(common, np.int64).view(np.uint64))
 
-    sets = written(d.mapInArrow(_keys(n, similarity, boundary, common), "doc_id long, n long, d1 long, d2 long, lists array<long>, subsets array<long>"), "jaccard-sets")
+    sets = written(d.mapInArrow(_keys(n, similarity, boundary, common), "doc_id long, n long, d1 long, d2 long, known array<long>, listed int, subsets array<long>"), "jaccard-sets")
     first = written(sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
     ids = first.filter("n > 0 AND id IS NOT NULL").select("id").distinct()
-    keyed = sets.filter(F.col("n") > 0).join(ids, sets["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "lists", "subsets")
-    keyed = written(keyed, "jaccard-keys")
-    # a subset's key must not fall on a shingle's: both are hashes, a clash would only add a pair
-    posted = written(keyed.select("id", "n", F.explode(F.concat("lists", "subsets")).alias("key")), "jaccard-postings")
-    met = written(posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key"), "jaccard-met")
-    slim = keyed.select("id", "n", "lists")
-
-    def fits(x: str, y: str):
-        return 100 * F.least(x, y) >= similarity * F.greatest(x, y)
+    keyed = written(sets.filter(F.col("n") > 0).join(ids, sets["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "known", "listed", "subsets"), "jaccard-keys")
+    # a subset's key has place 0: its pairs are bounded by their sizes alone
+    in_lists = keyed.select("id", "n", F.posexplode(F.slice("known", F.lit(1), F.col("listed"))).alias("place", "key"))
+    in_subsets = keyed.filter(F.size("subsets") > 0).select("id", "n", F.lit(0).alias("place"), F.explode("subsets").alias("key"))
+    posted = written(in_lists.unionByName(in_subsets), "jaccard-postings")
+    again = written(posted.groupBy("key").count().filter("count > 1").select("key"), "jaccard-again")
+    lists = written(posted.join(again, "key").withColumn("component", F.col("id")), "jaccard-lists")
+    slim = keyed.select("id", "known")
+
+    def fits(na: str, nb: str, pa: str, pb: str):
+        """Sizes and places that leave room for the shingles a link needs."""
+        room = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb))
+        return (100 + similarity) * room >= similarity * (F.col(na) + F.col(nb))
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, na, b, nb)."""
-        x = slim.select(F.col("id").alias("a"), F.col("lists").alias("ka"))
-        y = slim.select(F.col("id").alias("b"), F.col("lists").alias("kb"))
-        left = pairs.join(x, "a").join(y, "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_possible(similarity), "a long, b long")
-        left = written(left.distinct(), "jaccard-possible")
-        wanted = small(written(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "jaccard-wanted"))
+        x = slim.select(F.col("id").alias("a"), F.col("known").alias("ka"))
+        y = slim.select(F.col("id").alias("b"), F.col("known").alias("kb"))
+        left = pairs.join(x, "a").join(y, "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_possible(similarity), "a long, b long, sure boolean")
+        left = written(left.groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-possible")
+        sure, open_pairs = left.filter("sure").select("a", "b"), left.filter("NOT sure").select("a", "b")
+        wanted = small(written(open_pairs.select(F.col("a").alias("id")).union(open_pairs.select("b")).distinct(), "jaccard-wanted"))
         texts = written(d.join(wanted, d["doc_id"] == wanted["id"]).select("id", "text"), "jaccard-texts")
-        held = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return written(held.select("a", "b", "ta", "tb").mapInArrow(_linked(n, similarity), "a long, b long").distinct(), "jaccard-links")
+        held = open_pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        found = held.select("a", "b", "ta", "tb").mapInArrow(_linked(n, similarity), "a long, b long").distinct()
+        return written(found.unionByName(sure), "jaccard-links")
 
-    lists = met.withColumn("component", F.col("id"))
     links = labels = tested = None
+    promised = 1.0
     for turn in range(STAR_ROUNDS + 1):
         counted = lists.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.count(F.lit(1)).alias("parts"))
-        counted = counted.filter("parts > 1")
-        pairs = counted.agg(F.sum((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2)).first()[0] or 0
+        counted = written(counted.filter("parts > 1").select("key", ((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")), "jaccard-counted")
+        pairs = counted.agg(F.sum("pairs")).first()[0] or 0
         if not pairs:
             break
         lists = written(lists.join(counted.select("key"), "key"), "jaccard-lists")
-        every = pairs <= FEW_PAIRS or turn == STAR_ROUNDS
+        every = pairs <= FEW_PAIRS or turn == STAR_ROUNDS or promised < STAR_YIELD
         if every:
-            other = lists.toDF(*[{"id": "b", "n": "nb", "component": "cb"}.get(c, c) for c in lists.columns])
-            met_pairs = lists.join(other, "key").filter("component < cb").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
+            other = lists.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+            met_pairs = lists.join(other, "key").filter("component < cb")
         else:
-            pivots = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long"), "id", "n", "component")).alias("p"))
-            pivots = pivots.select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.component").alias("cb"))
-            met_pairs = lists.join(pivots, "key").filter("component <> cb").select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
-        met_pairs = met_pairs.filter(fits("na", "nb")).distinct()
+            pivots = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long"), "id", "n", "place", "component")).alias("p"))
+            pivots = pivots.select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.place").alias("pb"), F.col("p.component").alias("cb"))
+            met_pairs = lists.join(pivots, "key").filter("component <> cb")
+        met_pairs = met_pairs.filter(fits("n", "nb", "place", "pb")).select(F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb").distinct()
         if tested is not None:
             met_pairs = met_pairs.join(tested, ["a", "b"], "left_anti")
         met_pairs = written(met_pairs, "jaccard-pairs")
@@ -265,7 +279,8 @@ def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY
         labels = written(components(links), "jaccard-components")
         if every:
             break
-        lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        promised = found.count() / max(1, met_pairs.count())
+        lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("component"))
     named = sets.select("doc_id", "n", "d1", "d2").join(first, ["n", "d1", "d2"]).select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
     if labels is None:
         return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
