@@ -245,12 +245,12 @@ def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, with
     """
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.hash("text").alias("k2"), "text")
     r = written(d.filter(F.col("text").isNotNull()).mapInArrow(_emit(k, m), "k1 long, k2 int, start int, windows int, mini long, whole long"), "substrings-kmers")
-    twice = r.groupBy("mini").count().filter("count > 1").select("mini")
+    twice = written(r.groupBy("mini").count().filter("count > 1").select("mini"), "substrings-twice")
     r = written(r.join(twice, "mini"), "substrings-met")
     whole = ["mini", "whole", "windows"]
     a = written(r.groupBy(*whole).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "start")]), "substrings-wholes")
     same = r.join(a.filter("n > 1").select(*whole), whole).select("k1", "k2", "start", "windows")
-    apart = a.groupBy("mini").agg(F.count(F.lit(1)).alias("wholes")).filter("wholes > 1")
+    apart = written(a.groupBy("mini").agg(F.count(F.lit(1)).alias("wholes")).filter("wholes > 1"), "substrings-apart")
     wanted = a.join(apart, "mini").withColumn("hot", F.col("wholes") > hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("mini", "start", "windows", "n", "hot")).alias("wanted"))
     packed = d.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_pack(k), "mini long, packed binary, k1 long, k2 int, start int, n long, hot boolean")
     any_hot = apart.filter(F.col("wholes") > hot).limit(1).count() > 0
