@@ -19,6 +19,7 @@ from tessera.llm.common import small, written
 # Spellings that count as one.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("organisation", "organization"), ("favour", "favor"), ("judgement", "judgment"), ("programme", "program"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"))
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+COPYRIGHT_START = r"^[ \t]*(copyright|\(c\)|©)"
 SIGNS = r"[^\p{L}\p{N}]+"
 
 # Licences and notices looked for.
@@ -38,14 +39,24 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 }
 
 
-def canonical(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, SIGNS, " "), F.lit(" "))
+def _plain_lines(text: Column) -> Column:
+    """The lines of a text in lower case without signs; copyright lines are empty."""
+    line = lambda t: F.when(t.rlike(COPYRIGHT_START), F.lit("")).otherwise(F.trim(F.regexp_replace(t, SIGNS, " ")))
+    return F.transform(F.split(F.lower(text), "\n"), line)
+
+
+def _one_spelling(plain: Column) -> Column:
+    t = F.concat(F.lit(" "), plain, F.lit(" "))
     for spelled, meant in SPELLINGS:
         t = F.replace(t, F.lit(f" {spelled} "), F.lit(f" {meant} "))
     return F.trim(t)
 
 
+def canonical(lines: Column) -> Column:
+    """The canonical form of a text given by its plain lines."""
+    return _one_spelling(F.array_join(F.filter(lines, lambda t: t != ""), " "))
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
 
@@ -59,11 +70,13 @@ def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     id are counted together; licences of equal form are all reported.
     """
     digest = lambda t: F.sha2(t, 256)
-    table = known.select("license_id", canonical(F.col("text")).alias("form")).filter("form <> ''").select("license_id", digest(F.col("form")).alias("digest"))
+    table = known.select("license_id", canonical(_plain_lines(F.col("text"))).alias("form")).filter("form <> ''").select("license_id", digest(F.col("form")).alias("digest"))
     table = small(written(table.distinct(), "licenses-known"))
-    units = F.concat(F.array(F.struct(F.lit("text").alias("scope"), F.col("text").alias("unit"))), F.when(F.contains("text", F.lit("\n")), F.transform(F.split("text", "\n"), lambda u: F.struct(F.lit("line").alias("scope"), u.alias("unit")))).otherwise(F.array().cast("array<struct<scope:string,unit:string>>")))
-    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("u"))
-    rows = rows.select("doc_id", "u.scope", canonical(F.col("u.unit")).alias("form")).filter("form <> ''").select("doc_id", "scope", digest(F.col("form")).alias("digest"))
+    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _plain_lines(F.col("text")).alias("lines"))
+    unit = lambda scope, form: F.struct(F.lit(scope).alias("scope"), form.alias("form"))
+    single = F.when(F.size("lines") > 1, F.transform(F.filter("lines", lambda t: t != ""), lambda t: unit("line", _one_spelling(t)))).otherwise(F.array().cast("array<struct<scope:string,form:string>>"))
+    rows = rows.select("doc_id", F.explode(F.concat(F.array(unit("text", canonical(F.col("lines")))), single)).alias("u"))
+    rows = rows.filter("u.form <> ''").select("doc_id", "u.scope", digest(F.col("u.form")).alias("digest"))
     return rows.join(table, "digest").groupBy("doc_id", "license_id", "scope").agg(F.count(F.lit(1)).alias("n"))
 
 
