@@ -2,25 +2,31 @@
 
 ``S(w | v) = c(v w) / c(v)`` if the bigram was met ``LEAST_COUNT`` times or
 more, else ``BACKOFF * c(w) / N``. A document's score is the mean of log S over
-its words; the first word has the unigram share ``c(w) / N``. Words outside the
-vocabulary, the words whose count reaches a level that at most ``MOST_WORDS``
-reach, are one unknown word, which is in no bigram.
+its words; the first word has the unigram share ``c(w) / N``. All words of the
+corpus are in the model, however many there are. (A caller may ask for a model
+of the ``most_words`` most frequent ones; the others are then one unknown word,
+which is in no bigram.)
 
 On Spark, in four passes:
 
-1. word counts of all texts, summed per task and then by word; the vocabulary
-   and its counts are a table of at most ``MOST_WORDS`` rows;
+1. word counts of all texts, summed per task and then by word; the words whose
+   count reaches a level that at most ``TABLE_WORDS`` reach are the frequent
+   ones and get places of 20 bits in a table that every task holds; the others
+   are rare and stay in the distributed table of counts;
 2. counts of the bigrams of the ``HOT_WORDS`` most frequent words, a matrix of
-   fixed size, so that no later partition holds a bigram met in most texts;
+   fixed size, so that no later partition holds a bigram met in most texts; and,
+   in the same pass, counts of the bigrams and first words that need a rare
+   word, to which the rare words' own counts are joined by a shuffle;
 3. the n-grams of a block of texts, as (text, bigram, times) packed into
    columns, are dealt to partitions by the bigram's hash; a partition sums its
-   count table, joins it to its n-grams and answers each block with one sum per
-   text;
+   count table, joins it and its share of the rare bigrams to its n-grams and
+   answers each block with one sum per text;
 4. the answers of a block are added to what the block needed no table for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +40,16 @@ from tessera.llm.common import as_bytes, slices, written
 
 LEAST_COUNT = 2
 BACKOFF = 0.4
-MOST_WORDS = 1 << 20
+#: Words with a place of 20 bits, a matter of layout: scores are the same for any number.
+TABLE_WORDS = 1 << 20
 HOT_WORDS = 512
 #: Words counted at once in a task.
 CENSUS_WORDS = 1 << 21
 #: Bigrams that one partition is meant to hold.
 PART_NGRAMS = 1 << 21
 BLOCK_CHARS = 1 << 21
+#: Stands for the word before the first; a blank is no word.
+START = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,40 +117,88 @@ def vocabulary(counts: DataFrame, most: int) -> Vocabulary:
     return Vocabulary(t.column("word").to_numpy(), t.column("n").to_numpy(), total)
 
 
-def _pairs(texts: list[bytes | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place and text of every word, and the positions whose bigram with the word before has two known words."""
+def _pairs(texts: list[bytes | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, place and text of every word, which ones are first, and the positions whose bigram with the word before has two known words."""
     h, doc = _words(texts)
     w = v.find(h)
-    known = np.zeros(len(w), bool)
-    known[1:] = (doc[1:] == doc[:-1]) & (w[1:] >= 0) & (w[:-1] >= 0)
-    return w, doc, np.flatnonzero(known)
+    first = np.ones(len(w), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    known = ~first
+    known[1:] &= (w[1:] >= 0) & (w[:-1] >= 0)
+    return h, w, doc, first, np.flatnonzero(known)
 
 
-def hot_counts(docs: DataFrame, v: Vocabulary, hot: int) -> np.ndarray:
-    """Counts of the bigrams of the ``hot`` most frequent words."""
+def _rare(h: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of first words that are rare and of bigrams with a rare word, and the keys of these."""
+    rare = w < 0
+    rare[1:] |= (w[:-1] < 0) & ~first[1:]
+    at = np.flatnonzero(rare)
+    before = np.where(first[at], START, h[at - 1].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    key = ((before ^ before >> np.uint64(32)) + h[at].view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return at, key ^ key >> np.uint64(29)
+
+
+_SEEN = "pair long, key long, before long, before_n long, word long, word_n long, n long"
+
+
+def bigram_counts(docs: DataFrame, v: Vocabulary, hot: int, with_rare: bool) -> DataFrame:
+    """n by pair, for the bigrams of the ``hot`` most frequent words, and by key,
+    for what needs a rare word. before and word are hashes of rare words, before_n
+    and word_n counts of frequent ones; a first word has nothing before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(hot * hot, np.int64)
+        names = [c.split()[0] for c in _SEEN.split(", ")]
+        rows = lambda *values: pa.RecordBatch.from_arrays([pa.nulls(len(values[-1]), pa.int64()) if x is None else pa.array(x) for x in values], names)
+
         for b in batches:
             texts = as_bytes(b.column("text"))
             for i, j in slices(texts):
-                w, _, at = _pairs(texts[i:j], v)
+                h, w, _, first, at = _pairs(texts[i:j], v)
                 at = at[(w[at] < hot) & (w[at - 1] < hot)]
                 sums += np.bincount(w[at - 1] * hot + w[at], minlength=hot * hot)
+                if with_rare:
+                    at, key = _rare(h, w, first)
+                    key, one, n = np.unique(key, return_index=True, return_counts=True)
+                    at = at[one]
+                    starts, a, c = first[at], np.where(first[at], -1, w[at - 1]), w[at]
+                    before_n, word_n = (pa.array(np.append(v.counts, 0)[x], mask=x < 0) for x in (a, c))
+                    yield rows(None, key.view(np.int64), pa.array(h[at - 1], mask=(a >= 0) | starts), before_n, pa.array(h[at], mask=c >= 0), word_n, n)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at])], ["pair", "n"])
+        yield rows(at, None, None, None, None, None, sums[at])
+
+    return docs.select("text").mapInArrow(count, _SEEN)
+
 
+def hot_counts(seen: DataFrame, hot: int) -> np.ndarray:
+    """Counts of the bigrams of the ``hot`` most frequent words."""
     out = np.zeros(hot * hot, np.int64)
-    for r in docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # hot^2 rows at most
+    for r in seen.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # hot^2 rows at most
         out[r["pair"]] = r["n"]
     return out
 
 
-_BLOCKS = "part int, block long, text binary, pair_low binary, pair_high binary, times binary, ids array<long>, sums binary, words binary"
+def rare_gains(seen: DataFrame, counts: DataFrame, total: int, parts: int, least: int, backoff: float) -> DataFrame:
+    """part, key and log_s of every first word and bigram that needs a rare word.
+    Each needs one count besides its own: that of the word before if it was met
+    often enough, else the word's."""
+    t = seen.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("before", "before_n", "word", "word_n")])
+    starts = F.col("before").isNull() & F.col("before_n").isNull()
+    met = ~starts & (F.col("n") >= least)
+    rest = F.when(starts, -math.log(max(1, total))).when(met, F.log("n")).otherwise(math.log(backoff) - math.log(max(1, total)))
+    need, need_n = (F.when(met, F.col(f"before{c}")).otherwise(F.col(f"word{c}")) for c in ("", "_n"))
+    t = t.select("key", met.alias("met"), rest.alias("rest"), need.alias("need"), need_n.alias("need_n"))
+    # where the count is known the key, which is no word's hash, spreads the rows
+    t = t.join(counts, F.coalesce("need", "key") == counts["word"], "left")
+    log_n = F.log(F.coalesce("need_n", "n"))
+    return t.select((F.col("key").bitwiseAND(0x7FFFFFFF) % parts).cast("int").alias("part"), "key", (F.col("rest") + F.when(F.col("met"), -log_n).otherwise(log_n)).alias("log_s"))
+
+
+_BLOCKS = "part int, block long, text binary, pair_low binary, pair_high binary, key binary, times binary, ids array<long>, sums binary, words binary"
 _NAMES = [c.split()[0] for c in _BLOCKS.split(", ")]
 
 
-def _deal(v: Vocabulary, table: np.ndarray, hot: int, parts: int, least: int, backoff: float):
+def _deal(v: Vocabulary, table: np.ndarray, hot: int, parts: int, least: int, backoff: float, with_rare: bool):
     seen = table.reshape(hot, hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +208,11 @@ def _deal(v: Vocabulary, table: np.ndarray, hot: int, parts: int, least: int, ba
             for i, j in slices(texts, BLOCK_CHARS):
                 if j - i > 1 << 16:
                     raise ValueError("a block holds 65536 texts at most")
-                w, doc, at = _pairs(texts[i:j], v)
+                h, w, doc, first, at = _pairs(texts[i:j], v)
                 n = j - i
                 block = task << 32 | number
                 number += 1
                 gain = v.log_share[w] + np.log(backoff)
-                first = np.ones(len(w), bool)
-                first[1:] = doc[1:] != doc[:-1]
                 gain[first] = v.log_share[w[first]]
                 a, c = w[at - 1], w[at]
                 is_hot = (a < hot) & (c < hot)
@@ -166,6 +221,9 @@ def _deal(v: Vocabulary, table: np.ndarray, hot: int, parts: int, least: int, ba
                 met = times >= least
                 gain[at[met]] = np.log(times[met]) - v.log_count[a[met]]
                 gain[at[~is_hot]] = 0.0  # left to the tables
+                if with_rare:
+                    rare, key = _rare(h, w, first)
+                    gain[rare] = 0.0
                 sums, size = np.bincount(doc, gain, n), np.bincount(doc, minlength=n)
                 yield _row(block % parts, block, ids=ids[i:j].to_pylist(), sums=sums, words=size)
                 rest = (doc[at].astype(np.uint64) << np.uint64(40) | (a << 20 | c).astype(np.uint64))[~is_hot]
@@ -178,24 +236,37 @@ def _deal(v: Vocabulary, table: np.ndarray, hot: int, parts: int, least: int, ba
                     own = order[cuts[p] : cuts[p + 1]]
                     if len(own):
                         yield _row(p, block, text=text[own], pair=pair[own], times=np.minimum(times[own], 0xFFFFFFFF).astype(np.uint32))
+                if with_rare and len(rare):
+                    part = (key & np.uint64(0x7FFFFFFF)) % np.uint64(parts)
+                    order = np.argsort(part, kind="stable")
+                    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        yield _row(int(part[own[0]]), block, text=doc[rare[own]].astype(np.uint16), key=key[own])
 
     return deal
 
 
-def _row(part: int, block: int, ids=None, sums=None, words=None, text=None, pair=None, times=None) -> pa.RecordBatch:
+def _row(part: int, block: int, ids=None, sums=None, words=None, text=None, pair=None, key=None, times=None) -> pa.RecordBatch:
     raw = lambda x: None if x is None else x.tobytes()
     low, high = (None, None) if pair is None else (pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint8))
-    values = (part, block, raw(text), raw(low), raw(high), raw(times), ids, raw(sums), raw(words))
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    values = (part, block, raw(text), raw(low), raw(high), raw(key), raw(times), ids, raw(sums), raw(words))
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], _NAMES)
 
 
-def _answer(v: Vocabulary, least: int, backoff: float):
+def _answer(v: Vocabulary, least: int, backoff: float, with_rare: bool):
     schema = pa.schema([("block", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())), ("sums", pa.binary()), ("words", pa.binary())])
 
-    def answer(group: pa.Table) -> pa.Table:
-        asked = group.filter(pa.compute.is_valid(group.column("pair_low")))
-        own = group.filter(pa.compute.is_null(group.column("pair_low"))).select(schema.names)
+    def by_text(block: pa.ChunkedArray, text: np.ndarray, gain: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        texts, sums, at = [], [], 0
+        for n in sizes.tolist():
+            t = text[at : at + n]
+            first = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1)
+            texts.append(t[first].tobytes())
+            sums.append(np.add.reduceat(gain[at : at + n], first).tobytes())
+            at += n
+        return pa.Table.from_arrays([block, pa.array(texts, pa.binary()), pa.nulls(len(texts), schema.field("ids").type), pa.array(sums, pa.binary()), pa.nulls(len(texts), pa.binary())], schema=schema)
+
+    def frequent(asked: pa.Table) -> pa.Table:
         columns = [asked.column(c).to_pylist() for c in ("pair_low", "pair_high", "times", "text")]
         low, high, times, text = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.uint32, np.uint8, np.uint32, np.uint16), strict=True))
         sizes = np.array([len(x) // 4 for x in columns[0]], np.int64)
@@ -204,18 +275,24 @@ def _answer(v: Vocabulary, least: int, backoff: float):
         count = np.bincount(place, times, len(table))
         a, c = table >> 20, table & ((1 << 20) - 1)
         log_s = np.where(count >= least, np.log(np.maximum(count, 1)) - v.log_count[a], np.log(backoff) + v.log_share[c])
-        gain = log_s[place] * times
-        texts, sums, at = [], [], 0
-        for n in sizes.tolist():
-            t = text[at : at + n]
-            first = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1)
-            texts.append(t[first].tobytes())
-            sums.append(np.add.reduceat(gain[at : at + n], first).tobytes())
-            at += n
-        found = pa.Table.from_arrays([asked.column("block"), pa.array(texts, pa.binary()), pa.nulls(len(texts), schema.field("ids").type), pa.array(sums, pa.binary()), pa.nulls(len(texts), pa.binary())], schema=schema)
-        return pa.concat_tables([found, own.cast(schema)])
+        return by_text(asked.column("block"), text, log_s[place] * times, sizes)
+
+    def answer(group: pa.Table) -> pa.Table:
+        own = group.filter(pa.compute.is_valid(group.column("words"))).select(schema.names)
+        return pa.concat_tables([frequent(group.filter(pa.compute.is_valid(group.column("pair_low")))), own.cast(schema)])
+
+    def answer_with(group: pa.Table, gains: pa.Table) -> pa.Table:
+        asked = group.filter(pa.compute.is_valid(group.column("key")))
+        if not len(asked):
+            return answer(group)
+        text, keys = asked.column("text").to_pylist(), asked.column("key").to_pylist()
+        table, log_s = gains.column("key").to_numpy(), gains.column("log_s").to_numpy()
+        order = np.argsort(table)
+        gain = log_s[order[np.searchsorted(table, np.frombuffer(b"".join(keys), np.int64), sorter=order)]]
+        rare = by_text(asked.column("block"), np.frombuffer(b"".join(text), np.uint16), gain, np.array([len(x) // 8 for x in keys], np.int64))
+        return pa.concat_tables([answer(group), rare])
 
-    return answer
+    return answer_with if with_rare else answer
 
 
 def _sum(group: pa.Table) -> pa.Table:
@@ -231,20 +308,31 @@ def _sum(group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(words), pa.array(total[: len(ids)])], ["doc_id", "n_words", "log_prob"])
 
 
-def score_documents(docs: DataFrame, least: int = LEAST_COUNT, backoff: float = BACKOFF, most_words: int = MOST_WORDS, hot_words: int = HOT_WORDS, part_ngrams: int = PART_NGRAMS) -> DataFrame:
+def score_documents(docs: DataFrame, least: int = LEAST_COUNT, backoff: float = BACKOFF, most_words: int | None = None, hot_words: int = HOT_WORDS, part_ngrams: int = PART_NGRAMS, table_words: int = TABLE_WORDS) -> DataFrame:
     """doc_id, n_words, log_prob and score (log_prob per word, rounded to nine
     places; null without words) of every row.
 
     Null texts have no words. Ids may be null or repeat, other columns are
-    ignored, and an empty table gives no rows.
+    ignored, and an empty table gives no rows. With ``most_words`` rarer words
+    are one unknown word; without it each word has its own counts.
     """
-    if most_words > 1 << 20:
+    with_rare = most_words is None
+    in_table = table_words if with_rare else most_words
+    if in_table > 1 << 20:
         raise ValueError("places of words are 20 bits wide")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    v = vocabulary(written(word_counts(d), "lm-words"), most_words)
+    counts = written(word_counts(d), "lm-words")
+    v = vocabulary(counts, in_table)
     hot = min(hot_words, max(1, len(v.counts)))
     parts = max(16, -(-v.total // part_ngrams))
-    dealt = d.mapInArrow(_deal(v, hot_counts(d, v, hot), hot, parts, least, backoff), _BLOCKS)
-    answers = dealt.groupBy("part").applyInArrow(_answer(v, least, backoff), "block long, text binary, ids array<long>, sums binary, words binary")
+    with_rare = with_rare and int(v.counts.sum()) < v.total
+    seen = bigram_counts(d, v, hot, with_rare)
+    seen = written(seen, "lm-bigrams") if with_rare else seen
+    dealt = d.mapInArrow(_deal(v, hot_counts(seen, hot), hot, parts, least, backoff, with_rare), _BLOCKS).groupBy("part")
+    answered = "block long, text binary, ids array<long>, sums binary, words binary"
+    if with_rare:
+        rare = counts.filter(F.col("n") < int(v.counts.min())) if len(v.counts) else counts
+        dealt = dealt.cogroup(rare_gains(seen, rare, v.total, parts, least, backoff).groupBy("part"))
+    answers = dealt.applyInArrow(_answer(v, least, backoff, with_rare), "block long, text binary, ids array<long>, sums binary, words binary")
     summed = answers.groupBy("block").applyInArrow(_sum, "doc_id long, n_words long, log_prob double")
     return summed.withColumn("score", F.when(F.col("n_words") > 0, F.round(F.col("log_prob") / F.col("n_words"), 9)))

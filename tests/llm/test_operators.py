@@ -330,3 +330,19 @@ def test_unknown_words_share_one_count(spark):
     share = {"a": 3 / 7, "b": 2 / 7, "c": 2 / 7}
     expected = math.log(share["a"]) + 2 * math.log(2 / 3) + math.log(0.4 * share["b"]) * 2 + math.log(0.4 * share["c"]) * 2
     assert abs(r["log_prob"] - expected) < 1e-9
+
+
+@pytest.mark.parametrize("table_words", [0, 5, 60])
+def test_rare_words_have_counts_of_their_own(spark, table_words):
+    rows = [(i, prose(700 + i, 40)) for i in range(12)] + [(20, "rare1 rare2 w1 rare1 rare2"), (21, "rare3 w2"), (22, "w3 rare3"), (23, None), (24, "rare4")]
+    one, two = collections.Counter(), collections.Counter()
+    for _, t in rows:
+        w = (t or "").split()
+        one.update(w)
+        two.update(zip(w, w[1:], strict=False))
+    n = sum(one.values())
+    got = by_id(perplexity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), hot_words=3, table_words=table_words))
+    for i, t in rows:
+        w = (t or "").split()
+        s = sum(math.log(one[x] / n) if not j else math.log(two[w[j - 1], x] / one[w[j - 1]]) if two[w[j - 1], x] > 1 else math.log(0.4 * one[x] / n) for j, x in enumerate(w))
+        assert got[i]["n_words"] == len(w) and abs(got[i]["log_prob"] - s) < 1e-6
