@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-A mask picks ``1`` positions of ``SPAN`` consecutive words and ignores the
-others, so a seed survives a substituted word at an ignored place; each place
-but the first is ignored by some mask. Benchmark items are hashed at every word, documents at
-every ``STRIDE``-th word, which still meets every copied run of
-``SPAN + STRIDE - 1`` words. Seeds are joined by hash; a hit names a diagonal
+A mask picks four of five or six consecutive words and ignores the others, so a
+seed survives substituted words at ignored places. Documents and benchmark items
+are hashed at every word, and the masks together miss nothing: whichever words
+of a ``WINDOW`` differ, if ``NEEDED`` are equal (in whole items of ten to twelve
+words: three quarters) some mask at some place has only equal ones.
+Seeds are joined by hash; a hit names a diagonal
 (place in the document minus place in the item), and along it the words
 themselves are compared: an overlap counts if some ``WINDOW`` words of the item
 have at least ``NEEDED`` equal to the document's, wherever the others lie.
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small, written
 
-MASKS = ("1101100111", "1011011101", "1110111010")
-SPAN = 10
-STRIDE = 4
+MASKS = ("11101", "100111")
+#: Words that an item has at least.
+LEAST_WORDS = 10
+STRIDE = 1
 WINDOW = 13
 NEEDED = 10
 #: Words are runs of letters and digits, in lower case.
@@ -37,16 +39,22 @@ def words(text: Column) -> Column:
 
 
 def _seeds(masks: tuple[str, ...], stride: int) -> Column:
-    """Hashes for each mask of every stride-th span of the array h; mask by mask."""
+    """Hashes for each mask at every stride-th place of the array h; mask by mask."""
     h = F.col("h")
-    starts = F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - SPAN, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    one = lambda m, mask: F.transform(starts, lambda i: F.xxhash64(F.lit(m), *[F.get(h, i + j) for j, c in enumerate(mask) if c == "1"]))
+
+    def one(m: int, mask: str) -> Column:
+        starts = F.when(F.size(h) >= len(mask), F.sequence(F.lit(0), F.size(h) - len(mask), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(m), *[F.get(h, i + j) for j, c in enumerate(mask) if c == "1"]))
+
     return F.concat(*[one(m, mask) for m, mask in enumerate(masks)])
 
 
-def _place(stride: int) -> Column:
-    """First word of the seed at ``pos`` in the array of all masks."""
-    return F.expr(f"(pos % (((size(h) - {SPAN}) div {stride}) + 1)) * {stride}")
+def _place(masks: tuple[str, ...], stride: int) -> Column:
+    """First word of the seed at ``pos`` in the array of all masks over ``n`` words."""
+    sizes = [f"(CASE WHEN n >= {len(mask)} THEN (n - {len(mask)}) div {stride} + 1 ELSE 0 END)" for mask in masks]
+    before = [" + ".join(["0", *sizes[:m]]) for m in range(len(masks) + 1)]
+    cases = " ".join(f"WHEN pos < {before[m + 1]} THEN pos - ({before[m]})" for m in range(len(masks)))
+    return F.expr(f"CAST((CASE {cases} END) * {stride} AS INT)")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, stride: int = STRIDE, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
@@ -55,19 +63,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     the item's length.
 
     Null or empty texts overlap with nothing, and so do items of fewer than
-    ``SPAN`` words; in items shorter than ``window`` the whole item is the
+    ``LEAST_WORDS`` words; in items shorter than ``window`` the whole item is the
     window and three quarters of it are needed. Rows without a doc_id or
     item_id take no part. Rows that repeat an id are compared one by one and
     reported once. Empty tables give no rows.
     """
     hashed = lambda text: F.transform(words(text), lambda w: F.xxhash64(w))
-    items = written(benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), hashed(F.col("text")).alias("h")), "decontaminate-items")
-    of_items = items.select("item_id", "h", F.posexplode(_seeds(masks, 1)).alias("pos", "seed")).select("item_id", "seed", _place(1).alias("item_at"))
+    items = written(benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), hashed(F.col("text")).alias("h")).filter(F.size("h") >= LEAST_WORDS), "decontaminate-items")
+    of_items = items.select("item_id", F.size("h").alias("n"), F.posexplode(_seeds(masks, 1)).alias("pos", "seed")).select("item_id", "seed", _place(masks, 1).alias("item_at"))
     of_items = small(written(of_items.distinct(), "decontaminate-seeds"))
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     of_docs = rows.select("doc_id", hashed(F.col("text")).alias("h")).select("doc_id", F.size("h").alias("n"), F.posexplode(_seeds(masks, stride)).alias("pos", "seed"))
-    at = F.expr(f"(pos % (((n - {SPAN}) div {stride}) + 1)) * {stride}")
-    hits = of_docs.join(of_items, "seed").select("doc_id", "item_id", (at - F.col("item_at")).alias("diagonal")).distinct()
+    hits = of_docs.join(of_items, "seed").select("doc_id", "item_id", (_place(masks, stride) - F.col("item_at")).alias("diagonal")).distinct()
     hits = written(hits, "decontaminate-hits").groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals"))
     hits = small(written(hits, "decontaminate-pairs"))
     near = rows.join(hits, "doc_id").select("doc_id", "item_id", "diagonals", hashed(F.col("text")).alias("d"))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 
@@ -217,6 +218,19 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.without_overlaps(docs, bench).count() == len(ROWS)
 
 
+def test_decontamination_misses_no_window(spark):
+    """Every way to spoil as many words as the rule allows, far from the start of the document."""
+    rows, bench = [], []
+    for item, (n, spoil) in enumerate([(10, 2), (11, 2), (12, 3), (13, 3)]):
+        own = [f"i{item}x{j}" for j in range(n)]
+        bench.append((item, " ".join(own)))
+        for places in itertools.combinations(range(n), spoil):
+            rows.append((len(rows), item, prose(len(rows), 20 + len(rows) % 4) + " " + edited(" ".join(own), places) + " end", n - spoil))
+        rows.append((len(rows), None, edited(" ".join(own), range(spoil + 1)), 0))
+    found = decontaminate.find_overlaps(spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in found.collect()} == {(i, item, n) for i, item, _, n in rows if item is not None}
+
+
 def test_licenses(spark, docs, empty):
     known = licenses.known_licenses(spark)
     rows = [(1, "RELEASED under the MIT Licence"), (2, "intro\nLicensed under CC BY-NC 4.0!\nmore\nlicensed under cc by-nc 4.0"), (3, licenses.KNOWN["MIT"].replace("Copyright (c)", "Copyright (c) 2020 Somebody").upper()), (4, None), (5, "")]
