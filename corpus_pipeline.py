@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, jaccard, mixing, quality, secrets
 from tessera.llm.common import small, table, written
 
+#: Near copies share this many hundredths of their shingles of so many words; op5's own values bind op5 alone.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the border of the labelled good ones."""
@@ -22,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the lowest id of each near-duplicate class, once. Rows without an id stay."""
-    found = jaccard.jaccard_components(docs)
+    found = jaccard.jaccard_components(docs, n=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     losers = small(written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct(), "near-copies"))
     again = written(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id"), "near-repeats")
     left = docs.join(losers, docs["doc_id"] == losers["copy_id"], "left_anti")

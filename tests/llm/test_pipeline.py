@@ -31,6 +31,16 @@ def test_repeated_rows_stay_once(spark):
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()) == ["1", "3", "None"]
 
 
+def test_near_copies_link_from_four_fifths_of_five_word_shingles(spark):
+    def spoiled(doc, places):
+        return " ".join("x" if j in places else f"d{doc}w{j}" for j in range(100))
+
+    # two changed words: 86 of 106 shingles of five words (0.811), but 89 of 105 of four (0.848); three: 81 of 111 (0.730)
+    texts = {1: spoiled(1, []), 2: spoiled(1, [30, 60]), 3: spoiled(3, []), 4: spoiled(3, [30, 50, 70])}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()) == [1, 3, 4]
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_oracle(spark, duck, name):
     got = registry.QUERIES[name](spark, DATA).toPandas()
