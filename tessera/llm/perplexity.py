@@ -1,27 +1,29 @@
-"""Stupid-backoff scores of documents under the corpus' own bigram model.
-
-``S(w | v) = c(v w) / c(v)`` if the bigram was met ``LEAST_COUNT`` times or
-more, else ``BACKOFF * c(w) / N``. A document's score is the mean of log S over
-its words; the first word has the unigram share ``c(w) / N``. All words of the
-corpus are in the model, however many there are. (A caller may ask for a model
-of the ``most_words`` most frequent ones; the others are then one unknown word,
-which is in no bigram.)
-
-On Spark, in four passes:
-
-1. word counts of all texts, summed per task and then by word; the words whose
-   count reaches a level that at most ``TABLE_WORDS`` reach are the frequent
-   ones and get places of 20 bits in a table that every task holds; the others
-   are rare and stay in the distributed table of counts;
-2. counts of the bigrams of the ``HOT_WORDS`` most frequent words, a matrix of
-   fixed size, so that no later partition holds a bigram met in most texts; and,
-   in the same pass, counts of the bigrams and first words that need a rare
-   word, to which the rare words' own counts are joined by a shuffle;
-3. the n-grams of a block of texts, as (text, bigram, times) packed into
-   columns, are dealt to partitions by the bigram's hash; a partition sums its
-   count table, joins it and its share of the rare bigrams to its n-grams and
-   answers each block with one sum per text;
-4. the answers of a block are added to what the block needed no table for.
+"""Stupid-backoff scores of documents under a bigram model of all other texts.
+
+Every count is taken over the whole corpus, and from it goes what the scored
+text itself adds, so a text does not vouch for itself and every count above 0
+is evidence: ``S(w | v) = c(v w) / c(v)`` if other texts hold the bigram, else
+``BACKOFF * c(w) / N``, where a word of no other text counts as met once. A
+text's score is the mean of log S over its words; the first word has the share
+``c(w) / N``.
+
+On Spark the counts are tables dealt by hash, and the texts' n-grams are joined
+to them where the counts lie:
+
+1. word counts of all texts, summed per task and then by word; they stay a
+   distributed table. Only the ``HOT_WORDS`` most frequent words and the
+   matrix of their bigrams, of fixed size, are known to every task, so that no
+   partition holds a bigram or a word that most texts have;
+2. the other bigrams of a block of texts, as (text, word before, word, times)
+   packed into columns, are dealt by the hash of their first word that is not
+   hot; a partition meets its share of the word counts, sums its bigrams and
+   answers each block with one sum for each text;
+3. a bigram of two rarer words that no other text has still needs the count of
+   its second word: these go on to that word's partition;
+4. the answers of a block are added to what it needed no table for.
+
+Words are told apart by 48-bit hashes. Sums are whole numbers of 10^-8, so they
+do not depend on the order in which answers arrive.
 """
 
 from __future__ import annotations
@@ -38,22 +40,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import as_bytes, slices, written
 
-LEAST_COUNT = 2
 BACKOFF = 0.4
-#: Words with a place of 20 bits, a matter of layout: scores are the same for any number.
-TABLE_WORDS = 1 << 20
 HOT_WORDS = 512
 #: Words counted at once in a task.
 CENSUS_WORDS = 1 << 21
 #: Bigrams that one partition is meant to hold.
 PART_NGRAMS = 1 << 21
 BLOCK_CHARS = 1 << 21
-#: Stands for the word before the first; a blank is no word.
-START = np.uint64(xxhash.xxh64_intdigest(b" "))
+BLOCK_TEXTS = 1 << 16
+UNIT = 1e8
+#: The word before the first one; no word has this hash.
+START = 0
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, A-Z in lower case, and the text of each."""
+    """48-bit hash of every word, A-Z in lower case, and the text of each."""
     words: list[bytes] = []
     sizes = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -61,7 +63,12 @@ def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
             own = t.lower().split()
             words += own
             sizes[i] = len(own)
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64), np.repeat(np.arange(len(texts)), sizes)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(16)
+    return np.maximum(h, np.uint64(1)), np.repeat(np.arange(len(texts)), sizes)
+
+
+def _part(words: np.ndarray, parts: int) -> np.ndarray:
+    return ((words * _ODD) >> np.uint64(33)).astype(np.int64) % parts
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def sums() -> pa.RecordBatch:
             w, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(n, pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
         for b in batches:
             texts = as_bytes(b.column("text"))
@@ -87,217 +94,200 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Known words by falling count; ``find`` gives their places, -1 for others."""
+class HotWords:
+    """The most frequent words: ``find`` gives their places, -1 for others."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int) -> None:
-        order = np.lexsort((words, -counts))
-        self.counts, self.total = counts[order], total
-        self.place = np.argsort(words[order], kind="stable").astype(np.int64)
-        self.sorted = words[order][self.place]
-        known = np.append(self.counts, max(1, total - int(self.counts.sum())))  # the last stands for the unknown word
-        self.log_share = np.log(known) - np.log(max(1, total))
-        self.log_count = np.log(known)
+    def __init__(self, words: list[int], counts: list[int]) -> None:
+        order = np.argsort(np.array(words, np.uint64), kind="stable")
+        self.words = np.array(words, np.uint64)[order]
+        self.counts = np.array(counts, np.int64)[order]
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
+        if not len(self.words):
             return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == words, self.place[at], -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
 
+    def count(self, place: np.ndarray) -> np.ndarray:
+        return np.append(self.counts, 0)[place]
 
-def vocabulary(counts: DataFrame, most: int) -> Vocabulary:
-    by_count = counts.groupBy("n").count().orderBy(F.desc("n")).collect()  # one row for each count that occurs
-    least, words, total = None, 0, sum(r["n"] * r["count"] for r in by_count)
-    for r in by_count:
-        if (words := words + r["count"]) > most:
-            break
-        least = r["n"]
-    t = counts.filter(F.col("n") >= (least if least is not None else 1 << 62)).toArrow()
-    return Vocabulary(t.column("word").to_numpy(), t.column("n").to_numpy(), total)
 
+def hot_bigrams(docs: DataFrame, hot: HotWords) -> np.ndarray:
+    """Counts of the bigrams of hot words, as a matrix."""
+    n = len(hot.words)
 
-def _pairs(texts: list[bytes | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place and text of every word, which ones are first, and the positions whose bigram with the word before has two known words."""
-    h, doc = _words(texts)
-    w = v.find(h)
-    first = np.ones(len(w), bool)
-    first[1:] = doc[1:] != doc[:-1]
-    known = ~first
-    known[1:] &= (w[1:] >= 0) & (w[:-1] >= 0)
-    return h, w, doc, first, np.flatnonzero(known)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n * n, np.int64)
+        for b in batches:
+            texts = as_bytes(b.column("text"))
+            for i, j in slices(texts):
+                h, doc = _words(texts[i:j])
+                w = hot.find(h)
+                both = (w[1:] >= 0) & (w[:-1] >= 0) & (doc[1:] == doc[:-1])
+                sums += np.bincount((w[:-1] * n + w[1:])[both], minlength=n * n)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at])], ["pair", "n"])
 
+    out = np.zeros(n * n, np.int64)
+    t = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # n^2 rows at most
+    out[t.column("pair").to_numpy()] = t.column("n").to_numpy()
+    return out.reshape(n, n)
 
-def _rare(h: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of first words that are rare and of bigrams with a rare word, and the keys of these."""
-    rare = w < 0
-    rare[1:] |= (w[:-1] < 0) & ~first[1:]
-    at = np.flatnonzero(rare)
-    before = np.where(first[at], START, h[at - 1].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    key = ((before ^ before >> np.uint64(32)) + h[at].view(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return at, key ^ key >> np.uint64(29)
 
+def _fixed(gain: np.ndarray, times: np.ndarray) -> np.ndarray:
+    return np.rint(gain * UNIT) * times
 
-_SEEN = "pair long, key long, before long, before_n long, word long, word_n long, n long"
 
+# One row: bigrams of a block for a partition, or the ids and own sums of a block, or, later, answers to a block.
+_COLUMNS = {"part": pa.int32(), "block": pa.int64(), "blocks": pa.binary(), "text": pa.binary(), "before_low": pa.binary(), "before_high": pa.binary(), "word_low": pa.binary(), "word_high": pa.binary(), "own_before": pa.binary(), "own_word": pa.binary(), "times": pa.binary(), "ids": pa.list_(pa.int64()), "sums": pa.binary(), "words": pa.binary()}
+_SCHEMA = pa.schema(list(_COLUMNS.items()))
+_DDL = ", ".join(f"{c} {'int' if t == pa.int32() else 'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'array<long>'}" for c, t in _COLUMNS.items())
 
-def bigram_counts(docs: DataFrame, v: Vocabulary, hot: int, with_rare: bool) -> DataFrame:
-    """n by pair, for the bigrams of the ``hot`` most frequent words, and by key,
-    for what needs a rare word. before and word are hashes of rare words, before_n
-    and word_n counts of frequent ones; a first word has nothing before it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(hot * hot, np.int64)
-        names = [c.split()[0] for c in _SEEN.split(", ")]
-        rows = lambda *values: pa.RecordBatch.from_arrays([pa.nulls(len(values[-1]), pa.int64()) if x is None else pa.array(x) for x in values], names)
+def _row(**values) -> dict:
+    return {c: v.tobytes() if isinstance(v, np.ndarray) else v for c, v in values.items()}
 
-        for b in batches:
-            texts = as_bytes(b.column("text"))
-            for i, j in slices(texts):
-                h, w, _, first, at = _pairs(texts[i:j], v)
-                at = at[(w[at] < hot) & (w[at - 1] < hot)]
-                sums += np.bincount(w[at - 1] * hot + w[at], minlength=hot * hot)
-                if with_rare:
-                    at, key = _rare(h, w, first)
-                    key, one, n = np.unique(key, return_index=True, return_counts=True)
-                    at = at[one]
-                    starts, a, c = first[at], np.where(first[at], -1, w[at - 1]), w[at]
-                    before_n, word_n = (pa.array(np.append(v.counts, 0)[x], mask=x < 0) for x in (a, c))
-                    yield rows(None, key.view(np.int64), pa.array(h[at - 1], mask=(a >= 0) | starts), before_n, pa.array(h[at], mask=c >= 0), word_n, n)
-        at = np.flatnonzero(sums)
-        yield rows(at, None, None, None, None, None, sums[at])
 
-    return docs.select("text").mapInArrow(count, _SEEN)
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in _COLUMNS.items()], schema=_SCHEMA)
 
 
-def hot_counts(seen: DataFrame, hot: int) -> np.ndarray:
-    """Counts of the bigrams of the ``hot`` most frequent words."""
-    out = np.zeros(hot * hot, np.int64)
-    for r in seen.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # hot^2 rows at most
-        out[r["pair"]] = r["n"]
-    return out
+def _low(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32)
 
 
-def rare_gains(seen: DataFrame, counts: DataFrame, total: int, parts: int, least: int, backoff: float) -> DataFrame:
-    """part, key and log_s of every first word and bigram that needs a rare word.
-    Each needs one count besides its own: that of the word before if it was met
-    often enough, else the word's."""
-    t = seen.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("before", "before_n", "word", "word_n")])
-    starts = F.col("before").isNull() & F.col("before_n").isNull()
-    met = ~starts & (F.col("n") >= least)
-    rest = F.when(starts, -math.log(max(1, total))).when(met, F.log("n")).otherwise(math.log(backoff) - math.log(max(1, total)))
-    need, need_n = (F.when(met, F.col(f"before{c}")).otherwise(F.col(f"word{c}")) for c in ("", "_n"))
-    t = t.select("key", met.alias("met"), rest.alias("rest"), need.alias("need"), need_n.alias("need_n"))
-    # where the count is known the key, which is no word's hash, spreads the rows
-    t = t.join(counts, F.coalesce("need", "key") == counts["word"], "left")
-    log_n = F.log(F.coalesce("need_n", "n"))
-    return t.select((F.col("key").bitwiseAND(0x7FFFFFFF) % parts).cast("int").alias("part"), "key", (F.col("rest") + F.when(F.col("met"), -log_n).otherwise(log_n)).alias("log_s"))
+def _high(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.uint16)
 
 
-_BLOCKS = "part int, block long, text binary, pair_low binary, pair_high binary, key binary, times binary, ids array<long>, sums binary, words binary"
-_NAMES = [c.split()[0] for c in _BLOCKS.split(", ")]
+def _runs(cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the stretches of equal values."""
+    edges = np.flatnonzero(np.diff(cuts)) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(cuts)], strict=True) if len(cuts) else ()
 
 
-def _deal(v: Vocabulary, table: np.ndarray, hot: int, parts: int, least: int, backoff: float, with_rare: bool):
-    seen = table.reshape(hot, hot)
-
+def _deal(hot: HotWords, seen: np.ndarray, total: int, parts: int, backoff: float):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = (TaskContext.get() and TaskContext.get().partitionId()) or 0, 0
         for b in batches:
             texts, ids = as_bytes(b.column("text")), b.column("doc_id")
-            for i, j in slices(texts, BLOCK_CHARS):
-                if j - i > 1 << 16:
-                    raise ValueError("a block holds 65536 texts at most")
-                h, w, doc, first, at = _pairs(texts[i:j], v)
-                n = j - i
-                block = task << 32 | number
+            for i, j in slices(texts, BLOCK_CHARS, BLOCK_TEXTS):
+                rows = _block(texts[i:j], ids[i:j].to_pylist(), task << 32 | number)
                 number += 1
-                gain = v.log_share[w] + np.log(backoff)
-                gain[first] = v.log_share[w[first]]
-                a, c = w[at - 1], w[at]
-                is_hot = (a < hot) & (c < hot)
-                times = np.zeros(len(at), np.int64)
-                times[is_hot] = seen[a[is_hot], c[is_hot]]
-                met = times >= least
-                gain[at[met]] = np.log(times[met]) - v.log_count[a[met]]
-                gain[at[~is_hot]] = 0.0  # left to the tables
-                if with_rare:
-                    rare, key = _rare(h, w, first)
-                    gain[rare] = 0.0
-                sums, size = np.bincount(doc, gain, n), np.bincount(doc, minlength=n)
-                yield _row(block % parts, block, ids=ids[i:j].to_pylist(), sums=sums, words=size)
-                rest = (doc[at].astype(np.uint64) << np.uint64(40) | (a << 20 | c).astype(np.uint64))[~is_hot]
-                rest, times = np.unique(rest, return_counts=True)
-                pair, text = rest & np.uint64((1 << 40) - 1), (rest >> np.uint64(40)).astype(np.uint16)
-                part = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in range(parts):
-                    own = order[cuts[p] : cuts[p + 1]]
-                    if len(own):
-                        yield _row(p, block, text=text[own], pair=pair[own], times=np.minimum(times[own], 0xFFFFFFFF).astype(np.uint32))
-                if with_rare and len(rare):
-                    part = (key & np.uint64(0x7FFFFFFF)) % np.uint64(parts)
-                    order = np.argsort(part, kind="stable")
-                    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-                        yield _row(int(part[own[0]]), block, text=doc[rare[own]].astype(np.uint16), key=key[own])
+                yield from _table(rows).to_batches()
+
+    def _block(texts: list[bytes | None], ids: list, block: int) -> list[dict]:
+        h, doc = _words(texts)
+        n = len(texts)
+        first = np.ones(len(h), bool)
+        first[1:] = doc[1:] != doc[:-1]
+        different, word = np.unique(h, return_inverse=True)
+        _, place, counts = np.unique(doc * max(1, len(different)) + word, return_inverse=True, return_counts=True)
+        own = counts[place]  # how often the text holds the word
+        before = np.where(first, -1, np.append(-1, place[:-1])[: len(h)])
+        _, at, times = np.unique((before + 1) + place * (len(counts) + 1), return_index=True, return_counts=True)  # by text
+        prev = np.maximum(at - 1, 0)
+        start = first[at]
+        v, w = np.where(start, np.uint64(START), h[prev]), h[at]
+        hot_v, hot_w = np.where(start, -1, hot.find(v)), hot.find(w)
+        own_v, own_w = np.where(start, 0, own[prev]), own[at]
+        count = np.where((hot_v >= 0) & (hot_w >= 0), np.append(seen.ravel(), 0)[np.where((hot_v >= 0) & (hot_w >= 0), hot_v * len(hot.words) + hot_w, 0)], 0) - times
+        met = (hot_v >= 0) & (hot_w >= 0) & (count > 0)
+        known = (hot_w >= 0) & (start | (hot_v >= 0))
+        gain = np.where(start, 0.0, math.log(backoff)) + np.log(np.maximum(hot.count(hot_w) - own_w, 1)) - math.log(max(1, total))
+        gain[met] = np.log(count[met]) - np.log(hot.count(hot_v)[met] - own_v[met])
+        sums = np.bincount(doc[at[known]], _fixed(gain, times)[known], n)
+        rows = [_row(part=block % parts, block=block, ids=ids, sums=sums, words=np.bincount(doc, minlength=n).astype(np.int64))]
+        rest = np.flatnonzero(~known)
+        part = _part(np.where(start | (hot_v >= 0), w, v)[rest], parts)
+        order = np.argsort(part, kind="stable")
+        for a, z in _runs(part[order]):
+            p = rest[order[a:z]]
+            rows.append(_row(part=int(part[order[a]]), block=block, text=doc[at[p]].astype(np.uint16), before_low=_low(v[p]), before_high=_high(v[p]), word_low=_low(w[p]), word_high=_high(w[p]), own_before=own_v[p].astype(np.uint32), own_word=own_w[p].astype(np.uint32), times=times[p].astype(np.uint32)))
+        return rows
 
     return deal
 
 
-def _row(part: int, block: int, ids=None, sums=None, words=None, text=None, pair=None, key=None, times=None) -> pa.RecordBatch:
-    raw = lambda x: None if x is None else x.tobytes()
-    low, high = (None, None) if pair is None else (pair.astype(np.uint32), (pair >> np.uint64(32)).astype(np.uint8))
-    values = (part, block, raw(text), raw(low), raw(high), raw(key), raw(times), ids, raw(sums), raw(words))
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], _NAMES)
-
-
-def _answer(v: Vocabulary, least: int, backoff: float, with_rare: bool):
-    schema = pa.schema([("block", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())), ("sums", pa.binary()), ("words", pa.binary())])
-
-    def by_text(block: pa.ChunkedArray, text: np.ndarray, gain: np.ndarray, sizes: np.ndarray) -> pa.Table:
-        texts, sums, at = [], [], 0
-        for n in sizes.tolist():
-            t = text[at : at + n]
-            first = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1)
-            texts.append(t[first].tobytes())
-            sums.append(np.add.reduceat(gain[at : at + n], first).tobytes())
-            at += n
-        return pa.Table.from_arrays([block, pa.array(texts, pa.binary()), pa.nulls(len(texts), schema.field("ids").type), pa.array(sums, pa.binary()), pa.nulls(len(texts), pa.binary())], schema=schema)
-
-    def frequent(asked: pa.Table) -> pa.Table:
-        columns = [asked.column(c).to_pylist() for c in ("pair_low", "pair_high", "times", "text")]
-        low, high, times, text = (np.frombuffer(b"".join(c), t) for c, t in zip(columns, (np.uint32, np.uint8, np.uint32, np.uint16), strict=True))
-        sizes = np.array([len(x) // 4 for x in columns[0]], np.int64)
-        pair = high.astype(np.int64) << 32 | low
-        table, place = np.unique(pair, return_inverse=True)
-        count = np.bincount(place, times, len(table))
-        a, c = table >> 20, table & ((1 << 20) - 1)
-        log_s = np.where(count >= least, np.log(np.maximum(count, 1)) - v.log_count[a], np.log(backoff) + v.log_share[c])
-        return by_text(asked.column("block"), text, log_s[place] * times, sizes)
-
-    def answer(group: pa.Table) -> pa.Table:
-        own = group.filter(pa.compute.is_valid(group.column("words"))).select(schema.names)
-        return pa.concat_tables([frequent(group.filter(pa.compute.is_valid(group.column("pair_low")))), own.cast(schema)])
-
-    def answer_with(group: pa.Table, gains: pa.Table) -> pa.Table:
-        asked = group.filter(pa.compute.is_valid(group.column("key")))
+def _read(t: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
+
+
+def _hash(t: pa.Table, name: str) -> np.ndarray:
+    return _read(t, f"{name}_high", np.uint16).astype(np.uint64) << np.uint64(32) | _read(t, f"{name}_low", np.uint32)
+
+
+def _lookup(counts: pa.Table):
+    words, n = counts.column("word").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+
+    def find(asked: np.ndarray) -> np.ndarray:
+        return n[np.minimum(np.searchsorted(words, asked), max(0, len(words) - 1))] if len(words) else np.zeros(len(asked), np.int64)
+
+    return find
+
+
+def _answers(block: np.ndarray, text: np.ndarray, sums: np.ndarray) -> list[dict]:
+    """One row for each block, which stand together, of the sums of its texts."""
+    rows = []
+    for a, z in _runs(block):
+        t = text[a:z]
+        starts = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1)
+        rows.append(_row(block=int(block[a]), text=t[starts], sums=np.add.reduceat(sums[a:z], starts)))
+    return rows
+
+
+def _meet(hot: HotWords, total: int, parts: int, backoff: float):
+    """Bigrams of a partition with the counts of the words it was dealt by."""
+
+    def meet(group: pa.Table, counts: pa.Table) -> pa.Table:
+        own = group.filter(pa.compute.is_valid(group.column("words"))).select(_SCHEMA.names).cast(_SCHEMA)
+        asked = group.filter(pa.compute.is_valid(group.column("text")))
         if not len(asked):
-            return answer(group)
-        text, keys = asked.column("text").to_pylist(), asked.column("key").to_pylist()
-        table, log_s = gains.column("key").to_numpy(), gains.column("log_s").to_numpy()
-        order = np.argsort(table)
-        gain = log_s[order[np.searchsorted(table, np.frombuffer(b"".join(keys), np.int64), sorter=order)]]
-        rare = by_text(asked.column("block"), np.frombuffer(b"".join(text), np.uint16), gain, np.array([len(x) // 8 for x in keys], np.int64))
-        return pa.concat_tables([answer(group), rare])
+            return own
+        v, w, times = _hash(asked, "before"), _hash(asked, "word"), _read(asked, "times", np.uint32).astype(np.int64)
+        text, own_v, own_w = _read(asked, "text", np.uint16), _read(asked, "own_before", np.uint32).astype(np.int64), _read(asked, "own_word", np.uint32).astype(np.int64)
+        block = np.repeat(asked.column("block").to_numpy(), [len(x) // 2 for x in asked.column("text").to_pylist()])
+        start, hot_v, hot_w = v == START, hot.find(v), hot.find(w)
+        _, place = np.unique((v * _ODD) ^ (w * np.uint64(0xC2B2AE3D27D4EB4F)), return_inverse=True)
+        count = np.bincount(place, times)[place].astype(np.int64) - times
+        by_word = start | (hot_v >= 0)
+        found = _lookup(counts)(np.where(by_word, w, v))
+        n_v = np.where(hot_v >= 0, hot.count(hot_v), found)
+        n_w = np.where(hot_w >= 0, hot.count(hot_w), found)
+        met = (count > 0) & ~start
+        gain = np.where(start, 0.0, math.log(backoff)) + np.log(np.maximum(n_w - own_w, 1)) - math.log(max(1, total))
+        gain[met] = np.log(count[met]) - np.log(n_v[met] - own_v[met])
+        open_ = ~met & ~by_word & (hot_w < 0)
+        rows = _answers(block, text, np.where(open_, 0.0, _fixed(gain, times)))
+        at = np.flatnonzero(open_)
+        part = _part(w[at], parts)
+        order = np.argsort(part, kind="stable")
+        for a, z in _runs(part[order]):
+            p = at[order[a:z]]
+            rows.append(_row(part=int(part[order[a]]), blocks=block[p], text=text[p], word_low=_low(w[p]), word_high=_high(w[p]), own_word=own_w[p].astype(np.uint32), times=times[p].astype(np.uint32)))
+        return pa.concat_tables([own, _table(rows)])
+
+    return meet
+
+
+def _look(total: int, backoff: float):
+    """Bigrams met in no other text, with the counts of their second words."""
+
+    def look(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _table([])
+        block, text, w, times = _read(asked, "blocks", np.int64), _read(asked, "text", np.uint16), _hash(asked, "word"), _read(asked, "times", np.uint32)
+        gain = math.log(backoff) + np.log(np.maximum(_lookup(counts)(w) - _read(asked, "own_word", np.uint32), 1)) - math.log(max(1, total))
+        order = np.lexsort((text, block))
+        return _table(_answers(block[order], text[order], _fixed(gain, times)[order]))
 
-    return answer_with if with_rare else answer
+    return look
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    total = np.zeros(1 << 16)
-    ids, words = [], np.zeros(0, np.int64)
+    total, ids, words = np.zeros(BLOCK_TEXTS), [], np.zeros(0, np.int64)
     for text, own, sums, size in zip(*[group.column(c).to_pylist() for c in ("text", "ids", "sums", "words")], strict=True):
         s = np.frombuffer(sums)
         if own is not None:
@@ -305,34 +295,37 @@ def _sum(group: pa.Table) -> pa.Table:
             total[: len(s)] += s
         else:
             total[np.frombuffer(text, np.uint16)] += s
-    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(words), pa.array(total[: len(ids)])], ["doc_id", "n_words", "log_prob"])
+    return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(words), pa.array(total[: len(ids)] / UNIT)], ["doc_id", "n_words", "log_prob"])
 
 
-def score_documents(docs: DataFrame, least: int = LEAST_COUNT, backoff: float = BACKOFF, most_words: int | None = None, hot_words: int = HOT_WORDS, part_ngrams: int = PART_NGRAMS, table_words: int = TABLE_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, backoff: float = BACKOFF, hot_words: int = HOT_WORDS, part_ngrams: int = PART_NGRAMS) -> DataFrame:
     """doc_id, n_words, log_prob and score (log_prob per word, rounded to nine
     places; null without words) of every row.
 
-    Null texts have no words. Ids may be null or repeat, other columns are
-    ignored, and an empty table gives no rows. With ``most_words`` rarer words
-    are one unknown word; without it each word has its own counts.
+    Null texts have no words. Ids may be null or repeat: rows are scored one by
+    one, and a copy counts as another text. Other columns are ignored, and an
+    empty table gives no rows. ``hot_words`` and ``part_ngrams`` are matters of
+    layout and change no score.
     """
-    with_rare = most_words is None
-    in_table = table_words if with_rare else most_words
-    if in_table > 1 << 20:
-        raise ValueError("places of words are 20 bits wide")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = written(word_counts(d), "lm-words")
-    v = vocabulary(counts, in_table)
-    hot = min(hot_words, max(1, len(v.counts)))
-    parts = max(16, -(-v.total // part_ngrams))
-    with_rare = with_rare and int(v.counts.sum()) < v.total
-    seen = bigram_counts(d, v, hot, with_rare)
-    seen = written(seen, "lm-bigrams") if with_rare else seen
-    dealt = d.mapInArrow(_deal(v, hot_counts(seen, hot), hot, parts, least, backoff, with_rare), _BLOCKS).groupBy("part")
-    answered = "block long, text binary, ids array<long>, sums binary, words binary"
-    if with_rare:
-        rare = counts.filter(F.col("n") < int(v.counts.min())) if len(v.counts) else counts
-        dealt = dealt.cogroup(rare_gains(seen, rare, v.total, parts, least, backoff).groupBy("part"))
-    answers = dealt.applyInArrow(_answer(v, least, backoff, with_rare), "block long, text binary, ids array<long>, sums binary, words binary")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "word").limit(max(1, hot_words)).collect()
+    hot = HotWords([r["word"] for r in top], [r["n"] for r in top])
+    parts = max(16, -(-total // part_ngrams))
+    dealt = d.mapInArrow(_deal(hot, hot_bigrams(d, hot), total, parts, backoff), _DDL)
+    by_part = counts.mapInArrow(_placed(parts), "part int, word long, n long").groupBy("part")
+    met = written(dealt.groupBy("part").cogroup(by_part).applyInArrow(_meet(hot, total, parts, backoff), _DDL), "lm-met")
+    rest = met.filter("blocks IS NOT NULL").groupBy("part").cogroup(by_part).applyInArrow(_look(total, backoff), _DDL)
+    answers = met.filter("block IS NOT NULL").unionByName(rest).select("block", "text", "ids", "sums", "words")
     summed = answers.groupBy("block").applyInArrow(_sum, "doc_id long, n_words long, log_prob double")
     return summed.withColumn("score", F.when(F.col("n_words") > 0, F.round(F.col("log_prob") / F.col("n_words"), 9)))
+
+
+def _placed(parts: int):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = _part(b.column("word").to_numpy().view(np.uint64), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("word"), b.column("n")], ["part", "word", "n"])
+
+    return place

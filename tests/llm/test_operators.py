@@ -319,44 +319,39 @@ def test_pivot_keeps_words():
     assert all(x in (0.0, 1.0) for i, x in enumerate(out) if i != at)
 
 
-def test_perplexity(docs, empty):
+def backoff_scores(rows, backoff=0.4):
+    """(id, words, log probability) of every row, from counts less the row's own."""
     one, two = collections.Counter(), collections.Counter()
-    words = [(i, (t or "").encode().lower().split()) for i, t in ROWS]
+    words = [(i, (t or "").encode().lower().split()) for i, t in rows]
     for _, w in words:
         one.update(w)
-        two.update(zip(w, w[1:], strict=False))
+        two.update(itertools.pairwise(w))
     n = sum(one.values())
-    for hot in (512, 3):
-        got = perplexity.score_documents(docs, hot_words=hot).collect()
-        assert len(got) == len(ROWS)
-        sums = collections.Counter((r["doc_id"], r["n_words"], round(r["log_prob"], 5)) for r in got)
-        expected = collections.Counter()
-        for i, w in words:
-            s = sum(math.log(one[x] / n) if not j else math.log(two[w[j - 1], x] / one[w[j - 1]]) if two[w[j - 1], x] > 1 else math.log(0.4 * one[x] / n) for j, x in enumerate(w))
-            expected[i, len(w), round(s, 5)] += 1
-        assert sums == expected
+    out = collections.Counter()
+    for i, w in words:
+        own, own_two, total = collections.Counter(w), collections.Counter(itertools.pairwise(w)), 0.0
+        for j, x in enumerate(w):
+            pair = (w[j - 1], x)
+            share = max(1, one[x] - own[x]) / n
+            total += math.log(share) if not j else math.log((two[pair] - own_two[pair]) / (one[pair[0]] - own[pair[0]])) if two[pair] > own_two[pair] else math.log(backoff * share)
+        out[i, len(w), round(total, 4)] += 1
+    return out
+
+
+@pytest.mark.parametrize("hot, part_ngrams", [(512, 1 << 21), (3, 50), (1, 1 << 21)])
+def test_perplexity(spark, docs, empty, hot, part_ngrams):
+    rows = [*ROWS, (50, "rare1 rare2 w1 rare1 rare2"), (51, "rare3 w2"), (52, "w3 rare3 rare1"), (53, "rare4"), (54, "rare2 w1 rare1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = perplexity.score_documents(df, hot_words=hot, part_ngrams=part_ngrams).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], round(r["log_prob"], 4)) for r in got) == backoff_scores(rows)
+    again = perplexity.score_documents(df.repartition(3), hot_words=hot, part_ngrams=part_ngrams).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    assert perplexity.score_documents(docs).count() == len(ROWS)
     assert perplexity.score_documents(empty).count() == 0
 
 
-def test_unknown_words_share_one_count(spark):
-    rows = [(1, "a a a b b c d")]
-    r = perplexity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), most_words=2).first()
-    share = {"a": 3 / 7, "b": 2 / 7, "c": 2 / 7}
-    expected = math.log(share["a"]) + 2 * math.log(2 / 3) + math.log(0.4 * share["b"]) * 2 + math.log(0.4 * share["c"]) * 2
-    assert abs(r["log_prob"] - expected) < 1e-9
-
-
-@pytest.mark.parametrize("table_words", [0, 5, 60])
-def test_rare_words_have_counts_of_their_own(spark, table_words):
-    rows = [(i, prose(700 + i, 40)) for i in range(12)] + [(20, "rare1 rare2 w1 rare1 rare2"), (21, "rare3 w2"), (22, "w3 rare3"), (23, None), (24, "rare4")]
-    one, two = collections.Counter(), collections.Counter()
-    for _, t in rows:
-        w = (t or "").split()
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    n = sum(one.values())
-    got = by_id(perplexity.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), hot_words=3, table_words=table_words))
-    for i, t in rows:
-        w = (t or "").split()
-        s = sum(math.log(one[x] / n) if not j else math.log(two[w[j - 1], x] / one[w[j - 1]]) if two[w[j - 1], x] > 1 else math.log(0.4 * one[x] / n) for j, x in enumerate(w))
-        assert got[i]["n_words"] == len(w) and abs(got[i]["log_prob"] - s) < 1e-6
+def test_blocks_of_many_texts_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "BLOCK_TEXTS", 7)
+    rows = [(i, f"w{i % 3} w1" if i % 2 else "") for i in range(40)]
+    got = perplexity.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_words"], round(r["log_prob"], 4)) for r in got) == backoff_scores(rows)
