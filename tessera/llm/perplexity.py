@@ -111,6 +111,10 @@ class HotWords:
     def count(self, place: np.ndarray) -> np.ndarray:
         return np.append(self.counts, 0)[place]
 
+    def hash(self, place: np.ndarray) -> np.ndarray:
+        """The words at the places; the place behind the last one is START's."""
+        return np.append(self.words, np.uint64(START))[place]
+
 
 def hot_bigrams(docs: DataFrame, hot: HotWords) -> np.ndarray:
     """Counts of the bigrams of hot words, as a matrix."""
@@ -160,6 +164,11 @@ def _high(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint16)
 
 
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Counts in one byte each where they all fit."""
+    return x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint32)
+
+
 def _runs(cuts: np.ndarray) -> Iterator[tuple[int, int]]:
     """(begin, end) of the stretches of equal values."""
     edges = np.flatnonzero(np.diff(cuts)) + 1
@@ -199,11 +208,18 @@ def _deal(hot: HotWords, seen: np.ndarray, total: int, parts: int, backoff: floa
         sums = np.bincount(doc[at[known]], _fixed(gain, times)[known], n)
         rows = [_row(part=block % parts, block=block, ids=ids, sums=sums, words=np.bincount(doc, minlength=n).astype(np.int64))]
         rest = np.flatnonzero(~known)
-        part = _part(np.where(start | (hot_v >= 0), w, v)[rest], parts)
-        order = np.argsort(part, kind="stable")
-        for a, z in _runs(part[order]):
+        by_word = start | (hot_v >= 0)
+        kind = _part(np.where(by_word, w, v)[rest], parts) * 3 + np.where(by_word, 0, np.where(hot_w >= 0, 1, 2))[rest]
+        order = np.argsort(kind, kind="stable")
+        places = [np.where(start, len(hot.words), hot_v), hot_w]
+        for a, z in _runs(kind[order]):
             p = rest[order[a:z]]
-            rows.append(_row(part=int(part[order[a]]), block=block, text=doc[at[p]].astype(np.uint16), before_low=_low(v[p]), before_high=_high(v[p]), word_low=_low(w[p]), word_high=_high(w[p]), own_before=own_v[p].astype(np.uint32), own_word=own_w[p].astype(np.uint32), times=times[p].astype(np.uint32)))
+            part, k = divmod(int(kind[order[a]]), 3)
+            row = _row(part=part, block=block, text=doc[at[p]].astype(np.uint16), own_before=_thin(own_v[p]), own_word=_thin(own_w[p]), times=_thin(times[p]))
+            for hot_kind, name, words, place in ((0, "before", v, places[0]), (1, "word", w, places[1])):
+                # a hot word is named by its place alone
+                row |= _row(**{f"{name}_high": place[p].astype(np.uint16)} if k == hot_kind else {f"{name}_low": _low(words[p]), f"{name}_high": _high(words[p])})
+            rows.append(row)
         return rows
 
     return deal
@@ -213,8 +229,20 @@ def _read(t: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
 
-def _hash(t: pa.Table, name: str) -> np.ndarray:
-    return _read(t, f"{name}_high", np.uint16).astype(np.uint64) << np.uint64(32) | _read(t, f"{name}_low", np.uint32)
+def _hash(t: pa.Table, name: str, hot: HotWords | None = None) -> np.ndarray:
+    high = _read(t, f"{name}_high", np.uint16)
+    if hot is not None:
+        return hot.hash(high)
+    return high.astype(np.uint64) << np.uint64(32) | _read(t, f"{name}_low", np.uint32)
+
+
+def _sizes(t: pa.Table) -> list[int]:
+    return [len(x) // 2 for x in t.column("text").to_pylist()]
+
+
+def _counts(t: pa.Table, name: str) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8 if len(x) == n else np.uint32) for x, n in zip(t.column(name).to_pylist(), _sizes(t), strict=True)]
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def _lookup(counts: pa.Table):
@@ -229,9 +257,10 @@ def _lookup(counts: pa.Table):
 
 
 def _answers(block: np.ndarray, text: np.ndarray, sums: np.ndarray) -> list[dict]:
-    """One row for each block, which stand together, of the sums of its texts."""
+    """Rows of sums by text, one for each stretch of a block's texts in their order."""
     rows = []
-    for a, z in _runs(block):
+    fresh = np.append(False, (block[1:] != block[:-1]) | (text[1:] < text[:-1]))[: len(block)]
+    for a, z in _runs(np.cumsum(fresh)):
         t = text[a:z]
         starts = np.append(0, np.flatnonzero(t[1:] != t[:-1]) + 1)
         rows.append(_row(block=int(block[a]), text=t[starts], sums=np.add.reduceat(sums[a:z], starts)))
@@ -246,9 +275,13 @@ def _meet(hot: HotWords, total: int, parts: int, backoff: float):
         asked = group.filter(pa.compute.is_valid(group.column("text")))
         if not len(asked):
             return own
-        v, w, times = _hash(asked, "before"), _hash(asked, "word"), _read(asked, "times", np.uint32).astype(np.int64)
-        text, own_v, own_w = _read(asked, "text", np.uint16), _read(asked, "own_before", np.uint32).astype(np.int64), _read(asked, "own_word", np.uint32).astype(np.int64)
-        block = np.repeat(asked.column("block").to_numpy(), [len(x) // 2 for x in asked.column("text").to_pylist()])
+        hot_before, hot_word = (pa.compute.is_null(asked.column(f"{c}_low")) for c in ("before", "word"))
+        kinds = [asked.filter(hot_before), asked.filter(hot_word), asked.filter(pa.compute.invert(pa.compute.or_(hot_before, hot_word)))]
+        v = np.concatenate([_hash(t, "before", hot if k == 0 else None) for k, t in enumerate(kinds)])
+        w = np.concatenate([_hash(t, "word", hot if k == 1 else None) for k, t in enumerate(kinds)])
+        asked = pa.concat_tables(kinds)
+        text, times, own_v, own_w = _read(asked, "text", np.uint16), *(_counts(asked, c) for c in ("times", "own_before", "own_word"))
+        block = np.repeat(asked.column("block").to_numpy(), _sizes(asked))
         start, hot_v, hot_w = v == START, hot.find(v), hot.find(w)
         _, place = np.unique((v * _ODD) ^ (w * np.uint64(0xC2B2AE3D27D4EB4F)), return_inverse=True)
         count = np.bincount(place, times)[place].astype(np.int64) - times
@@ -266,7 +299,7 @@ def _meet(hot: HotWords, total: int, parts: int, backoff: float):
         order = np.argsort(part, kind="stable")
         for a, z in _runs(part[order]):
             p = at[order[a:z]]
-            rows.append(_row(part=int(part[order[a]]), blocks=block[p], text=text[p], word_low=_low(w[p]), word_high=_high(w[p]), own_word=own_w[p].astype(np.uint32), times=times[p].astype(np.uint32)))
+            rows.append(_row(part=int(part[order[a]]), blocks=block[p], text=text[p], word_low=_low(w[p]), word_high=_high(w[p]), own_word=_thin(own_w[p]), times=_thin(times[p])))
         return pa.concat_tables([own, _table(rows)])
 
     return meet
@@ -278,8 +311,8 @@ def _look(total: int, backoff: float):
     def look(asked: pa.Table, counts: pa.Table) -> pa.Table:
         if not len(asked):
             return _table([])
-        block, text, w, times = _read(asked, "blocks", np.int64), _read(asked, "text", np.uint16), _hash(asked, "word"), _read(asked, "times", np.uint32)
-        gain = math.log(backoff) + np.log(np.maximum(_lookup(counts)(w) - _read(asked, "own_word", np.uint32), 1)) - math.log(max(1, total))
+        block, text, w, times = _read(asked, "blocks", np.int64), _read(asked, "text", np.uint16), _hash(asked, "word"), _counts(asked, "times")
+        gain = math.log(backoff) + np.log(np.maximum(_lookup(counts)(w) - _counts(asked, "own_word"), 1)) - math.log(max(1, total))
         order = np.lexsort((text, block))
         return _table(_answers(block[order], text[order], _fixed(gain, times)[order]))
 
