@@ -9,11 +9,14 @@ stay the same, so a source's words stay at its target up to the last document
 left with a fraction.
 
 On Spark: documents of a source are dealt to leaves of bounded size by a hash
-of their id; a leaf leaves one fractional document at most. These go up a
-reduction tree, ``fan_in`` to one, until one document per source is left,
-which is rounded at random. Hot sources only have more leaves. All draws come
-from generators seeded by (seed, source, level, node) over rows in a fixed
-order, so reruns agree however the table is partitioned.
+of their id, size and, where rows agree in both, their number among these, so
+null or repeated ids make no large leaf; a leaf leaves one fractional document
+at most. These go up a reduction tree, ``fan_in`` to one, until one document
+per source is left, which is rounded at random: a source misses its target by
+that document at most. Long documents meet first in every node, so the words
+of short ones are left to close them. Hot sources only have more leaves. All
+draws come from generators seeded by (seed, source, level, node) over rows in
+a fixed order, so reruns agree however the table is partitioned.
 """
 
 from __future__ import annotations
@@ -113,7 +116,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most_copies: int =
     sources = written(source_targets(sizes, weights, most_copies), "mix-sources")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most_copies)))).otherwise(0.0)
     s = small(sources.select("src", F.col("source").alias("name"), "n_docs", rate.alias("rate")))
-    rows = sizes.join(s, sizes["source"].eqNullSafe(s["name"])).select("src", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / leaf_rows)).alias("node"), "doc_id", "size", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("fraction"))
+    alike = sizes.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumn("thousand", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))))
+    alike = alike.withColumn("number", F.explode(F.sequence(F.col("thousand") * 1000, F.least(F.col("thousand") * 1000 + 999, F.col("n") - 1))))
+    rows = alike.join(s, alike["source"].eqNullSafe(s["name"])).select("src", F.pmod(F.xxhash64("doc_id", "size", "number"), F.ceil(F.col("n_docs") / leaf_rows)).alias("node"), "doc_id", "size", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("fraction"))
     done, level = [], 0
     nodes = -(-(sources.agg(F.max("n_docs")).first()[0] or 0) // leaf_rows)
     while True:
