@@ -27,27 +27,50 @@ from tessera.llm.common import written
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
+# The two in the form that only finds matches of 20 and 24 characters or more. Runs are taken whole, and an access key
+# that fails leaves too little of its run for another, so the spans are the same.
+LONG_ACCESS = r"AKIA[A-Z0-9]{16,}"
+LONG_HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 400
+#: Matches whose places are summed together.
+BLOCK = 256
 #: Labelled strings of either kind that the models are trained on at most.
 MOST_SAMPLES = 20_000
 
 
-def _matches(text: Column, pattern: str, group: int, probe: Column) -> Column:
-    """(at, size, value): place, length and group of each match from left to right; none where the probe fails."""
-    whole, part, gaps = (F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern))
-    none = F.array().cast("array<struct<size:int,gap:int,value:string>>")
-    rows = F.when(probe, F.zip_with(F.zip_with(whole, part, lambda w, v: F.struct(F.length(w).alias("size"), v.alias("value"))), gaps, lambda m, g: F.struct(m["size"].alias("size"), F.length(g).alias("gap"), m["value"].alias("value")))).otherwise(none)
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,size:int,value:string>>").alias("found"))
-    walk = F.aggregate(
-        F.filter(rows, lambda m: m["size"].isNotNull()),
-        start,
-        lambda a, m: F.struct((a["end"] + m["gap"] + m["size"]).alias("end"), F.concat(a["found"], F.array(F.struct((a["end"] + m["gap"]).alias("at"), m["size"].alias("size"), m["value"].alias("value")))).alias("found")),
-        lambda a: a["found"],
-    )
-    return walk
+def _blocks(values: Column, size: int) -> Column:
+    """An array cut into arrays of ``size`` elements."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i * size + 1, size))
+
+
+def _matches(text: Column, pattern: str, group: int, probe: Column, keep) -> Column:
+    """(at, size, value): place, length and group of the matches from left to
+    right that ``keep`` accepts; none where the probe fails.
+
+    Places are running sums, taken in blocks of ``BLOCK`` matches and then over
+    the blocks, so that no long array is copied match by match.
+    """
+    whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    if group:
+        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        pairs = F.zip_with(whole, part, lambda w, v: F.struct(F.length(w).alias("size"), v.alias("value")))
+    else:
+        pairs = F.transform(whole, lambda w: F.struct(F.length(w).alias("size"), w.alias("value")))
+    rows = F.zip_with(pairs, gaps, lambda m, g: F.struct(m["size"].alias("size"), F.length(g).alias("gap"), m["value"].alias("value")))
+    none = F.array().cast("array<struct<at:int,size:int,value:string>>")
+
+    def step(a: Column, m: Column) -> Column:
+        found = F.struct((a["end"] + m["gap"]).alias("at"), m["size"].alias("size"), m["value"].alias("value"))
+        return F.struct((a["end"] + m["gap"] + m["size"]).alias("end"), F.when(keep(found), F.concat(a["found"], F.array(found))).otherwise(a["found"]).alias("found"))
+
+    inner = F.transform(_blocks(F.filter(rows, lambda m: m["size"].isNotNull()), BLOCK), lambda b: F.aggregate(b, F.struct(F.lit(0).alias("end"), none.alias("found")), step))
+    shifted = lambda a, b: F.transform(b["found"], lambda m: F.struct((m["at"] + a["end"]).alias("at"), m["size"].alias("size"), m["value"].alias("value")))
+    outer = F.aggregate(inner, F.struct(F.lit(0).alias("end"), F.array().cast("array<array<struct<at:int,size:int,value:string>>>").alias("found")), lambda a, b: F.struct((a["end"] + b["end"]).alias("end"), F.concat(a["found"], F.array(shifted(a, b))).alias("found")), lambda a: F.flatten(a["found"]))
+    return F.when(probe, outer).otherwise(none)
 
 
 def _codes(value: Column) -> Column:
@@ -74,19 +97,21 @@ def train(samples: DataFrame) -> list[int]:
 
 
 def labelled_samples(docs: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
-    """Random strings and ordinary identifiers.
+    """Random strings and ordinary identifiers, ``most`` of either kind.
 
-    Random: digests of numbers in hexadecimal and base-64 form. Ordinary: words
-    of the documents with the lowest hashes of their ids, joined in twos by the
-    signs that names use; ``most`` strings of either kind.
+    Random: digests of numbers in hexadecimal and base-64 form. Ordinary: all
+    words of ``most / 100`` documents, those with the lowest hashes of id and
+    text, joined in twos by the signs that names use; of these the strings with
+    the lowest hashes. Both choices depend on the rows alone, so reruns agree.
     """
     ids = docs.sparkSession.range(0, most, 1, 4)
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = ids.select(F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).otherwise(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "=", ""), 1, 40)).alias("value"), F.lit(True).alias("is_random"))
-    some = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, most // 100))
+    some = docs.filter(F.col("text").isNotNull()).select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("place"), "text").orderBy("place").limit(max(1, most // 100))
     word = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
-    joined = F.transform(F.slice(word, 1, 100), lambda w, i: F.concat(w, F.element_at(F.array(*map(F.lit, ("_", "-", "/", ""))), i % 4 + 1), F.coalesce(F.get(word, i + 1), w)))
-    named = some.select(F.explode(joined).alias("value"), F.lit(False).alias("is_random")).limit(most)
+    some = some.select(word.alias("word"))
+    joined = F.transform("word", lambda w, i: F.concat(w, F.element_at(F.array(*map(F.lit, ("_", "-", "/", ""))), i % 4 + 1), F.coalesce(F.get("word", i + 1), w)))
+    named = some.select(F.explode(joined).alias("value"), F.lit(False).alias("is_random")).distinct().orderBy(F.xxhash64("value"), "value").limit(most)
     return made.unionByName(named)
 
 
@@ -94,9 +119,10 @@ def find_secrets(docs: DataFrame, model: list[int], threshold: int = THRESHOLD)
     """doc_id, n_assign, n_access, n_hex, n_markov, base_spans, spans: one row
     for each row of ``docs``, spans as arrays of (kind, begin, end).
 
-    A null text counts as empty. Matches that fail their kind's length are
-    dropped after scanning, so they still cover what they matched. A Markov
-    span that meets a base span is not repeated. Ids may be null or repeat.
+    A null text counts as empty. Assignments that fail their length still cover
+    what they matched. A Markov span that meets a base span is not repeated.
+    Ids may be null or repeat, rows are scanned one by one; an empty table
+    gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _with_spans(rows, model, threshold)
@@ -112,10 +138,10 @@ def _with_spans(rows: DataFrame, model: list[int], threshold: int) -> DataFrame:
     t = F.col("text")
     rows = rows.select(
         *kept,
-        F.filter(_matches(t, ASSIGN, 2, t.rlike(ASSIGN)), lambda m: F.length(m["value"]) >= 6).alias("assign"),
-        F.filter(_matches(t, ACCESS, 0, F.contains(t, F.lit("AKIA"))), lambda m: m["size"] >= 20).alias("access"),
-        F.filter(_matches(t, HEX, 0, t.rlike(r"[0-9a-f]{24}")), lambda m: m["size"] >= 24).alias("hex"),
-        F.filter(_matches(t, CANDIDATE, 0, t.rlike(CANDIDATE)), lambda m: m["value"].rlike("[0-9]")).alias("other"),
+        _matches(t, ASSIGN, 2, t.rlike(ASSIGN), lambda m: F.length(m["value"]) >= 6).alias("assign"),
+        _matches(t, LONG_ACCESS, 0, F.contains(t, F.lit("AKIA")), lambda m: F.lit(True)).alias("access"),
+        _matches(t, LONG_HEX, 0, t.rlike(r"[0-9a-f]{24}"), lambda m: F.lit(True)).alias("hex"),
+        _matches(t, CANDIDATE, 0, t.rlike(CANDIDATE), lambda m: m["value"].rlike("[0-9]")).alias("other"),
     )
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
 
@@ -148,12 +174,12 @@ def without_secrets(docs: DataFrame, model: list[int], threshold: int = THRESHOL
     rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _with_spans(rows, model, threshold)
     t = F.coalesce(F.col("row.text"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(
         "spans",
         start,
-        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["begin"] >= a["at"], F.concat(a["out"], F.substring(t, a["at"] + 1, s["begin"] - a["at"]), F.lit(sign))).otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
+        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["begin"] >= a["at"], F.concat(a["out"], F.array(F.substring(t, a["at"] + 1, s["begin"] - a["at"]), F.lit(sign)))).otherwise(a["out"]).alias("out")),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))),
     )
     rows = rows.select("row", F.when(F.col("row.text").isNotNull() & (F.size("spans") > 0), clean).otherwise(F.col("row.text")).alias("text"))
     kept = {"text": F.col("text"), "n_chars": F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in columns else None}
