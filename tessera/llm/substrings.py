@@ -18,9 +18,14 @@ super-k-mers of the same minimiser. So:
 
 A word goes if a repeated window covers it. Counting happens on the input only.
 
-On Spark: frequent keys are summed before the shuffle or met in joins that
-adaptive execution splits; no group but a document's own windows is gathered,
-and texts are shuffled once, by row, for steps 4 and the result together.
+Texts that stand in the table more than once lose all windows at once; one of
+each goes through these steps, with its number of rows.
+
+On Spark: texts are told apart by 128-bit hashes, so ids play no part. Sums
+are taken per task before a shuffle. In the joins that carry counts back, keys
+of more than ``HOT`` rows go to a broadcast table behind a check of its size,
+so no task gets all rows of a frequent passage; no group but a text's own
+windows is gathered.
 """
 
 from __future__ import annotations
@@ -35,12 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, slices, written
+from tessera.llm.common import as_bytes, slices, small, written
 
 K = 35
 M = 6
 HOT = 1000
-NO_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE_BITS = 24
@@ -113,13 +117,13 @@ def super_kmers(h: np.ndarray, doc: np.ndarray, k: int = K, m: int = M) -> tuple
 def _emit(k: int, m: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, k1, k2 = as_bytes(b.column("text")), b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            texts, k1, k2, rows = as_bytes(b.column("text")), *(b.column(c).to_numpy() for c in ("k1", "k2", "rows"))
             for i, j in slices(texts):
                 h, sizes = word_hashes(texts[i:j])
                 first = np.cumsum(sizes) - sizes
                 start, windows, mini, whole = super_kmers(h, np.repeat(np.arange(j - i), sizes), k, m)
                 row = np.searchsorted(first, start, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(k1[i:j][row]), pa.array(k2[i:j][row]), pa.array((start - first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(whole.view(np.int64))], ["k1", "k2", "start", "windows", "mini", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[i:j][row]), pa.array(k2[i:j][row]), pa.array(rows[i:j][row]), pa.array((start - first[row]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(mini.view(np.int64)), pa.array(whole.view(np.int64))], ["k1", "k2", "rows", "start", "windows", "mini", "whole"])
 
     return emit
 
@@ -146,8 +150,8 @@ def _pack(k: int):
     return pack
 
 
-_PACKED = pa.schema([("mini", pa.int64()), ("packed", pa.binary()), ("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int32()), ("n", pa.int64()), ("hot", pa.bool_())])
-_FLAGS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int32()), ("windows", pa.int32())])
+_PACKED = pa.schema([("mini", pa.int64()), ("packed", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("n", pa.int64()), ("hot", pa.bool_())])
+_FLAGS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -217,10 +221,12 @@ def _keep(k: int, with_text: bool):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for text, runs in zip(as_bytes(b.column("text")), b.column("runs").to_pylist(), strict=True):
+            for text, again, runs in zip(as_bytes(b.column("text")), b.column("again").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 words = (text or b"").split()
                 kept = words
-                if runs:
+                if again and len(words) >= k:
+                    kept = []
+                elif runs:
                     depth = np.zeros(len(words) + 1, np.int32)
                     for r in runs:
                         depth[r["start"]] += 1
@@ -229,36 +235,56 @@ def _keep(k: int, with_text: bool):
                 line = b" ".join(kept)
                 for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(), line.decode() if with_text else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("k1"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["k1", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return keep
 
 
+def met(rows: DataFrame, counted: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """The rows whose keys stand in ``counted``, a written table of keys and
+    their ``n`` rows. Keys of more than ``hot`` rows do not go through a shuffle."""
+    frequent = counted.filter(F.col("n") > hot).select(*keys)
+    if frequent.isEmpty():
+        return rows.join(counted.select(*keys), keys, "left_semi")
+    frequent = small(frequent)
+    rare = rows.join(frequent, keys, "left_anti").join(counted.filter(F.col("n") <= hot).select(*keys), keys, "left_semi")
+    return rows.join(frequent, keys, "left_semi").unionByName(rare)
+
+
 def remove_repeats(docs: DataFrame, k: int = K, m: int = M, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words kept, joined
     by one space; null unless ``with_text``) of every row.
 
     Words are maximal runs of bytes other than ASCII white space. Null texts
-    have no words; texts shorter than ``k`` words lose none. Rows are told apart
-    by id and a hash of the text; repeated rows make each other's windows
-    repeat. Other columns are ignored; an empty table gives no rows.
+    have no words; texts shorter than ``k`` words lose none. Ids may be null or
+    repeat; rows of equal texts make each other's windows repeat. Other columns
+    are ignored; an empty table gives no rows.
     """
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.hash("text").alias("k2"), "text")
-    r = written(d.filter(F.col("text").isNotNull()).mapInArrow(_emit(k, m), "k1 long, k2 int, start int, windows int, mini long, whole long"), "substrings-kmers")
-    twice = written(r.groupBy("mini").count().filter("count > 1").select("mini"), "substrings-twice")
-    r = written(r.join(twice, "mini"), "substrings-met")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(k), "text").alias("k2"), "text")
+    key = ["k1", "k2"]
+    again = small(written(d.filter(F.col("text").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "substrings-again"))
+    once = d.filter(F.col("text").isNotNull()).join(again, key, "left_anti")
+    copies = d.join(again, key).groupBy(*key).agg(F.first("text").alias("text"), F.first("rows").alias("rows"))
+    texts = once.select(*key, "text", F.lit(1).cast("long").alias("rows")).unionByName(written(copies, "substrings-copies").select(*key, "text", "rows"))
+    r = written(texts.mapInArrow(_emit(k, m), "k1 long, k2 long, rows long, start int, windows int, mini long, whole long"), "substrings-kmers")
+    twice = written(r.groupBy("mini").agg(F.sum("rows").alias("n")).filter("n > 1"), "substrings-twice")
+    r = written(met(r, twice, ["mini"], hot), "substrings-met")
     whole = ["mini", "whole", "windows"]
-    a = written(r.groupBy(*whole).agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "start")]), "substrings-wholes")
-    same = r.join(a.filter("n > 1").select(*whole), whole).select("k1", "k2", "start", "windows")
-    apart = written(a.groupBy("mini").agg(F.count(F.lit(1)).alias("wholes")).filter("wholes > 1"), "substrings-apart")
-    wanted = a.join(apart, "mini").withColumn("hot", F.col("wholes") > hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("mini", "start", "windows", "n", "hot")).alias("wanted"))
-    packed = d.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_pack(k), "mini long, packed binary, k1 long, k2 int, start int, n long, hot boolean")
-    any_hot = apart.filter(F.col("wholes") > hot).limit(1).count() > 0
-    flags = packed.filter(~F.col("hot")).repartition("mini").sortWithinPartitions("mini").mapInArrow(_count_buckets(k), "k1 long, k2 int, start int, windows int")
+    a = written(r.groupBy(*whole).agg(F.sum("rows").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "start")]), "substrings-wholes")
+    same = met(r.filter("rows = 1"), a.filter("n > 1").select(*whole, "n"), whole, hot).select(*key, "start", "windows")
+    apart = written(a.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "substrings-apart")
+    any_hot = not apart.filter(F.col("n") > hot).isEmpty()
+    mark = small(apart.filter(F.col("n") > hot).select(F.col("mini").alias("hot_mini")))
+    wanted = met(a, apart, ["mini"], hot).join(mark, F.col("mini") == F.col("hot_mini"), "left").withColumn("hot", F.col("hot_mini").isNotNull())
+    wanted = wanted.groupBy(*key).agg(F.collect_list(F.struct("mini", "start", "windows", "n", "hot")).alias("wanted"))
+    packed = texts.join(wanted, key).select(*key, "text", "wanted").mapInArrow(_pack(k), "mini long, packed binary, k1 long, k2 long, start int, n long, hot boolean")
+    flags = packed.filter(~F.col("hot")).repartition("mini").sortWithinPartitions("mini").mapInArrow(_count_buckets(k), "k1 long, k2 long, start int, windows int")
     if any_hot:
-        single = packed.filter("hot").select("packed", "k1", "k2", "start", "n")
-        often = single.groupBy("packed").agg(F.sum("n").alias("total")).filter("total > 1").select("packed")
-        flags = flags.unionByName(single.join(often, "packed").select("k1", "k2", "start", F.lit(1).alias("windows")))
-    runs = flags.unionByName(same).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    kept = d.join(runs, ["k1", "k2"], "left").select("k1", "text", "runs").mapInArrow(_keep(k, with_text), "k1 long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return kept.select(F.nullif("k1", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+        single = written(packed.filter("hot").select("packed", *key, "start", "n"), "substrings-single")
+        often = written(single.groupBy("packed").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n")).filter("total > 1"), "substrings-often")
+        flags = flags.unionByName(met(single.drop("n"), often, ["packed"], hot).select(*key, "start", F.lit(1).alias("windows")))
+    runs = flags.unionByName(same).groupBy(*key).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    kept = once.join(runs, key, "left").select("doc_id", "text", F.lit(False).alias("again"), "runs")
+    whole = d.join(again, key, "left_semi").withColumn("again", F.lit(True)).unionByName(d.filter(F.col("text").isNull()).withColumn("again", F.lit(False)))
+    kept = kept.unionByName(whole.select("doc_id", "text", "again", F.lit(None).cast("array<struct<start:int,windows:int>>").alias("runs")))
+    return kept.mapInArrow(_keep(k, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
