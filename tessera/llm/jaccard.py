@@ -16,9 +16,16 @@ more rows than lists of the measured length would.
 Groups of near copies share all their keys, so lists are not expanded into
 pairs at once. In a round every member of a list is compared with one pivot of
 the list; what links joins a component, and only lists that still hold several
-components go on, with another pivot. When the pairs between components are few
-for the number of postings, all of them are compared. Pairs within one
-component need no comparison and no other pair is left out.
+components go on, with another pivot. Pairs within one component need no
+comparison and no other pair is left out. Lists of more than ``HEAVY`` members
+that pivots do not settle (parts of a template under many different texts) are
+split by the next shingle that a linking pair must share: sets that link share
+their first j shingles within the first ``n - ceil(SIMILARITY n / 100) + j`` of
+each, so a member moves to one list for each shingle behind the shared one.
+What is left after ``MOST_SHARED`` shingles is compared pair by pair, in cells
+of ``CELL`` by ``CELL`` members.
+
+Documents are told apart by their sets, not by ids: a node is a distinct set.
 
 In a list, the shingles behind the shared one bound what two sets can share;
 the first shingle that a linking pair shares always passes that bound. Then
@@ -55,6 +62,10 @@ STAR_YIELD = 0.05
 #: Lowest shingles of a set that are kept at least, for comparisons without the text.
 LEAST_KNOWN = 96
 LARGEST_SMALL = 24
+#: Lists are split by further shared shingles beyond this length, and up to so many shingles.
+HEAVY = 64
+MOST_SHARED = 4
+CELL = 1000
 #: Pairs between components that are compared one by one at most while rounds are left.
 FEW_PAIRS = 200_000
 
@@ -144,24 +155,24 @@ def _keys(n: int, similarity: int, boundary: int, common: np.ndarray):
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = as_bytes(b.column("text")), b.column("doc_id")
+            texts, ids, digests = as_bytes(b.column("text")), b.column("doc_id"), b.column("digest")
             for i, j in slices(texts):
                 rows = []
                 for s in shingle_sets(texts[i:j], n):
                     size = len(s)
-                    d1, d2 = (int(_mix(s ^ np.uint64(x)).sum(dtype=np.uint64)) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47))
+                    node = int(_mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
                     subsets: list[int] = []
                     last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(size, bool)
                     prefix = size - least_overlap(size, similarity) + 1
-                    known = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: max(prefix, LEAST_KNOWN)]
+                    known = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: max(prefix + MOST_SHARED - 1, LEAST_KNOWN)]
                     listed = prefix if size and size >= nearly or size > boundary else 0
                     if 0 < size <= boundary:
                         mixed = [int(x) for x in _mix(s + np.uint64(77))]
                         for c in subset_sizes(size, boundary, similarity):
                             subsets += [(sum(x) * 0x9E3779B97F4A7C15 + c) % (1 << 64) - (1 << 63) for x in combinations(mixed, c)]
-                    rows.append((size, d1 - (1 << 63), d2 - (1 << 63), known.view(np.int64), listed, subsets))
+                    rows.append((size, node - (1 << 63), known.view(np.int64), listed, subsets))
                 c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.int64())), pa.array(c[4], pa.int32()), pa.array(c[5], pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "known", "listed", "subsets"])
+                yield pa.RecordBatch.from_arrays([ids[i:j], digests[i:j], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.int64())), pa.array(c[3], pa.int32()), pa.array(c[4], pa.list_(pa.int64()))], ["doc_id", "digest", "n", "node", "known", "listed", "subsets"])
 
     return keys
 
@@ -204,17 +215,13 @@ def _linked(n: int, similarity: int):
     return linked
 
 
-def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id (the lowest doc_id reached by links,
-    itself included) of every row.
+def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, digest (``xxhash64(text)``), n_shingles, class and component_id of every row.
 
-    Fewer than n words form one shingle; null texts and texts without words
-    have an empty set and link with nothing. Rows that repeat an id stand for
-    one document: they share a class. A row without an id has the class of its
-    equals, null if it has none. Other columns are ignored; an empty table
-    gives no rows.
+    ``class`` is a number that linked rows share, ids or not; component_id is
+    the lowest doc_id of the class, null if it has none.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
     census = written(d.select("text").mapInArrow(_census(n), "kind string, value long, times long").groupBy("kind", "value").agg(F.sum("times").alias("times")).filter((F.col("kind") != "shingle") | (F.col("times") >= COMMON_COUNT)), "jaccard-census")
     few = {(r["kind"], r["value"]): r["times"] for r in census.filter("kind <> 'shingle'").collect()}  # LARGEST_SMALL + 3 rows
     list_length = few.get(("all", 0), 0) / max(1, few.get(("all", 1), 1))
@@ -222,13 +229,13 @@ def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY
     common = [r["value"] for r in census.filter("kind = 'shingle'").orderBy(F.desc("times"), "value").limit(MOST_COMMON).collect()]
     common = np.sort(np.array(common, np.int64).view(np.uint64))
 
-    sets = written(d.mapInArrow(_keys(n, similarity, boundary, common), "doc_id long, n long, d1 long, d2 long, known array<long>, listed int, subsets array<long>"), "jaccard-sets")
-    first = written(sets.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    ids = first.filter("n > 0 AND id IS NOT NULL").select("id").distinct()
-    keyed = written(sets.filter(F.col("n") > 0).join(ids, sets["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "known", "listed", "subsets"), "jaccard-keys")
-    # a subset's key has place 0: its pairs are bounded by their sizes alone
-    in_lists = keyed.select("id", "n", F.posexplode(F.slice("known", F.lit(1), F.col("listed"))).alias("place", "key"))
-    in_subsets = keyed.filter(F.size("subsets") > 0).select("id", "n", F.lit(0).alias("place"), F.explode("subsets").alias("key"))
+    sets = d.mapInArrow(_keys(n, similarity, boundary, common), "doc_id long, digest long, n long, node long, known array<long>, listed int, subsets array<long>")
+    sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    nodes = written(sets.groupBy("n", "node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "jaccard-nodes")
+    keyed = written(sets.join(nodes.filter("n > 0").select("row"), "row", "left_semi").select(F.col("node").alias("id"), "digest", "n", "known", "listed", "subsets"), "jaccard-keys")
+    # shared: how many shingles the key stands for; a subset's key has place 0, its pairs are bounded by their sizes alone
+    in_lists = keyed.select("id", "n", F.posexplode(F.slice("known", F.lit(1), F.col("listed"))).alias("place", "key")).withColumn("shared", F.lit(1))
+    in_subsets = keyed.filter(F.size("subsets") > 0).select("id", "n", F.lit(0).alias("place"), F.explode("subsets").alias("key"), F.lit(0).alias("shared"))
     posted = written(in_lists.unionByName(in_subsets), "jaccard-postings")
     again = written(posted.groupBy("key").count().filter("count > 1").select("key"), "jaccard-again")
     lists = written(posted.join(again, "key").withColumn("component", F.col("id")), "jaccard-lists")
@@ -236,7 +243,7 @@ def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY
 
     def fits(na: str, nb: str, pa: str, pb: str):
         """Sizes and places that leave room for the shingles a link needs."""
-        room = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb))
+        room = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) + F.greatest(F.col("shared") - 1, F.lit(0))
         return (100 + similarity) * room >= similarity * (F.col(na) + F.col(nb))
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -246,25 +253,51 @@ def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY
         left = pairs.join(x, "a").join(y, "b").select("a", "na", "ka", "b", "nb", "kb").mapInArrow(_possible(similarity), "a long, b long, sure boolean")
         left = written(left.groupBy("a", "b").agg(F.max("sure").alias("sure")), "jaccard-possible")
         sure, open_pairs = left.filter("sure").select("a", "b"), left.filter("NOT sure").select("a", "b")
-        wanted = small(written(open_pairs.select(F.col("a").alias("id")).union(open_pairs.select("b")).distinct(), "jaccard-wanted"))
-        texts = written(d.join(wanted, d["doc_id"] == wanted["id"]).select("id", "text"), "jaccard-texts")
+        wanted = open_pairs.select(F.col("a").alias("id")).union(open_pairs.select("b")).distinct()
+        wanted = small(written(keyed.select("id", "digest").join(wanted, "id", "left_semi"), "jaccard-wanted"))
+        texts = written(d.select("digest", "text").join(wanted, "digest").groupBy("id").agg(F.first("text").alias("text")), "jaccard-texts")
         held = open_pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         found = held.select("a", "b", "ta", "tb").mapInArrow(_linked(n, similarity), "a long, b long").distinct()
         return written(found.unionByName(sure), "jaccard-links")
 
+    def split(lists: DataFrame, counted: DataFrame, shared: int) -> DataFrame:
+        """Lists of more than HEAVY members go on as lists of one more shared shingle."""
+        heavy = lists.filter(F.col("shared") == shared).join(counted.filter(F.col("rows") > HEAVY).select("key"), "key")
+        light = lists.join(counted.filter((F.col("rows") <= HEAVY)).select("key"), "key", "left_semi").unionByName(lists.filter("shared = 0").join(counted.filter(F.col("rows") > HEAVY).select("key"), "key", "left_semi"))
+        more = heavy.join(keyed.select("id", "known", "listed"), "id")
+        behind = F.slice("known", F.col("place") + 2, F.greatest(F.col("listed") + shared - F.col("place") - 1, F.lit(0)))
+        more = more.select("key", "id", "n", "component", "place", F.posexplode(behind).alias("step", "next"))
+        more = more.select(F.xxhash64("key", "next").alias("key"), "id", "n", (F.col("place") + 1 + F.col("step")).alias("place"), "component", F.lit(shared + 1).alias("shared"))
+        more = written(more, "jaccard-split")
+        again = more.groupBy("key").count().filter("count > 1").select("key")
+        return written(light.select(*more.columns).unionByName(more.join(again, "key", "left_semi")), "jaccard-lists")
+
+    def all_pairs(lists: DataFrame, counted: DataFrame) -> DataFrame:
+        """Pairs of different components, from cells of at most CELL by CELL members."""
+        cells = lists.join(counted.select("key", F.ceil(F.col("rows") / CELL).alias("cells")), "key").withColumn("own", F.pmod(F.xxhash64("id", "place"), "cells"))
+        one = cells.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).drop("own", "cells")
+        two = cells.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+        two = two.select("key", "i", "j", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+        return one.join(two, ["key", "i", "j"]).filter("component < cb")
+
     links = labels = tested = None
-    promised = 1.0
-    for turn in range(STAR_ROUNDS + 1):
+    promised, turn, shared = 1.0, 0, 1
+    while True:
         counted = lists.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.count(F.lit(1)).alias("parts"))
-        counted = written(counted.filter("parts > 1").select("key", ((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")), "jaccard-counted")
-        pairs = counted.agg(F.sum("pairs")).first()[0] or 0
+        counted = written(counted.filter("parts > 1").select("key", "rows", ((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")), "jaccard-counted")
+        pairs, longest = counted.agg(F.sum("pairs"), F.max("rows")).first()
         if not pairs:
             break
         lists = written(lists.join(counted.select("key"), "key"), "jaccard-lists")
-        every = pairs <= FEW_PAIRS or turn == STAR_ROUNDS or promised < STAR_YIELD
+        every = pairs <= FEW_PAIRS
+        if not every and (turn >= STAR_ROUNDS or promised < STAR_YIELD):
+            if longest > HEAVY and shared < MOST_SHARED:
+                lists = split(lists, counted, shared)
+                promised, turn, shared = 1.0, 0, shared + 1
+                continue
+            every = True
         if every:
-            other = lists.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-            met_pairs = lists.join(other, "key").filter("component < cb")
+            met_pairs = all_pairs(lists, counted)
         else:
             pivots = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long"), "id", "n", "place", "component")).alias("p"))
             pivots = pivots.select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.place").alias("pb"), F.col("p.component").alias("cb"))
@@ -279,9 +312,28 @@ def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY
         labels = written(components(links), "jaccard-components")
         if every:
             break
-        promised = found.count() / max(1, met_pairs.count())
-        lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("component"))
-    named = sets.select("doc_id", "n", "d1", "d2").join(first, ["n", "d1", "d2"]).select("doc_id", "n", F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id")).alias("id"))
-    if labels is None:
-        return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return named.join(labels, named["id"] == labels["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        promised, turn = found.count() / max(1, met_pairs.count()), turn + 1
+        lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", "place", "shared", F.coalesce("component", "id").alias("component"))
+    named = nodes.select("n", "node", "least")
+    if labels is not None:
+        labels = labels.select(F.col("node").alias("linked"), "component")
+        named = named.join(labels, (F.col("n") > 0) & (named["node"] == labels["linked"]), "left").withColumn("class", F.coalesce("component", "node"))
+        least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
+        named = named.join(least, "component", "left").select("n", "node", "class", F.when(F.col("component").isNotNull(), F.col("lowest")).otherwise(F.col("least")).alias("least"))
+    else:
+        named = named.withColumn("class", F.col("node"))
+    out = sets.select("doc_id", "digest", "n", "node").join(named, ["n", "node"])
+    return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id (the lowest doc_id reached by links,
+    itself included) of every row.
+
+    Fewer than n words form one shingle; null texts and texts without words
+    have an empty set and link with nothing. Rows are judged by their texts:
+    rows that repeat an id are in one class only if their texts are linked. A
+    row without an id has the class of its texts, null if nothing there has an
+    id. Other columns are ignored; an empty table gives no rows.
+    """
+    return jaccard_classes(docs, n, similarity).select("doc_id", "n_shingles", "component_id")

@@ -107,12 +107,20 @@ def test_repeated_windows_are_removed(docs, empty):
         gone = {j for s in range(len(w) - 34) if windows[tuple(w[s : s + 35])] > 1 for j in range(s, s + 35)}
         kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
         expected.append((i or -1, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    for hot in (1000, 0):
+    for hot in (1000, 2, 0):
         got = [(r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs, hot=hot).collect()]
         assert sorted(got) == sorted(expected)
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_null_ids(spark):
+    """Many rows without an id, of one text and of ever different ones."""
+    one = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(prose(31, 150)).alias("text"))
+    other = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("u"), F.col("id") * 50 + i)), " ").alias("text"))
+    got = substrings.remove_repeats(one.unionByName(other)).groupBy("n_words", "n_removed").count().collect()
+    assert {(r["n_words"], r["n_removed"], r["count"]) for r in got} == {(150, 150, 3000), (50, 0, 3000)}
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
@@ -160,6 +168,43 @@ def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     assert got == linked_components(rows)
 
 
+def test_heavy_lists_are_split(spark, monkeypatch):
+    """Parts of one template under different texts, with near copies among them."""
+    monkeypatch.setattr(jaccard, "FEW_PAIRS", 5)
+    monkeypatch.setattr(jaccard, "STAR_YIELD", 2.0)
+    monkeypatch.setattr(jaccard, "HEAVY", 3)
+    monkeypatch.setattr(jaccard, "CELL", 4)
+    monkeypatch.setattr(jaccard, "COMMON_COUNT", 10**6)  # shared shingles stand anywhere in the order
+    rng, template = np.random.default_rng(12), prose(77, 60)
+    rows = [(i, template + " " + prose(300 + i, 30)) for i in range(40)]
+    rows += [(100 + i, edited(rows[i][1], rng.choice(90, rng.integers(0, 4), replace=False))) for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked_components(rows)
+
+
+def test_a_common_shingle_fills_no_list(spark, monkeypatch):
+    """A line in all texts comes last in the order, so no list holds its shingles."""
+    lengths = []
+    real = jaccard.written
+
+    def watched(df, name):
+        out = real(df, name)
+        if name == "jaccard-lists":
+            lengths.append(out.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    rows = [(i, "this very line stands in all texts " + " ".join(f"u{i}x{j}" for j in range(40))) for i in range(400)] + [(1000, "this very line stands in all texts " + " ".join(f"u7x{j}" for j in range(40)) + " end")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(400)} | {1000: 7} and max(lengths) <= 2
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    rows = [(3, prose(41, 50)), (5, prose(41, 50)), (5, prose(42, 50)), (5, prose(42, 50)), (None, prose(43, 50)), (None, prose(43, 50) + " more"), (9, None), (9, "")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(3, 3), (5, 3), (5, 5), (5, 5), (None, None), (None, None), (9, 9), (9, 9)], key=str)
+
+
 def test_subset_keys_cover_every_linking_pair():
     for n in range(1, 25):
         for m in range(n, 25):

@@ -25,10 +25,15 @@ def test_stages_take_effect(spark):
     assert all(abs(r["taken"] - r["target"]) <= r["longest"] for r in by_source)
 
 
-def test_repeated_rows_stay_once(spark):
-    rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (2, "A b c d e", "en", "s", 9), (3, "other words stand here now", "en", "s", 26), (None, "a b c d e", "en", "s", 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()) == ["1", "3", "None"]
+def test_one_row_of_each_class_stays(spark):
+    rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (2, "A b c d e", "en", "s", 9), (3, "other words stand here now", "en", "s", 26), (3, "and a different text", "en", "s", 20)]
+    rows += [(None, "a b c d e", "en", "s", 9), (None, "only without an id", "en", "s", 18), (None, "only without an id", "en", "s", 18), (4, None, "en", "s", 0), (4, "", "en", "s", 0), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("digest", F.lit(1)).withColumn("class", F.lit("x"))
+    got = corpus_pipeline.drop_near_copies(spark, df, DATA)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, "a b c d e"), (3, "other words stand here now"), (3, "and a different text"), (None, "only without an id"), (4, None), (4, ""), (None, None)], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), DATA).count() == 0
 
 
 def test_near_copies_link_from_four_fifths_of_five_word_shingles(spark):
