@@ -24,16 +24,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the lowest id of each near-duplicate class, once. Rows without an id stay."""
-    found = jaccard.jaccard_components(docs, n=NEAR_WORDS, similarity=NEAR_SIMILARITY)
-    losers = small(written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct(), "near-copies"))
-    again = written(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1").select("again_id"), "near-repeats")
-    left = docs.join(losers, docs["doc_id"] == losers["copy_id"], "left_anti")
-    if again.isEmpty():
-        return left
-    again = small(again)
-    once = left.join(again, docs["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, docs["doc_id"] == again["again_id"], "left_anti").unionByName(once)
+    """One row of each near-duplicate class: that with the lowest id (rows without
+    an id come last), of equal ids that with the lowest hash of its text. Rows
+    that agree in id and text are one document. Rows without words stay.
+    """
+    found = written(jaccard.jaccard_classes(docs, n=NEAR_WORDS, similarity=NEAR_SIMILARITY).filter("n_shingles > 0"), "near-classes")
+    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    kept = written(kept.filter("rows > 1").select("class", F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("kept_digest")), "near-kept")
+    ours = found.join(kept, "class").select("doc_id", "digest", (F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))).alias("is_kept"))
+    ours = written(ours.groupBy("doc_id", "digest", "is_kept").count().filter("NOT is_kept OR count > 1"), "near-copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("digest"))
+    marked = ours.select(F.col("doc_id").alias("marked_id"), F.col("digest").alias("marked"), "is_kept")
+    same = (F.col("digest") == F.col("marked")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("marked_id"))
+    once = rows.join(small(marked.filter("is_kept")), same, "left_semi")
+    once = once.groupBy("digest", F.col("row.doc_id").alias("own_id")).agg(F.min("row").alias("row"))
+    return rows.join(small(marked), same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
