@@ -4,12 +4,14 @@ Two generative models over hashed n-grams are counted: one of the target text
 (labelled good and not toxic) and one of the raw text (every document). A
 document's log importance weight is the mean over its n-grams of
 ``log p_target - log p_raw``; the mean's denominator is raised by
-``PRIOR_NGRAMS`` so that very short texts stay near the neutral 0. A second
-reading of the same ratio keeps only n-grams that the target text avoids
-(``log ratio < AVOIDED``), which shows a few bad words in an otherwise plain
-text. Both are divided by the level that ``KEEP_GOOD`` of the labelled good
-documents reach, measured on the half of the labels that the target model has
-not seen; the smaller is the score, so -1 is the border of the target.
+``PRIOR_NGRAMS`` so that very short texts stay near the neutral 0. Two more
+readings keep only n-grams that the target text avoids: the mean over the text
+of ratios below ``AVOIDED``, which shows a few bad words in an otherwise plain
+text, and the lowest sum of ratios below ``SHUNNED`` in any ``PASSAGE`` words,
+which no length of text dilutes. Each is divided by the level that
+``KEEP_GOOD`` of the labelled good documents reach, measured on the half of
+the labels that the target model has not seen; the smallest is the score, so
+-1 is the border of the target.
 
 Selection is Gumbel top-k: keys ``score / temperature + Gumbel noise``, the
 noise a hash of the id, and the k highest keys are kept, k being the number of
@@ -32,12 +34,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import as_bytes, slices, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 ORDERS = 2
 PRIOR_NGRAMS = 20
 PRIOR_COUNT = 2.0
-AVOIDED = -0.7
-KEEP_GOOD = 0.99
+AVOIDED = -1.5
+SHUNNED = -2.0
+PASSAGE = 50
+KEEP_GOOD = 0.997
 TEMPERATURE = 0.02
 SEED = 11
 #: The target model and the border are fitted on at most this many labelled rows, those with the lowest hash of their id.
@@ -45,8 +49,9 @@ MOST_LABELS = 50_000
 EDGES = b".,;:!?\"'()"
 
 
-def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every 1- and 2-gram of the texts and the number of each text's n-grams."""
+def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words and, behind them, of the pairs of words of the
+    texts, the text of each word, and the first word of each pair."""
     h32, words, lengths = xxhash.xxh32_intdigest, [], []
     for t in texts:
         own = [w.strip(EDGES) for w in t.lower().split()] if t else []
@@ -58,7 +63,7 @@ def ngrams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     mixed = (h[pair] * np.uint64(0x9E3779B97F4A7C15) + h[pair + 1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
     ids = np.concatenate([h % np.uint64(BUCKETS), np.uint64(BUCKETS) + mixed % np.uint64(BUCKETS)]).astype(np.int64)
-    return ids, np.concatenate([doc, doc[pair]])
+    return ids, doc, pair
 
 
 def count_models(docs: DataFrame) -> np.ndarray:
@@ -69,7 +74,8 @@ def count_models(docs: DataFrame) -> np.ndarray:
         for b in batches:
             texts, good = as_bytes(b.column("text")), np.array([x is True for x in b.column("target").to_pylist()])
             for i, j in slices(texts):
-                ids, doc = ngrams(texts[i:j])
+                ids, doc, pair = ngrams(texts[i:j])
+                doc = np.concatenate([doc, doc[pair]])
                 sums[0] += np.bincount(ids, minlength=ORDERS * BUCKETS)
                 sums[1] += np.bincount(ids[good[i:j][doc]], minlength=ORDERS * BUCKETS)
         at = np.flatnonzero(sums[0])
@@ -77,8 +83,8 @@ def count_models(docs: DataFrame) -> np.ndarray:
 
     parts = docs.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
     out = np.zeros((2, ORDERS * BUCKETS), np.int64)
-    for r in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # ORDERS * BUCKETS rows at most
-        out[:, r["bucket"]] = r["raw"], r["target"]
+    t = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # ORDERS * BUCKETS rows at most
+    out[:, t.column("bucket").to_numpy()] = t.column("raw").to_numpy(), t.column("target").to_numpy()
     return out
 
 
@@ -96,22 +102,29 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 
 
 def scores_of(texts: list[bytes | None], ratios: np.ndarray) -> np.ndarray:
-    """Columns mean and avoided of each text."""
-    out = np.zeros((len(texts), 2))
+    """Columns mean, avoided and passage of each text."""
+    out = np.zeros((len(texts), 3))
     for i, j in slices(texts):
-        ids, doc = ngrams(texts[i:j])
-        r, n = ratios[ids], j - i
+        ids, word, pair = ngrams(texts[i:j])
+        r, n, doc = ratios[ids].astype(float), j - i, np.concatenate([word, word[pair]])
         size = np.bincount(doc, minlength=n) + ORDERS * PRIOR_NGRAMS
         out[i:j, 0] = np.bincount(doc, r, n) / size
         out[i:j, 1] = np.bincount(doc, np.where(r < AVOIDED, r, 0.0), n) / size
+        shunned = np.where(r < SHUNNED, r, 0.0)
+        shunned[pair] += shunned[len(word) :]
+        upto = np.concatenate([[0.0], np.cumsum(shunned[: len(word)])])
+        end = np.cumsum(np.bincount(word, minlength=n))[word]
+        np.minimum.at(out[i:j, 2], word, upto[np.minimum(np.arange(len(word)) + PASSAGE, end)] - upto[:-1])
     return out
 
 
 def _score_column(ratios: np.ndarray):
-    @F.arrow_udf("struct<mean:double,avoided:double>")
+    ratios = ratios.astype(np.float32)
+
+    @F.arrow_udf("struct<mean:double,avoided:double,passage:double>")
     def score(text: pa.Array) -> pa.Array:
         s = scores_of(as_bytes(text), ratios)
-        return pa.StructArray.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1])], ["mean", "avoided"])
+        return pa.StructArray.from_arrays([pa.array(c) for c in s.T.copy()], ["mean", "avoided", "passage"])
 
     return score
 
@@ -147,13 +160,15 @@ def kth_highest(keys: DataFrame, name: str, k: int, bins: int = 1024, few: int =
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, keep_good: float = KEEP_GOOD, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, callable]:
-    """The kept rows (doc_id, log_weight, avoided, key), and a function that
+    """The kept rows (doc_id, log_weight, avoided, passage, key), and a function that
     filters a table of documents by the same models and cut without a join.
 
     A label counts if neither quality nor toxic is null; of several for one id
     the worst counts. Without any good label all weights are 0 and every row is
     kept. Null and empty texts have score 0 and are kept. Rows that repeat an
     id share its noise; rows that tie with the last kept key are kept too.
+    Other columns are kept by the function, whatever their names. An empty
+    table gives no rows.
     """
     good = F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target")
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
@@ -164,12 +179,13 @@ def select_quality(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_L
     rows = rows.select("doc_id", "text", (F.col("target") & seen).alias("target"), (F.col("target") & ~seen).alias("held_out"))
     ratios = log_ratios(count_models(rows))
     score = _score_column(ratios)
-    scored = written(rows.select("doc_id", "held_out", score("text").alias("s")).select("doc_id", "held_out", F.col("s.mean").alias("log_weight"), F.col("s.avoided").alias("avoided")), "quality-scores")
-    levels = scored.filter("held_out").agg(*[F.percentile_approx(c, 1 - keep_good, 10_000) for c in ("log_weight", "avoided")]).first()
+    scored = written(rows.select("doc_id", "held_out", score("text").alias("s")).select("doc_id", "held_out", F.col("s.mean").alias("log_weight"), "s.avoided", "s.passage"), "quality-scores")
+    readings = ("log_weight", "avoided", "passage")
+    levels = scored.filter("held_out").agg(*[F.percentile_approx(c, 1 - keep_good, 10_000) for c in readings]).first()
     unit = [max(1e-6, -(x if x is not None else -1.0)) for x in levels]
 
     def keyed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("score", F.least(F.col("log_weight") / unit[0], F.col("avoided") / unit[1]))
+        df = df.withColumn("score", F.least(*[F.col(c) / u for c, u in zip(readings, unit, strict=True)]))
         return df.withColumn("key", F.col("score") / temperature + _noise(F.col("doc_id").cast("long"), seed))
 
     keys = keyed(scored)
@@ -179,7 +195,7 @@ def select_quality(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_L
 
     def keep(table: DataFrame) -> DataFrame:
         s = F.struct(*[F.col(c) for c in table.columns]).alias("row")
-        held = table.select(s, score("text").alias("s")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("s.mean").alias("log_weight"), F.col("s.avoided").alias("avoided"))
+        held = table.select(s, score("text").alias("s")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("s.mean").alias("log_weight"), "s.avoided", "s.passage")
         return keyed(held).filter(F.col("key") >= cut).select("row.*")
 
-    return keys.filter(F.col("key") >= cut).select("doc_id", "log_weight", "avoided", "key"), keep
+    return keys.filter(F.col("key") >= cut).select("doc_id", *readings, "key"), keep
