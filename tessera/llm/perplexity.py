@@ -43,10 +43,10 @@ from tessera.llm.common import as_bytes, slices, written
 BACKOFF = 0.4
 HOT_WORDS = 512
 #: Words counted at once in a task.
-CENSUS_WORDS = 1 << 21
+CENSUS_WORDS = 1 << 20
 #: Bigrams that one partition is meant to hold.
-PART_NGRAMS = 1 << 21
-BLOCK_CHARS = 1 << 21
+PART_NGRAMS = 1 << 20
+BLOCK_CHARS = 1 << 20
 BLOCK_TEXTS = 1 << 16
 UNIT = 1e8
 #: The word before the first one; no word has this hash.
