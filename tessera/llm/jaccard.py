@@ -66,8 +66,11 @@ LARGEST_SMALL = 24
 HEAVY = 64
 MOST_SHARED = 4
 CELL = 1000
-#: Pairs between components that are compared one by one at most while rounds are left.
+#: Pairs between components are compared at once if they are so few, or so few for each member of a list, which costs no more than a round.
 FEW_PAIRS = 200_000
+PAIRS_AT_ONCE = 4
+#: Lists are split, where pivots join little, while more pairs than this are left for each member.
+PAIRS_EACH = 32
 
 
 def shingle_sets(texts: list[bytes | None], n: int = N) -> list[np.ndarray]:
@@ -285,13 +288,13 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
     while True:
         counted = lists.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.count(F.lit(1)).alias("parts"))
         counted = written(counted.filter("parts > 1").select("key", "rows", ((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")), "jaccard-counted")
-        pairs, longest = counted.agg(F.sum("pairs"), F.max("rows")).first()
+        pairs, longest, members = counted.agg(F.sum("pairs"), F.max("rows"), F.sum("rows")).first()
         if not pairs:
             break
         lists = written(lists.join(counted.select("key"), "key"), "jaccard-lists")
-        every = pairs <= FEW_PAIRS
+        every = pairs <= max(FEW_PAIRS, PAIRS_AT_ONCE * members)
         if not every and (turn >= STAR_ROUNDS or promised < STAR_YIELD):
-            if longest > HEAVY and shared < MOST_SHARED:
+            if pairs > PAIRS_EACH * members and longest > HEAVY and shared < MOST_SHARED:
                 lists = split(lists, counted, shared)
                 promised, turn, shared = 1.0, 0, shared + 1
                 continue
