@@ -17,13 +17,10 @@ Groups of near copies share all their keys, so lists are not expanded into
 pairs at once. In a round every member of a list is compared with one pivot of
 the list; what links joins a component, and only lists that still hold several
 components go on, with another pivot. Pairs within one component need no
-comparison and no other pair is left out. Lists of more than ``HEAVY`` members
-that pivots do not settle (parts of a template under many different texts) are
-split by the next shingle that a linking pair must share: sets that link share
-their first j shingles within the first ``n - ceil(SIMILARITY n / 100) + j`` of
-each, so a member moves to one list for each shingle behind the shared one.
-What is left after ``MOST_SHARED`` shingles is compared pair by pair, in cells
-of ``CELL`` by ``CELL`` members.
+comparison and no other pair is left out. When pivots join little, or few pairs
+are left, the others are compared one by one: members of a list meet only those
+of their own and the next bands of sizes, as sizes of linking sets differ by
+``SIMILARITY`` at most, in cells of ``CELL`` members.
 
 Documents are told apart by their sets, not by ids: a node is a distinct set.
 
@@ -37,9 +34,9 @@ compared as whole texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -62,15 +59,11 @@ STAR_YIELD = 0.05
 #: Lowest shingles of a set that are kept at least, for comparisons without the text.
 LEAST_KNOWN = 96
 LARGEST_SMALL = 24
-#: Lists are split by further shared shingles beyond this length, and up to so many shingles.
-HEAVY = 64
-MOST_SHARED = 4
+#: Members of a list that one cell of pairs holds from either side, nearly.
 CELL = 1000
 #: Pairs between components are compared at once if they are so few, or so few for each member of a list, which costs no more than a round.
 FEW_PAIRS = 200_000
 PAIRS_AT_ONCE = 4
-#: Lists are split, where pivots join little, while more pairs than this are left for each member.
-PAIRS_EACH = 32
 
 
 def shingle_sets(texts: list[bytes | None], n: int = N) -> list[np.ndarray]:
@@ -110,7 +103,7 @@ def choose_boundary(sizes: dict[int, int], list_length: float, similarity: int,
     each of which costs itself and the list that it scans."""
     best = subsets = postings = 0
     for n in range(1, most + 1):
-        subsets += sizes.get(n, 0) * sum(comb(n, c) for c in subset_sizes(n, n, similarity))
+        subsets += sizes.get(n, 0) * sum(math.comb(n, c) for c in subset_sizes(n, n, similarity))
         postings += sizes.get(n, 0) * (n - least_overlap(n, similarity) + 1) * (1 + list_length)
         if subsets <= postings:
             best = n
@@ -167,7 +160,7 @@ def _keys(n: int, similarity: int, boundary: int, common: np.ndarray):
                     subsets: list[int] = []
                     last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(size, bool)
                     prefix = size - least_overlap(size, similarity) + 1
-                    known = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: max(prefix + MOST_SHARED - 1, LEAST_KNOWN)]
+                    known = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: max(prefix, LEAST_KNOWN)]
                     listed = prefix if size and size >= nearly or size > boundary else 0
                     if 0 < size <= boundary:
                         mixed = [int(x) for x in _mix(s + np.uint64(77))]
@@ -236,9 +229,9 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
     sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     nodes = written(sets.groupBy("n", "node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "jaccard-nodes")
     keyed = written(sets.join(nodes.filter("n > 0").select("row"), "row", "left_semi").select(F.col("node").alias("id"), "digest", "n", "known", "listed", "subsets"), "jaccard-keys")
-    # shared: how many shingles the key stands for; a subset's key has place 0, its pairs are bounded by their sizes alone
-    in_lists = keyed.select("id", "n", F.posexplode(F.slice("known", F.lit(1), F.col("listed"))).alias("place", "key")).withColumn("shared", F.lit(1))
-    in_subsets = keyed.filter(F.size("subsets") > 0).select("id", "n", F.lit(0).alias("place"), F.explode("subsets").alias("key"), F.lit(0).alias("shared"))
+    # a subset's key has place 0: its pairs are bounded by their sizes alone
+    in_lists = keyed.select("id", "n", F.posexplode(F.slice("known", F.lit(1), F.col("listed"))).alias("place", "key"))
+    in_subsets = keyed.filter(F.size("subsets") > 0).select("id", "n", F.lit(0).alias("place"), F.explode("subsets").alias("key"))
     posted = written(in_lists.unionByName(in_subsets), "jaccard-postings")
     again = written(posted.groupBy("key").count().filter("count > 1").select("key"), "jaccard-again")
     lists = written(posted.join(again, "key").withColumn("component", F.col("id")), "jaccard-lists")
@@ -246,7 +239,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
 
     def fits(na: str, nb: str, pa: str, pb: str):
         """Sizes and places that leave room for the shingles a link needs."""
-        room = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb)) + F.greatest(F.col("shared") - 1, F.lit(0))
+        room = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb))
         return (100 + similarity) * room >= similarity * (F.col(na) + F.col(nb))
 
     def compare(pairs: DataFrame) -> DataFrame:
@@ -263,42 +256,26 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
         found = held.select("a", "b", "ta", "tb").mapInArrow(_linked(n, similarity), "a long, b long").distinct()
         return written(found.unionByName(sure), "jaccard-links")
 
-    def split(lists: DataFrame, counted: DataFrame, shared: int) -> DataFrame:
-        """Lists of more than HEAVY members go on as lists of one more shared shingle."""
-        heavy = lists.filter(F.col("shared") == shared).join(counted.filter(F.col("rows") > HEAVY).select("key"), "key")
-        light = lists.join(counted.filter((F.col("rows") <= HEAVY)).select("key"), "key", "left_semi").unionByName(lists.filter("shared = 0").join(counted.filter(F.col("rows") > HEAVY).select("key"), "key", "left_semi"))
-        more = heavy.join(keyed.select("id", "known", "listed"), "id")
-        behind = F.slice("known", F.col("place") + 2, F.greatest(F.col("listed") + shared - F.col("place") - 1, F.lit(0)))
-        more = more.select("key", "id", "n", "component", "place", F.posexplode(behind).alias("step", "next"))
-        more = more.select(F.xxhash64("key", "next").alias("key"), "id", "n", (F.col("place") + 1 + F.col("step")).alias("place"), "component", F.lit(shared + 1).alias("shared"))
-        more = written(more, "jaccard-split")
-        again = more.groupBy("key").count().filter("count > 1").select("key")
-        return written(light.select(*more.columns).unionByName(more.join(again, "key", "left_semi")), "jaccard-lists")
-
     def all_pairs(lists: DataFrame, counted: DataFrame) -> DataFrame:
-        """Pairs of different components, from cells of at most CELL by CELL members."""
-        cells = lists.join(counted.select("key", F.ceil(F.col("rows") / CELL).alias("cells")), "key").withColumn("own", F.pmod(F.xxhash64("id", "place"), "cells"))
-        one = cells.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).drop("own", "cells")
-        two = cells.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-        two = two.select("key", "i", "j", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-        return one.join(two, ["key", "i", "j"]).filter("component < cb")
+        """Pairs of different components in the same or in adjacent bands of sizes, each once."""
+        cells = lists.join(counted.select("key", F.ceil(F.col("rows") / CELL).alias("cells")), "key").withColumn("own", F.pmod(F.xxhash64("id"), "cells"))
+        cells = cells.withColumn("band", F.floor(F.log("n") / math.log(100 / similarity)).cast("int"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+        one = cells.withColumn("i", F.col("own")).withColumn("j", every).withColumn("met", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+        two = cells.withColumn("j", F.col("own")).withColumn("i", every)
+        two = two.select("key", "i", "j", F.col("band").alias("met"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+        return one.join(two, ["key", "i", "j", "met"]).filter((F.col("component") < F.col("cb")) | ((F.col("component") > F.col("cb")) & (F.col("met") < F.col("band"))))
 
     links = labels = tested = None
-    promised, turn, shared = 1.0, 0, 1
+    promised, turn = 1.0, 0
     while True:
         counted = lists.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.count(F.lit(1)).alias("parts"))
         counted = written(counted.filter("parts > 1").select("key", "rows", ((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")), "jaccard-counted")
-        pairs, longest, members = counted.agg(F.sum("pairs"), F.max("rows"), F.sum("rows")).first()
+        pairs, members = counted.agg(F.sum("pairs"), F.sum("rows")).first()
         if not pairs:
             break
         lists = written(lists.join(counted.select("key"), "key"), "jaccard-lists")
-        every = pairs <= max(FEW_PAIRS, PAIRS_AT_ONCE * members)
-        if not every and (turn >= STAR_ROUNDS or promised < STAR_YIELD):
-            if pairs > PAIRS_EACH * members and longest > HEAVY and shared < MOST_SHARED:
-                lists = split(lists, counted, shared)
-                promised, turn, shared = 1.0, 0, shared + 1
-                continue
-            every = True
+        every = pairs <= max(FEW_PAIRS, PAIRS_AT_ONCE * members) or turn >= STAR_ROUNDS or promised < STAR_YIELD
         if every:
             met_pairs = all_pairs(lists, counted)
         else:
@@ -316,7 +293,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
         if every:
             break
         promised, turn = found.count() / max(1, met_pairs.count()), turn + 1
-        lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", "place", "shared", F.coalesce("component", "id").alias("component"))
+        lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("component"))
     named = nodes.select("n", "node", "least")
     if labels is not None:
         labels = labels.select(F.col("node").alias("linked"), "component")

@@ -169,18 +169,16 @@ def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     assert got == linked_components(rows)
 
 
-def test_heavy_lists_are_split(spark, monkeypatch):
+def test_long_lists_are_compared_in_cells(spark, monkeypatch):
     """Parts of one template under different texts, with near copies among them."""
     monkeypatch.setattr(jaccard, "FEW_PAIRS", 5)
     monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 0)
-    monkeypatch.setattr(jaccard, "PAIRS_EACH", 0)
     monkeypatch.setattr(jaccard, "STAR_YIELD", 2.0)
-    monkeypatch.setattr(jaccard, "HEAVY", 3)
     monkeypatch.setattr(jaccard, "CELL", 4)
     monkeypatch.setattr(jaccard, "COMMON_COUNT", 10**6)  # shared shingles stand anywhere in the order
     rng, template = np.random.default_rng(12), prose(77, 60)
     rows = [(i, template + " " + prose(300 + i, 30)) for i in range(40)]
-    rows += [(100 + i, edited(rows[i][1], rng.choice(90, rng.integers(0, 4), replace=False))) for i in range(20)]
+    rows += [(100 + i, edited(rows[i][1], rng.choice(90, rng.integers(0, 4), replace=False)) + " " + prose(900 + i, int(rng.integers(1, 12)))) for i in range(20)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked_components(rows)
 
