@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions.colour import num
 from tessera.operators import huffman, rd, tokens, transform, trellis
 from tessera.plans import rates, tables
 from tessera.plans.scans import script
 from tessera.plans.registry import Registry
-from tessera.sources import jpeg, progressive, views
+from tessera.sources import images, jpeg, progressive, views
+from tessera.sources.scratch import kept as _kept
+from tessera.sources.scratch import shared_dir
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
 _LUMA_75 = tables.quant_table(tables.IMAGE_MAGICK_LUMA, 75)
+#: Curves nearer than this are alike.
+CURVE_SIMILARITY = 0.10
 _AC, _DC = rd.code_array("ac_luma"), rd.code_array("dc_luma")
 
 
@@ -145,20 +152,19 @@ def _cluster(spark, sf_dir):
 
     The distances are summed on Spark and only pairs within the threshold go
     on. A round settles all images whose nearer-numbered neighbours are
-    settled: it is a leader if none of them leads.
+    settled: it is a leader if none of them leads. Each round's state is a
+    written table, and rounds end when none is left open.
     """
-    points = views.select({"rd_points": rates._points(spark, sf_dir)}, "SELECT * FROM {rd_points}")
-    near = views.select({"rd_points": points}, f"SELECT image_a, image_b FROM {rates._DISTANCE} AS d WHERE distance < 0.05e0")
-    ids = points.select("image_id").distinct()
-    state = ids.withColumn("leads", F.lit(None).cast("boolean"))
+    points = _kept(rates._points(spark, sf_dir), "rd-points")
+    near = _kept(views.select({"rd_points": points}, f"SELECT image_a, image_b FROM {rates._DISTANCE} AS d WHERE distance < {num(CURVE_SIMILARITY)}"), "rd-near")
+    state = points.select("image_id").distinct().withColumn("leads", F.lit(None).cast("boolean"))
     while True:
         before = near.join(state.select(F.col("image_id").alias("image_a"), F.col("leads").alias("known")), "image_a")
         marks = before.groupBy("image_b").agg(F.max(F.coalesce("known", F.lit(False))).alias("near_leader"), F.max(F.col("known").isNull()).alias("waits"))
         after = state.join(marks, state["image_id"] == marks["image_b"], "left")
         leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("near_leader", F.lit(False)), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
-        rows = [(r["image_id"], r["leads"]) for r in after.select("image_id", leads.alias("leads")).collect()]  # one row for each image of a corpus that is curated by hand
-        state = spark.createDataFrame(rows, "image_id int, leads boolean")
-        if all(x[1] is not None for x in rows):
+        state = _kept(after.select("image_id", leads.alias("leads")), "rd-leaders")
+        if state.filter("leads IS NULL").isEmpty():
             break
     leaders = near.join(state.filter("leads").select(F.col("image_id").alias("image_a")), "image_a")
     joined = leaders.groupBy("image_b").agg(F.min("image_a").alias("first"))
@@ -207,6 +213,52 @@ def _dqt(spark, sf_dir):
     return jpeg.quant_tables(_jpeg(spark, sf_dir))
 
 
+@_R.frame("q_png_pixels", f"{views.duck('px')}\nSELECT image_id, y, x, v FROM px")
+def _png(spark, sf_dir):
+    """Images coded as PNG and read again."""
+    pixels = images.pixels_of(images.load_images(images.as_pngs(views.blocks(spark, sf_dir).select("image_id", "n", "s"))))
+    name = F.regexp_extract("path", r"image-(-?\d+)\.png$", 1).cast("int")
+    return pixels.select(name.alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("r").cast("int").alias("v"))
+
+
+@_R.frame("q_icc_profiles", f"{views.duck('blk')}\nSELECT image_id, 65519 * (1 + image_id % 2) + image_id AS bytes, image_id % 2 = 0 AS is_xyb FROM (SELECT DISTINCT image_id FROM blk) AS i")
+def _icc(spark, sf_dir):
+    """Profiles of one segment and more, written into each image's stream and found there."""
+    streams = jpeg.encode_images(views.quantised(spark, sf_dir).select("image_id", "n", "z"), _LUMA_75)
+    size = 65519 * (1 + F.pmod("image_id", F.lit(2))) + F.col("image_id")
+    named = streams.select(F.col("image_id").cast("string").alias("path"), jpeg.with_profile("payload", size.cast("int"), F.pmod("image_id", F.lit(2)) == 0).alias("payload"))
+    return images.icc_of(named).select(F.col("path").cast("int").alias("image_id"), F.length("profile").cast("long").alias("bytes"), "is_xyb")
+
+
+@_R.frame("q_curve_sink", f"{rates.oracle()}\nSELECT image_id, " + ", ".join(f"max(CASE WHEN q = {q} THEN round(bpp, 6) END) AS bpp_{q}, max(CASE WHEN q = {q} THEN round(metric, 6) END) AS metric_{q}" for q in rd.QUALITIES) + " FROM rd_points WHERE codec = 'plain' GROUP BY image_id")
+def _curves(spark, sf_dir):
+    """The curves as CSV with a pair of columns for each quality, read again."""
+    folder = f"{shared_dir(spark)}/curves-{uuid.uuid4().hex}"
+    images.write_curves(rates._points(spark, sf_dir).filter("codec = 'plain'"), folder, rd.QUALITIES)
+    back = spark.read.option("header", True).csv(folder)
+    return back.select(F.col("image_id").cast("int").alias("image_id"), *[F.round(F.col(f"{q}_{c}").cast("double"), 6).alias(f"{c}_{q}") for q in rd.QUALITIES for c in ("bpp", "metric")])
+
+
+@_R.frame("q_front_sink", f"{rates.oracle()}\n{rates._FRONT.format(key='image_id').format(rd_points='rd_points')}")
+def _front(spark, sf_dir):
+    """The points on the front as JSON lines beside all points as CSV, read again."""
+    points = _kept(rates._points(spark, sf_dir), "rd-points")
+    folder = f"{shared_dir(spark)}/front-{uuid.uuid4().hex}"
+    images.write_front(points, views.select({"rd_points": points}, rates._FRONT.format(key="image_id")), folder)
+    return spark.read.schema("image_id int, codec string, q int, bytes long, metric double").json(f"{folder}/front")
+
+
+# Sides of an image before it is coded and the bytes of its payload; -1: it has none.
+_SIDES = [(w, h, n) for w in (0, 1, 64, 65535, 65536) for h in (-1, 1, 4096, 70000) for n in (-1, 0, 3)]
+
+
+@_R.frame("q_validate", f"WITH {tables.values_sql('sides', 'width, height, bytes', _SIDES)}\nSELECT width, height, bytes, CASE WHEN width < 1 OR width > 65535 OR height < 1 OR height > 65535 THEN 'INVALID_DIMENSIONS' WHEN bytes < 0 THEN 'MISSING_PAYLOAD' END AS error_code FROM sides")
+def _validate(spark, sf_dir):
+    sides = tables.frame(spark, "width int, height int, bytes int", _SIDES)
+    checked = jpeg.validated(sides.withColumn("payload", F.expr("CASE WHEN bytes >= 0 THEN CAST(repeat('x', bytes) AS BINARY) END")))
+    return checked.select("width", "height", "bytes", "error_code")
+
+
 _R.rows(
     "q_icc_chunks",
     "SELECT n, (n + 65518) {div} 65519 AS chunks, n - ((n + 65518) {div} 65519 - 1) * 65519 AS last_size FROM {{sizes}}".format(div="div"),

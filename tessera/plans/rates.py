@@ -18,7 +18,7 @@ def _setting_rows(qualities) -> list[tuple]:
     for codec in rd.CODECS:
         for q in qualities:
             t = tables.quant_table(tables.IMAGE_MAGICK_LUMA, q)
-            rows += [(codec, q, k, t[k], 0 if codec == "plain" else (0 if k == 0 else 5908200) + round(tables.ZERO_BIAS_LQ[k] * 10000) * rd.STRENGTH * 10) for k in range(64)]
+            rows += [(codec, q, k, t[k], rd.thresholds(codec)[k]) for k in range(64)]
     return rows
 
 
@@ -76,6 +76,8 @@ _query(
     duck="SELECT image_id, max(CASE WHEN q = 20 THEN r END) AS r20, max(CASE WHEN q = 40 THEN r END) AS r40, max(CASE WHEN q = 60 THEN r END) AS r60, max(CASE WHEN q = 80 THEN r END) AS r80, max(CASE WHEN q = 95 THEN r END) AS r95 FROM (SELECT a.image_id, a.q, round(b.bytes / a.bytes, 6) AS r FROM {rd_points} AS a JOIN {rd_points} AS b ON a.image_id = b.image_id AND a.q = b.q WHERE a.codec = 'plain' AND b.codec = 'zero_bias') AS x GROUP BY image_id",
 )
 _query("q_ab_summary", "SELECT coalesce(q, 0) AS q, round(avg(100e0 * (b.bytes - a.bytes) / a.bytes), 5) AS size_diff_pct, round(avg(b.metric - a.metric), 6) AS metric_diff, count(*) AS n FROM {rd_points} AS a JOIN {rd_points} AS b USING (image_id, q) WHERE a.codec = 'plain' AND b.codec = 'zero_bias' GROUP BY ROLLUP (q)")
-_query("q_target_size", "SELECT image_id, codec, max(q) AS q, max(bytes) AS bytes FROM {rd_points} WHERE bytes <= blocks * 24 GROUP BY image_id, codec", qualities=tuple(range(10, 101, 10)))
+# The highest of all qualities that fits in 24 bytes a block; 10 where none does. Quality and size travel as one number.
+_FIT = "SELECT image_id, codec, coalesce(max(CASE WHEN bytes <= blocks * 24 THEN q * CAST(1000000000000 AS BIGINT) + bytes END), max(CASE WHEN q = 10 THEN q * CAST(1000000000000 AS BIGINT) + bytes END)) AS best FROM {rd_points} GROUP BY image_id, codec"
+_query("q_target_size", f"SELECT image_id, codec, CAST(best // 1000000000000 AS INT) AS q, best % 1000000000000 AS bytes FROM ({_FIT}) AS f", qualities=tuple(range(10, 101)))
 _query("q_corpus_summary", "SELECT coalesce(codec, 'all') AS codec, coalesce(q, 0) AS q, count(*) AS images, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(blocks * 64 - bytes) AS BIGINT) AS saved FROM {rd_points} GROUP BY GROUPING SETS ((codec, q), (codec), ())")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.plans import tables
 from tessera.plans.registry import Registry
 from tessera.sources import views
+from tessera.sources.scratch import shared_dir
 from tessera.streaming.bands import code_bands
 
 _R = Registry()
@@ -18,8 +18,7 @@ QUERIES, ORACLE_SQL = _R.queries, _R.oracle
 
 @_R.frame("q_band_stream")
 def _bands(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    folder = f"{base.rstrip('/')}/bands-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/bands-{uuid.uuid4().hex}"
     rows = views.pixels(spark, sf_dir).groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("v"))
     rows.write.parquet(f"{folder}/rows")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/rows")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +103,22 @@ def pixels_of(images: DataFrame, channels: int = 3) -> DataFrame:
     return images.filter("payload IS NOT NULL").mapInPandas(run, f"path string, y int, x int, {kinds}")
 
 
-def write_curves(points: DataFrame, folder: str) -> None:
+def as_pngs(blocks: DataFrame) -> DataFrame:
+    """path, length and content, as of files, of gray PNG images of ``blocks``
+    (image_id, n, s), eight blocks a row, named by their ids."""
+    return blocks.groupBy("image_id").applyInArrow(_png_of, "path string, length long, content binary")
+
+
+def _png_of(group: pa.Table) -> pa.Table:
+    group = group.sort_by("n")
+    s = group.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8, 8)
+    data = write_png(s.swapaxes(1, 2).reshape(-1, 64, 1).astype(np.uint8))
+    return pa.table({"path": [f"image-{group.column('image_id')[0].as_py()}.png"], "length": [len(data)], "content": pa.array([data], pa.binary())})
+
+
+def write_curves(points: DataFrame, folder: str, qualities: Sequence[int] | None = None) -> None:
     """One CSV row for each image, a pair of columns for each quality."""
-    qualities = [r["q"] for r in points.select("q").distinct().orderBy("q").collect()]
+    qualities = list(qualities) if qualities else [r["q"] for r in points.select("q").distinct().orderBy("q").collect()]
     wide = points.groupBy("image_id").pivot("q", qualities).agg(F.first("bpp").alias("bpp"), F.first("metric").alias("metric"))
     wide.write.option("header", True).csv(folder)
 

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.huffman import code_lengths
@@ -314,6 +314,17 @@ def quant_tables(images: DataFrame) -> DataFrame:
     return images.select("image_id", "payload").mapInPandas(run, "image_id int, table_no int, k int, q int")
 
 
+def with_profile(payload: str, size: Column, xyb: Column) -> Column:
+    """Streams with a made-up profile of ``size`` bytes behind their first marker."""
+
+    @F.pandas_udf("binary")
+    def put(p: pd.Series, n: pd.Series, named: pd.Series) -> pd.Series:
+        body = [(b"XYB" if x else b"RGB") + bytes(int(k) - 3) for k, x in zip(n, named, strict=True)]
+        return pd.Series([bytes(s[:2]) + icc_segments(b) + bytes(s[2:]) for s, b in zip(p, body, strict=True)])
+
+    return put(payload, size, xyb)
+
+
 def validated(images: DataFrame, most: int = 65535) -> DataFrame:
     """``error_code`` names what is wrong with an image's sides or payload; null if nothing is."""
     side = lambda c: (F.col(c) < 1) | (F.col(c) > most)

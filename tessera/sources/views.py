@@ -1,8 +1,10 @@
 """Tables of samples, blocks, pixels and coefficients over the ``embeddings`` table.
 
-A row of 64 numbers is one 8x8 block; blocks of one label, in the order of
-their ids, form an image of eight blocks a row. ``DUCK`` holds the same views
-as common table expressions for the oracle.
+A row of 64 numbers is one 8x8 block. The blocks of one label whose ids lie in
+one stretch of ``STRETCH`` ids form, in their order, an image of eight blocks a
+row, so images are bounded whatever the table holds; the last block repeats to
+the end of its row. ``duck`` gives the same views as common table expressions
+for the oracle.
 """
 
 from __future__ import annotations
@@ -16,15 +18,20 @@ from tessera.operators import transform
 from tessera.plans import tables
 
 GAIN = 240
+#: Ids that the blocks of one image come from: 4096 rows of blocks at most.
+STRETCH = 32768
 
 
 def blocks(spark: SparkSession, sf_dir: str, gain: int = GAIN) -> DataFrame:
-    """image_id, n, by, bx, vec_id and s, the 64 samples of each whole row of blocks."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("label").alias("image_id"), "embedding")
+    """image_id, n, by, bx, vec_id and s, the 64 samples of each block."""
+    image = (F.col("label") + 1000 * F.floor(F.col("vec_id") / STRETCH)).cast("int")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", image.alias("image_id"), "embedding")
     sample = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.lit(128.0) + F.lit(float(gain)) * x.cast("double")).cast("int")))
     w = Window.partitionBy("image_id")
-    e = e.withColumn("n", (F.row_number().over(w.orderBy("vec_id")) - 1).cast("long")).withColumn("whole", F.floor(F.count(F.lit(1)).over(w) / 8) * 8)
-    return e.filter("n < whole").select("image_id", "n", F.floor(F.col("n") / 8).alias("by"), (F.col("n") % 8).alias("bx"), "vec_id", F.transform("embedding", sample).alias("s"))
+    e = e.withColumn("n", (F.row_number().over(w.orderBy("vec_id")) - 1).cast("long")).withColumn("count", F.count(F.lit(1)).over(w))
+    last = F.when(F.col("n") == F.col("count") - 1, F.ceil(F.col("count") / 8) * 8 - 1).otherwise(F.col("n"))
+    e = e.withColumn("n", F.explode(F.sequence("n", last)))
+    return e.select("image_id", "n", F.floor(F.col("n") / 8).alias("by"), (F.col("n") % 8).alias("bx"), "vec_id", F.transform("embedding", sample).alias("s"))
 
 
 def samples(spark: SparkSession, sf_dir: str, gain: int = GAIN) -> DataFrame:
@@ -77,7 +84,7 @@ def duck(*names: str, gain: int = GAIN) -> str:
     """The named views and what they need, as a WITH clause for DuckDB."""
     text = {
         "samp": f"samp AS (SELECT vec_id, label, p, least(255, greatest(0, CAST(round(128e0 + {gain}e0 * CAST(e AS DOUBLE)) AS INTEGER))) AS s FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings))",
-        "blk": "blk AS (SELECT image_id, n, n // 8 AS b_y, n % 8 AS b_x, vec_id FROM (SELECT label AS image_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, count(*) OVER (PARTITION BY label) AS cnt FROM embeddings) WHERE n < 8 * (cnt // 8))",
+        "blk": f"blk AS (SELECT image_id, n, n // 8 AS b_y, n % 8 AS b_x, vec_id FROM (SELECT image_id, vec_id, unnest(range(n, CASE WHEN n = cnt - 1 THEN (cnt + 7) // 8 * 8 ELSE n + 1 END)) AS n FROM (SELECT image_id, vec_id, row_number() OVER (PARTITION BY image_id ORDER BY vec_id) - 1 AS n, count(*) OVER (PARTITION BY image_id) AS cnt FROM (SELECT CAST(label + 1000 * (vec_id // {STRETCH}) AS INTEGER) AS image_id, vec_id FROM embeddings))))",
         "px": "px AS (SELECT image_id, b_y * 8 + p // 8 AS y, b_x * 8 + p % 8 AS x, s AS v FROM blk JOIN samp USING (vec_id))",
         "rgb": "rgb AS (SELECT image_id, b_y * 8 + a.p // 8 AS y, b_x * 8 + a.p % 8 AS x, a.s AS r, b.s AS g, c.s AS b FROM blk JOIN samp a USING (vec_id) JOIN samp b ON b.vec_id = blk.vec_id AND b.p = (a.p + 21) % 64 JOIN samp c ON c.vec_id = blk.vec_id AND c.p = (a.p + 42) % 64)",
         "crop": "crop AS (SELECT px.*, CAST(61 AS BIGINT) AS w, h FROM px JOIN (SELECT image_id, max(y) - 2 AS h FROM px GROUP BY image_id) USING (image_id) WHERE y < h AND x < 61)",
