@@ -15,30 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small, written
+from tessera.llm.license_texts import KNOWN
 
 # Spellings that count as one.
-SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("organisation", "organization"), ("favour", "favor"), ("judgement", "judgment"), ("programme", "program"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"))
+SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("unlicence", "unlicense"), ("organisation", "organization"), ("favour", "favor"), ("judgement", "judgment"), ("programme", "program"), ("non commercial", "noncommercial"), ("acknowledgement", "acknowledgment"), ("copyright holder", "copyright owner"))
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 COPYRIGHT_START = r"^[ \t]*(copyright|\(c\)|©)"
 SIGNS = r"[^\p{L}\p{N}]+"
 
-# Licences and notices looked for.
-KNOWN = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "ISC": """Copyright (c)
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "MIT": """MIT License
-Copyright (c)
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-}
-
-
 def _plain_lines(text: Column) -> Column:
     """The lines of a text in lower case without signs; copyright lines are empty."""
     line = lambda t: F.when(t.rlike(COPYRIGHT_START), F.lit("")).otherwise(F.trim(F.regexp_replace(t, SIGNS, " ")))
@@ -46,10 +30,11 @@ def _plain_lines(text: Column) -> Column:
 
 
 def _one_spelling(plain: Column) -> Column:
-    t = F.concat(F.lit(" "), plain, F.lit(" "))
+    """One spelling of every word; words stand between blanks of their own meanwhile, so neighbours are both met."""
+    t = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))
     for spelled, meant in SPELLINGS:
-        t = F.replace(t, F.lit(f" {spelled} "), F.lit(f" {meant} "))
-    return F.trim(t)
+        t = F.replace(t, F.lit(f" {spelled.replace(' ', '  ')} "), F.lit(f" {meant.replace(' ', '  ')} "))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
 
 
 def canonical(lines: Column) -> Column:
@@ -58,6 +43,7 @@ def canonical(lines: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
+    """license_id and text of the licences of ``license_texts``; any table of this form will do."""
     return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
 
 
@@ -67,7 +53,8 @@ def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     A text of one line is looked up as a text only. Null texts, and texts and
     licences with an empty canonical form, match nothing. Rows that repeat an
-    id are counted together; licences of equal form are all reported.
+    id, null or not, are counted together; licences of equal form are all
+    reported. Other columns are ignored, and an empty table gives no rows.
     """
     digest = lambda t: F.sha2(t, 256)
     table = known.select("license_id", canonical(_plain_lines(F.col("text"))).alias("form")).filter("form <> ''").select("license_id", digest(F.col("form")).alias("digest"))
@@ -81,10 +68,10 @@ def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _sql_form(text: str) -> str:
-    t = f"' ' || regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '\\1', 'g'), '{SIGNS}', ' ', 'g') || ' '"
+    t = f"' ' || replace(trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '\\1', 'g'), '{SIGNS}', ' ', 'g')), ' ', '  ') || ' '"
     for spelled, meant in SPELLINGS:
-        t = f"replace({t}, ' {spelled} ', ' {meant} ')"
-    return f"trim({t})"
+        t = f"replace({t}, ' {spelled.replace(' ', '  ')} ', ' {meant.replace(' ', '  ')} ')"
+    return f"trim(replace({t}, '  ', ' '))"
 
 
 ORACLE_SQL = f"""

@@ -285,6 +285,21 @@ def test_licenses(spark, docs, empty):
     assert licenses.find_licenses(docs, known).count() == 0 and licenses.find_licenses(empty, known).count() == 0
 
 
+def test_license_forms(spark):
+    """Whole texts in other shapes, long texts, repeated ids, and spellings side by side."""
+    known = licenses.known_licenses(spark)
+    shaped = {k: "(C) 1999 Any Body\n" + t.upper().replace("LICENSE", "Licence").replace(". ", " --\n\n ") for k, t in licenses.KNOWN.items() if "\n" in t}
+    rows = [(i, t) for i, t in enumerate(shaped.values())] + [(900, LONG + "\nReleased under the MIT licence!\n" + LONG), (901, "x"), (901, "intro\nAll rights reserved\nAll rights reserved."), (None, "Released under the MIT License")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("license_id", F.lit("z"))
+    got = {(r["doc_id"], r["license_id"], r["scope"]): r["n"] for r in licenses.find_licenses(df, known).collect()}
+    expected = {(i, k, "text"): 1 for i, k in enumerate(shaped)}
+    assert expected.items() <= got.items()
+    assert got[900, "MIT-notice", "line"] == 1 and got[901, "all-rights-reserved", "line"] == 2 and got[None, "MIT-notice", "text"] == 1
+    twice = spark.createDataFrame([("X", "Licence licence favour favour end")], "license_id string, text string")
+    assert licenses.find_licenses(spark.createDataFrame([(1, "license license favor favor end")], "doc_id long, text string"), twice).count() == 1
+    assert licenses.find_licenses(df.limit(0), known).count() == 0 and licenses.find_licenses(df, known.limit(0)).count() == 0
+
+
 def test_quality(spark, empty):
     rng = np.random.default_rng(0)
     good = [(i, " ".join(WORDS[j] for j in rng.integers(0, 200, 60))) for i in range(300)]
