@@ -61,9 +61,8 @@ LEAST_KNOWN = 96
 LARGEST_SMALL = 24
 #: Members of a list that one cell of pairs holds from either side, nearly.
 CELL = 1000
-#: Pairs between components are compared at once if they are so few, or so few for each member of a list, which costs no more than a round.
+#: Pairs between components that are compared one by one at most while rounds are left.
 FEW_PAIRS = 200_000
-PAIRS_AT_ONCE = 4
 
 
 def shingle_sets(texts: list[bytes | None], n: int = N) -> list[np.ndarray]:
@@ -227,8 +226,12 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
 
     sets = d.mapInArrow(_keys(n, similarity, boundary, common), "doc_id long, digest long, n long, node long, known array<long>, listed int, subsets array<long>")
     sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-    nodes = written(sets.groupBy("n", "node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "jaccard-nodes")
-    keyed = written(sets.join(nodes.filter("n > 0").select("row"), "row", "left_semi").select(F.col("node").alias("id"), "digest", "n", "known", "listed", "subsets"), "jaccard-keys")
+    nodes = sets.groupBy("n", "node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
+    # a set goes by its lowest doc_id, so the first pivot of a list is the oldest text; where different sets share that one, all but one go by their hash
+    firsts = nodes.filter("n > 0 AND least IS NOT NULL").groupBy("least").agg(F.min("node").alias("first"))
+    nodes = nodes.join(firsts, "least", "left").withColumn("id", F.when((F.col("n") > 0) & (F.col("node") == F.col("first")), F.col("least")).otherwise(F.col("node")))
+    nodes = written(nodes.select("n", "node", "least", "row", "id"), "jaccard-nodes")
+    keyed = written(sets.join(nodes.filter("n > 0").select("row", "id"), "row").select("id", "digest", sets["n"], "known", "listed", "subsets"), "jaccard-keys")
     # a subset's key has place 0: its pairs are bounded by their sizes alone
     in_lists = keyed.select("id", "n", F.posexplode(F.slice("known", F.lit(1), F.col("listed"))).alias("place", "key"))
     in_subsets = keyed.filter(F.size("subsets") > 0).select("id", "n", F.lit(0).alias("place"), F.explode("subsets").alias("key"))
@@ -257,25 +260,33 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
         return written(found.unionByName(sure), "jaccard-links")
 
     def all_pairs(lists: DataFrame, counted: DataFrame) -> DataFrame:
-        """Pairs of different components in the same or in adjacent bands of sizes, each once."""
-        cells = lists.join(counted.select("key", F.ceil(F.col("rows") / CELL).alias("cells")), "key").withColumn("own", F.pmod(F.xxhash64("id"), "cells"))
+        """Pairs of different components; in long lists those in the same or in
+        adjacent bands of sizes, each once."""
+        right = ["key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb")]
+        long = counted.filter(F.col("rows") > CELL).select("key", F.ceil(F.col("rows") / CELL).alias("cells"))
+        if long.isEmpty():
+            return lists.join(lists.select(*right), "key").filter("component < cb")
+        long = small(long)
+        short = lists.join(long, "key", "left_anti")
+        cells = lists.join(long, "key").withColumn("own", F.pmod(F.xxhash64("id"), "cells"))
         cells = cells.withColumn("band", F.floor(F.log("n") / math.log(100 / similarity)).cast("int"))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
         one = cells.withColumn("i", F.col("own")).withColumn("j", every).withColumn("met", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-        two = cells.withColumn("j", F.col("own")).withColumn("i", every)
-        two = two.select("key", "i", "j", F.col("band").alias("met"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-        return one.join(two, ["key", "i", "j", "met"]).filter((F.col("component") < F.col("cb")) | ((F.col("component") > F.col("cb")) & (F.col("met") < F.col("band"))))
+        two = cells.withColumn("j", F.col("own")).withColumn("i", every).select("i", "j", F.col("band").alias("met"), *right)
+        far = one.join(two, ["key", "i", "j", "met"]).filter((F.col("component") < F.col("cb")) | ((F.col("component") > F.col("cb")) & (F.col("met") < F.col("band"))))
+        columns = [*lists.columns, "b", "nb", "pb", "cb"]
+        return short.join(short.select(*right), "key").filter("component < cb").select(*columns).unionByName(far.select(*columns))
 
     links = labels = tested = None
     promised, turn = 1.0, 0
     while True:
         counted = lists.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("rows"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"), F.count(F.lit(1)).alias("parts"))
         counted = written(counted.filter("parts > 1").select("key", "rows", ((F.col("rows").cast("double") * F.col("rows") - F.col("squares")) / 2).alias("pairs")), "jaccard-counted")
-        pairs, members = counted.agg(F.sum("pairs"), F.sum("rows")).first()
+        pairs = counted.agg(F.sum("pairs")).first()[0]
         if not pairs:
             break
         lists = written(lists.join(counted.select("key"), "key"), "jaccard-lists")
-        every = pairs <= max(FEW_PAIRS, PAIRS_AT_ONCE * members) or turn >= STAR_ROUNDS or promised < STAR_YIELD
+        every = pairs <= FEW_PAIRS or turn >= STAR_ROUNDS or promised < STAR_YIELD
         if every:
             met_pairs = all_pairs(lists, counted)
         else:
@@ -294,14 +305,14 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
             break
         promised, turn = found.count() / max(1, met_pairs.count()), turn + 1
         lists = lists.drop("component").join(labels, lists["id"] == labels["node"], "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("component"))
-    named = nodes.select("n", "node", "least")
+    named = nodes.select("n", "node", "least", "id")
     if labels is not None:
         labels = labels.select(F.col("node").alias("linked"), "component")
-        named = named.join(labels, (F.col("n") > 0) & (named["node"] == labels["linked"]), "left").withColumn("class", F.coalesce("component", "node"))
+        named = named.join(labels, (F.col("n") > 0) & (named["id"] == labels["linked"]), "left").withColumn("class", F.coalesce("component", "id"))
         least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
         named = named.join(least, "component", "left").select("n", "node", "class", F.when(F.col("component").isNotNull(), F.col("lowest")).otherwise(F.col("least")).alias("least"))
     else:
-        named = named.withColumn("class", F.col("node"))
+        named = named.select("n", "node", F.col("id").alias("class"), "least")
     out = sets.select("doc_id", "digest", "n", "node").join(named, ["n", "node"])
     return out.select("doc_id", "digest", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

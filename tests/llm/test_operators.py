@@ -159,7 +159,6 @@ def test_jaccard_components(docs, empty):
 
 def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW_PAIRS", 10)
-    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 0)
     monkeypatch.setattr(jaccard, "STAR_YIELD", 0.0)
     rng = np.random.default_rng(3)
     base = [prose(100 + g, 60) for g in range(3)]
@@ -172,7 +171,6 @@ def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
 def test_long_lists_are_compared_in_cells(spark, monkeypatch):
     """Parts of one template under different texts, with near copies among them."""
     monkeypatch.setattr(jaccard, "FEW_PAIRS", 5)
-    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 0)
     monkeypatch.setattr(jaccard, "STAR_YIELD", 2.0)
     monkeypatch.setattr(jaccard, "CELL", 4)
     monkeypatch.setattr(jaccard, "COMMON_COUNT", 10**6)  # shared shingles stand anywhere in the order
