@@ -50,7 +50,7 @@ from tessera.llm.substrings import _BASE, _mix, word_hashes
 N = 4
 SIMILARITY = 85
 #: Shingles taken for common, and so put last in the order, at most. The order only steers the cost.
-MOST_COMMON = 200_000
+MOST_COMMON = 1_000_000
 COMMON_COUNT = 24
 CENSUS_SHINGLES = 1 << 21
 STAR_ROUNDS = 6
@@ -157,7 +157,7 @@ def _keys(n: int, similarity: int, boundary: int, common: np.ndarray):
                     size = len(s)
                     node = int(_mix(s ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
                     subsets: list[int] = []
-                    last = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(size, bool)
+                    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(size, bool)
                     prefix = size - least_overlap(size, similarity) + 1
                     known = np.concatenate([s[~last], s[last] | np.uint64(1 << 63)])[: max(prefix, LEAST_KNOWN)]
                     listed = prefix if size and size >= nearly or size > boundary else 0
@@ -221,8 +221,8 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
     few = {(r["kind"], r["value"]): r["times"] for r in census.filter("kind <> 'shingle'").collect()}  # LARGEST_SMALL + 3 rows
     list_length = few.get(("all", 0), 0) / max(1, few.get(("all", 1), 1))
     boundary = choose_boundary({k[1]: v for k, v in few.items() if k[0] == "size"}, list_length, similarity)
-    common = [r["value"] for r in census.filter("kind = 'shingle'").orderBy(F.desc("times"), "value").limit(MOST_COMMON).collect()]
-    common = np.sort(np.array(common, np.int64).view(np.uint64))
+    common = census.filter("kind = 'shingle'").orderBy(F.desc("times"), "value").limit(MOST_COMMON).select("value").toArrow()
+    common = np.sort(common.column("value").to_numpy().view(np.uint64))
 
     sets = d.mapInArrow(_keys(n, similarity, boundary, common), "doc_id long, digest long, n long, node long, known array<long>, listed int, subsets array<long>")
     sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
