@@ -237,6 +237,30 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty, model).count() == 0
 
 
+def test_secrets_of_a_long_text(spark, docs):
+    """A megabyte of prose with many spans: every kind at its places."""
+    key, part = "0123456789abcdef01234567", "decade added face " + "word " * 20
+    text = "".join(f"{part}{key} {part}secret=hunter22 " for _ in range(4000))
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), secrets.trained_on(docs)).first()
+    expected = sorted([(m.start(), 0, m.end()) for m in re.finditer("secret=hunter22", text)] + [(m.start(), 2, m.end()) for m in re.finditer(key, text)])
+    assert [(x["begin"], x["k"], x["end"]) for x in row["base_spans"]] == expected
+
+
+def test_markov_spans_by_plain_loops(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model, n = secrets.trained_on(docs), len(secrets.ALPHABET) + 1
+    sample = docs.filter("text IS NOT NULL").orderBy("doc_id").limit(120)
+    code = {c: i for i, c in enumerate(secrets.ALPHABET)}
+    for r in secrets.find_secrets(sample, model).join(sample.select("doc_id", "text"), "doc_id").collect():
+        expected = []
+        for m in re.finditer(secrets.CANDIDATE, r["text"]):
+            c = [code[x] for x in m[0]]
+            ratio = sum(model[a * n + b] for a, b in itertools.pairwise(c)) / (len(c) - 1)
+            if re.search("[0-9]", m[0]) and ratio >= secrets.THRESHOLD and not any(s["begin"] < m.end() and m.start() < s["end"] for s in r["base_spans"]):
+                expected.append((m.start(), m.end()))
+        assert [(s["begin"], s["end"]) for s in r["spans"] if s["k"] == 3] == expected
+
+
 def test_secrets_are_masked(docs):
     masked = secrets.without_secrets(docs, secrets.trained_on(docs))
     assert masked.columns == docs.columns
@@ -408,6 +432,14 @@ def test_top_k(spark):
     assert topk.top_k(df.filter("vec_id IN (0, 1, 2)"), F.col("id") % 20 == 0).count() == 2
 
 
+def test_top_k_of_repeated_and_null_ids(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [0.5, 0.0]), (3, [1.0, 1.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit(1)).withColumn("score", F.lit("x"))
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, k=2).collect())
+    unit = 64 * 64
+    assert got == sorted([(20, 1, 20, 5 * unit), (20, 2, 3, 3 * unit)] * 2 + [(20, 1, 3, unit // 2), (20, 2, 20, unit // 2)])
+
+
 def shares(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
@@ -441,6 +473,12 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs).count() == len(ROWS) and mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 3 > 0, "s").alias("source"), F.lit(1).alias("node"), F.lit("n").alias("size"))
+    got = mixing.mix(rows).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("copies")).collect()
+    assert sum(r["n"] for r in got) == 4000 and all(abs(r["taken"] - r["target"]) <= 3 and r["copies"] <= 3 for r in got)
+
+
 def test_pivot_keeps_words():
     rng = np.random.default_rng(1)
     f, size = rng.random(500), rng.integers(1, 90, 500)
