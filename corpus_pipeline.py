@@ -18,7 +18,7 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the border of the labelled good ones."""
+    """Documents inside the border of the labelled good ones; null and empty texts stay."""
     _, keep = quality.select_quality(docs, table(spark, sf_dir, "labels"))
     return keep(docs)
 
@@ -42,17 +42,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item; rows without an id or a text stay."""
     return decontaminate.without_overlaps(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a sign."""
+    """All documents, secrets replaced by a sign; null and empty texts stay as they are."""
     return secrets.without_secrets(docs, secrets.trained_on(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document."""
+    """How often the mix takes each document; null and empty texts are taken 0 times."""
     return mixing.mix(docs)
 
 
@@ -64,7 +64,7 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: Gumbel noise and pivotal draws have no SQL form; tests hold run() against a brute-force version.
+#: Gumbel noise and pivotal draws have no SQL form; tests check each stage's rules instead.
 ORACLE_SQL = None
 
 
