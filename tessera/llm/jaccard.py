@@ -20,7 +20,10 @@ components go on, with another pivot. Pairs within one component need no
 comparison and no other pair is left out. When pivots join little, or few pairs
 are left, the others are compared one by one: members of a list meet only those
 of their own and the next bands of sizes, as sizes of linking sets differ by
-``SIMILARITY`` at most, in cells of ``CELL`` members.
+``SIMILARITY`` at most, in cells of ``CELL`` members. A pair that shares several
+keys is made where it shares the first of them: each member brings the ``BEFORE``
+keys that precede the list's key in its own order, and a pair with a common one
+among them is left to that list.
 
 Documents are told apart by their sets, not by ids: a node is a distinct set.
 
@@ -61,6 +64,8 @@ LEAST_KNOWN = 96
 LARGEST_SMALL = 24
 #: Members of a list that one cell of pairs holds from either side, nearly.
 CELL = 1000
+#: Keys before that of its list which a member brings along; fewer only make some pairs again.
+BEFORE = 8
 #: Pairs between components that are compared one by one at most while rounds are left.
 FEW_PAIRS = 200_000
 
@@ -261,11 +266,14 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
 
     def all_pairs(lists: DataFrame, counted: DataFrame) -> DataFrame:
         """Pairs of different components; in long lists those in the same or in
-        adjacent bands of sizes, each once."""
-        right = ["key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb")]
+        adjacent bands of sizes, in the first list that they share (``BEFORE``)."""
+        before = F.slice("known", F.greatest(F.col("place") - (BEFORE - 1), F.lit(1)), F.least("place", F.lit(BEFORE)))
+        lists = written(lists.join(slim, "id").select(*lists.columns, before.alias("before")), "jaccard-before")
+        right = ["key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"), F.col("before").alias("bb")]
+        first = ~F.arrays_overlap("before", "bb") & fits("n", "nb", "place", "pb")
         long = counted.filter(F.col("rows") > CELL).select("key", F.ceil(F.col("rows") / CELL).alias("cells"))
         if long.isEmpty():
-            return lists.join(lists.select(*right), "key").filter("component < cb")
+            return lists.join(lists.select(*right), "key").filter(F.expr("component < cb") & first)
         long = small(long)
         short = lists.join(long, "key", "left_anti")
         cells = lists.join(long, "key").withColumn("own", F.pmod(F.xxhash64("id"), "cells"))
@@ -273,9 +281,9 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
         one = cells.withColumn("i", F.col("own")).withColumn("j", every).withColumn("met", F.explode(F.array(F.col("band"), F.col("band") - 1)))
         two = cells.withColumn("j", F.col("own")).withColumn("i", every).select("i", "j", F.col("band").alias("met"), *right)
-        far = one.join(two, ["key", "i", "j", "met"]).filter((F.col("component") < F.col("cb")) | ((F.col("component") > F.col("cb")) & (F.col("met") < F.col("band"))))
+        far = one.join(two, ["key", "i", "j", "met"]).filter(((F.col("component") < F.col("cb")) | ((F.col("component") > F.col("cb")) & (F.col("met") < F.col("band")))) & first)
         columns = [*lists.columns, "b", "nb", "pb", "cb"]
-        return short.join(short.select(*right), "key").filter("component < cb").select(*columns).unionByName(far.select(*columns))
+        return short.join(short.select(*right), "key").filter(F.expr("component < cb") & first).select(*columns).unionByName(far.select(*columns))
 
     links = labels = tested = None
     promised, turn = 1.0, 0
@@ -308,9 +316,11 @@ def jaccard_classes(docs: DataFrame, n: int = N, similarity: int = SIMILARITY) -
     named = nodes.select("n", "node", "least", "id")
     if labels is not None:
         labels = labels.select(F.col("node").alias("linked"), "component")
-        named = named.join(labels, (F.col("n") > 0) & (named["id"] == labels["linked"]), "left").withColumn("class", F.coalesce("component", "id"))
-        least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("lowest"))
-        named = named.join(least, "component", "left").select("n", "node", "class", F.when(F.col("component").isNotNull(), F.col("lowest")).otherwise(F.col("least")).alias("least"))
+        named = written(named.join(labels, (F.col("n") > 0) & (named["id"] == labels["linked"]), "left"), "jaccard-named")
+        linked = named.filter("component IS NOT NULL")
+        least = small(written(linked.groupBy("component").agg(F.min("least").alias("lowest")), "jaccard-least"))
+        alone = named.filter("component IS NULL").select("n", "node", F.col("id").alias("class"), "least")
+        named = alone.unionByName(linked.join(least, "component").select("n", "node", F.col("component").alias("class"), F.col("lowest").alias("least")))
     else:
         named = named.select("n", "node", F.col("id").alias("class"), "least")
     out = sets.select("doc_id", "digest", "n", "node").join(named, ["n", "node"])
