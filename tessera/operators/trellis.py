@@ -6,9 +6,15 @@ so a batch costs one pass of the dynamic program whatever its size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tessera.operators.transform import map_blocks
 from tessera.plans.tables import ZIGZAG
@@ -17,6 +23,39 @@ _Z = np.array(ZIGZAG)
 SCALE_1, SCALE_2 = 14.75, 16.5
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Which values are chosen by rate and error, and how much error weighs.
+
+    ``ac`` and ``dc``: the values of blocks and the chain of their first ones;
+    rounded where false. ``runs``: blocks are emptied to join runs of empty ones.
+    """
+
+    ac: bool = True
+    dc: bool = True
+    runs: bool = True
+    scale_1: float = SCALE_1
+    scale_2: float = SCALE_2
+
+
+ROUNDED = Settings(ac=False, dc=False, runs=False)
+
+
+class Band(NamedTuple):
+    """Blocks quantised in a band of positions, and what that costs.
+
+    ``zero_cost``: error of an empty band; ``cost``: rate and error of the
+    chosen values; ``skip_cost``: the same without the code that ends a block;
+    ``status``: 2 empty, 1 ends in zeros, 0 ends in a value.
+    """
+
+    z: np.ndarray
+    zero_cost: np.ndarray
+    cost: np.ndarray
+    skip_cost: np.ndarray
+    status: np.ndarray
+
+
 def block_lambda(raw: np.ndarray, scale_1: float = SCALE_1, scale_2: float = SCALE_2) -> np.ndarray:
     """Weight of distortion by a block's activity; ``raw`` is scaled by 8, natural order."""
     if scale_2 <= 0:
@@ -33,31 +72,32 @@ def round_to_table(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.sign(raw) * ((np.abs(raw) + q // 2) // q)
 
 
-def trellis_ac(raw: np.ndarray, table: list[int], lengths: list[int], scale_1: float = SCALE_1, scale_2: float = SCALE_2) -> np.ndarray:
-    """Quantised blocks, zigzag order, of the least rate plus weighted error.
+def trellis_band(raw: np.ndarray, table: list[int], lengths: list[int], first: int = 1, last: int = 63, settings: Settings = Settings()) -> Band:
+    """Blocks quantised from zigzag position ``first`` to ``last`` with the least
+    rate plus weighted error; values outside the band are 0.
 
     State: the last position with a value. Candidates of a position are the
     rounded value and 2^k - 1 below it; a value's cost is its code and extra
     bits, the codes of sixteen zeros before it and its squared error over q^2;
     zeros in between cost their own error. Ends with the cheapest tail.
     """
-    n = len(raw)
+    n, s = len(raw), first - 1
     q = np.array(table)[_Z]
     x = raw[:, _Z].astype(np.int64)
     size, sign = np.abs(x), np.where(x < 0, -1, 1)
-    weight = block_lambda(raw, scale_1, scale_2)[:, None] / (q.astype(float) ** 2)[None, :]
+    weight = block_lambda(raw, settings.scale_1, settings.scale_2)[:, None] / (q.astype(float) ** 2)[None, :]
     zero = size.astype(float) ** 2 * weight
-    zero[:, 0] = 0
+    zero[:, :first] = 0
     zeros = np.cumsum(zero, axis=1)
     top = np.minimum((size + 4 * q) // (8 * q), 1023)
     code = np.where(np.array(lengths) > 0, np.array(lengths, float), np.inf)
     cost = np.full((n, 64), np.inf)
-    cost[:, 0] = 0
+    cost[:, s] = 0
     value, origin = np.zeros((n, 64), np.int64), np.zeros((n, 64), np.int64)
-    for i in range(1, 64):
+    for i in range(first, last + 1):
         bits = bit_length(top[:, i])
-        run = i - 1 - np.arange(i)
-        reach = cost[:, :i] + zeros[:, i - 1 : i] - zeros[:, :i] + np.where(run >= 16, (run // 16) * code[0xF0], 0.0)
+        run = i - 1 - np.arange(s, i)
+        reach = cost[:, s:i] + zeros[:, i - 1 : i] - zeros[:, s:i] + np.where(run >= 16, (run // 16) * code[0xF0], 0.0)
         for k in range(1, int(bits.max(initial=0)) + 1):
             held = bits >= k
             v = np.where(bits == k, top[:, i], (1 << k) - 1)
@@ -66,18 +106,26 @@ def trellis_ac(raw: np.ndarray, table: list[int], lengths: list[int], scale_1: f
             j = total.argmin(axis=1)
             best = total[np.arange(n), j]
             better = held & (best < cost[:, i])
-            cost[better, i], origin[better, i], value[better, i] = best[better], j[better], v[better]
-    end = cost + zeros[:, 63:] - zeros + np.where(np.arange(64) < 63, code[0], 0.0)
-    at = end.argmin(axis=1)
+            cost[better, i], origin[better, i], value[better, i] = best[better], j[better] + s, v[better]
+    ends = cost[:, s : last + 1] + zeros[:, last : last + 1] - zeros[:, s : last + 1]
+    closed = ends + np.where(np.arange(s, last + 1) < last, code[0], 0.0)
+    end = closed.argmin(axis=1)
+    rows, at = np.arange(n), end + s
+    status = np.where(at == s, 2, np.where(at == last, 0, 1))
     out = np.zeros((n, 64), np.int64)
-    for _ in range(63):
-        live = np.flatnonzero(at > 0)
+    for _ in range(first, last + 1):
+        live = np.flatnonzero(at > s)
         if not len(live):
             break
         out[live, at[live]] = value[live, at[live]] * sign[live, at[live]]
         at[live] = origin[live, at[live]]
-    dc = 8 * table[0]
-    out[:, 0] = sign[:, 0] * ((size[:, 0] + dc // 2) // dc)
+    return Band(out, zeros[:, last], closed[rows, end], ends[rows, end], status)
+
+
+def trellis_ac(raw: np.ndarray, table: list[int], lengths: list[int], settings: Settings = Settings()) -> np.ndarray:
+    """Quantised blocks, zigzag order: the AC band by ``trellis_band``, the DC value rounded."""
+    out = trellis_band(raw, table, lengths, settings=settings).z
+    out[:, 0] = round_to_table(raw[:, 0].astype(np.int64), np.int64(table[0]))
     return out
 
 
@@ -132,20 +180,20 @@ def zero_blocks(empty_cost: list[float], full_cost: list[float], status: list[in
     one run, whose code and extra bits count with what emptying loses.
     """
     n = len(status)
-    run_bits = [0.0] + [(lengths[16 * k] or 16) + k for r in range(1, n + 2) for k in [r.bit_length() - 1]]
+    run_bits = np.array([0.0] + [(lengths[16 * k] or 16) + k for r in range(1, n + 2) for k in [r.bit_length() - 1]])
     lost = np.append(0.0, np.cumsum([0.0 if s == 2 else e for e, s in zip(empty_cost, status, strict=True)]))
-    stay = [i for i in range(n) if status[i] != 2]
-    best: dict[int, tuple[float, int]] = {-1: (0.0, -2)}
-    for i in [*stay, n]:
-        options = []
-        for j in [-1, *[s for s in stay if s < i]]:
-            run = i - j - 1 + (1 if j >= 0 and status[j] == 1 else 0)
-            options.append((best[j][0] + lost[min(i, n)] - lost[j + 1] + run_bits[run] + (full_cost[i] if i < n else 0.0), j))
-        best[i] = min(options)
-    kept, i = set(), best[n][1]
-    while i >= 0:
-        kept.add(i)
-        i = best[i][1]
+    stay = np.array([-1, *(i for i in range(n) if status[i] != 2)])
+    ends_in_zeros = np.array([0, *(int(status[i] == 1) for i in stay[1:])])
+    best, back = np.zeros(len(stay) + 1), [0] * (len(stay) + 1)
+    for k, i in enumerate([*stay[1:].tolist(), n], 1):
+        before = stay[:k]
+        options = best[:k] + lost[i] - lost[before + 1] + run_bits[i - before - 1 + ends_in_zeros[:k]]
+        back[k] = int(options.argmin())
+        best[k] = options[back[k]] + (full_cost[i] if i < n else 0.0)
+    kept, k = set(), back[len(stay)]
+    while k:
+        kept.add(int(stay[k]))
+        k = back[k]
     return [i not in kept for i in range(n)]
 
 
@@ -179,17 +227,51 @@ def dering(s: np.ndarray, dc_step: int) -> np.ndarray:
     return out
 
 
-def quantise_trellis(blocks: DataFrame, table: list[int], lengths: list[int]) -> DataFrame:
+def quantise_trellis(blocks: DataFrame, table: list[int], lengths: list[int], settings: Settings = Settings()) -> DataFrame:
     """``z`` from ``raw``, the transform scaled by 8; a narrow stage."""
-    return map_blocks(blocks, "raw", "z", "long", lambda raw: trellis_ac(raw, table, lengths))
+    if not settings.ac:
+        return map_blocks(blocks, "raw", "z", "long", lambda raw: round_to_table(raw, np.array(table))[:, _Z])
+    return map_blocks(blocks, "raw", "z", "long", lambda raw: trellis_ac(raw, table, lengths, settings))
 
 
-def quantise_dc_rows(blocks: DataFrame, dc_step: int, lengths: list[int]) -> DataFrame:
+def quantise_dc_rows(blocks: DataFrame, dc_step: int, lengths: list[int], settings: Settings = Settings()) -> DataFrame:
     """image_id, by, bx and dc: one chain for each row of blocks, which starts
     from 0; a row of blocks is a group."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bx")
-        return g[["image_id", "by", "bx"]].assign(dc=trellis_dc(np.stack(g["raw"].to_numpy()), dc_step, lengths))
+        raw = np.stack(g["raw"].to_numpy())
+        dc = trellis_dc(raw, dc_step, lengths) if settings.dc else round_to_table(raw[:, 0], np.int64(dc_step))
+        return g[["image_id", "by", "bx"]].assign(dc=dc)
 
     return blocks.groupBy("image_id", "by").applyInPandas(one, "image_id int, by long, bx long, dc long")
+
+
+def band_costs(blocks: DataFrame, table: list[int], lengths: list[int], bands: list[tuple[int, int]], settings: Settings = Settings()) -> DataFrame:
+    """image_id, by, bx, first, last, status and costs of every block in every
+    band (``Band``); a narrow stage, a batch of blocks at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("raw").flatten().to_numpy(zero_copy_only=False).reshape(-1, 64)
+            for first, last in bands:
+                found = trellis_band(raw, table, lengths, first, last, settings)
+                edges = [pa.array(np.full(len(raw), x, np.int32)) for x in (first, last)]
+                costs = [pa.array(x) for x in (found.zero_cost, found.cost, found.skip_cost)]
+                keys = [b.column(c).cast(t) for c, t in (("image_id", pa.int32()), ("by", pa.int64()), ("bx", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*keys, *edges, pa.array(found.status.astype(np.int32)), *costs], ["image_id", "by", "bx", "first", "last", "status", "zero_cost", "cost", "skip_cost"])
+
+    return blocks.select("image_id", "by", "bx", "raw").mapInArrow(run, "image_id int, by long, bx long, first int, last int, status int, zero_cost double, cost double, skip_cost double")
+
+
+def empty_in_rows(costs: DataFrame, lengths: list[int], settings: Settings = Settings()) -> DataFrame:
+    """``costs`` (``band_costs``) with ``emptied``: which blocks of a row of
+    blocks go so that runs of empty ones join. Only costs are shuffled."""
+    if not settings.runs:
+        return costs.withColumn("emptied", costs["status"] == 2)
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("bx")
+        return g.assign(emptied=zero_blocks(g["zero_cost"].tolist(), g["skip_cost"].tolist(), g["status"].tolist(), lengths))
+
+    return costs.groupBy("image_id", "by", "first").applyInPandas(one, StructType([*costs.schema.fields, StructField("emptied", BooleanType())]))

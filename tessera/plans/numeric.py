@@ -105,22 +105,12 @@ def _dc(spark, sf_dir):
 
 @_R.frame("q_eob_opt")
 def _eob(spark, sf_dir):
-    b = transform.quantise(transform.dct_blocks(views.blocks(spark, sf_dir)), tables.quant_table(tables.IMAGE_MAGICK_LUMA, 30))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("n")
-        z = np.stack(g["z"].to_numpy())[:, 30:]
-        status = np.where(~z.any(axis=1), 2, np.where(z[:, -1] != 0, 0, 1)).tolist()
-        empty = zero_blocks_cost(z)
-        drop = trellis.zero_blocks(empty, [2.0 * e ** 0.5 for e in empty], status, _AC)
-        return g[["image_id", "n"]].assign(status=status, emptied=drop)
-
-    return b.select("image_id", "n", "z").groupBy("image_id").applyInPandas(one, "image_id int, n long, status int, emptied boolean")
-
-
-def zero_blocks_cost(z: np.ndarray) -> list[float]:
-    """What emptying a band loses: the squares of its values."""
-    return (z.astype(float) ** 2).sum(axis=1).tolist()
+    # a coarse table, so that whole bands are empty
+    coarse = tables.quant_table(tables.IMAGE_MAGICK_LUMA, 10)
+    bands = [(first, last) for _, first, last, _, _ in script("simple", 1) if first]
+    costs = trellis.band_costs(_loeffler(spark, sf_dir), coarse, _AC, bands)
+    rounded = [F.round(c, 6).alias(c) for c in ("zero_cost", "cost", "skip_cost")]
+    return trellis.empty_in_rows(costs, _AC).select("image_id", "by", "bx", "first", "last", "status", *rounded, "emptied")
 
 
 @_R.frame("q_deringing")

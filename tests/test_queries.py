@@ -174,6 +174,58 @@ def test_emptied_blocks_never_cost_more():
     assert trellis.zero_blocks([0.0, 0.0], [0.0, 0.0], [2, 2], lengths) == [True, True]
 
 
+def test_emptied_blocks_are_the_cheapest_choice_of_all():
+    from itertools import product
+
+    lengths, rng = rd.code_array("ac_luma"), np.random.default_rng(9)
+
+    def cost(emptied, empty, full, status):
+        total, run = 0.0, 0
+        bits = lambda r: 0.0 if not r else (lengths[16 * (r.bit_length() - 1)] or 16) + r.bit_length() - 1
+        for gone, e, f, s in zip(emptied, empty, full, status, strict=True):
+            if gone:
+                total, run = total + (0.0 if s == 2 else e), run + 1
+            else:
+                total, run = total + bits(run) + f, int(s == 1)
+        return total + bits(run)
+
+    for _ in range(40):
+        status = rng.integers(0, 3, 7).tolist()
+        empty, full = (rng.uniform(0, 30, 7).tolist() for _ in range(2))
+        options = [c for c in product([False, True], repeat=7) if all(gone or s != 2 for gone, s in zip(c, status, strict=True))]
+        got = trellis.zero_blocks(empty, full, status, lengths)
+        assert cost(got, empty, full, status) <= min(cost(c, empty, full, status) for c in options) + 1e-9
+
+
+def test_band_costs_agree_with_the_values_chosen():
+    table, lengths = tables.quant_table(tables.IMAGE_MAGICK_LUMA, 40), rd.code_array("ac_luma")
+    raw = transform.loeffler_dct(np.clip(random_blocks(3) // 3 + 60, 0, 255))
+    raw[0, 1:] = 0
+    whole = trellis.trellis_band(raw, table, lengths)
+    z = trellis.trellis_ac(raw, table, lengths)
+    assert (whole.z[:, 1:] == z[:, 1:]).all() and not whole.z[:, 0].any()
+    np.testing.assert_allclose(whole.cost, trellis.block_cost(z, raw, table, lengths))
+    np.testing.assert_allclose(whole.zero_cost, trellis.block_cost(np.zeros_like(z), raw, table, lengths) - lengths[0])
+    np.testing.assert_allclose(whole.cost - whole.skip_cost, np.where(whole.status == 0, 0, lengths[0]))
+    assert whole.status[0] == 2 and (whole.status == 2).tolist() == (~whole.z.any(axis=1)).tolist()
+    for first, last in ((1, 5), (6, 63)):
+        part = trellis.trellis_band(raw, table, lengths, first, last)
+        assert not part.z[:, :first].any() and not part.z[:, last + 1 :].any()
+        assert ((part.status == 0) == (part.z[:, last] != 0)).all()
+        assert (part.cost <= part.zero_cost + lengths[0] + 1e-9).all() and (part.skip_cost <= part.cost + 1e-9).all()
+
+
+def test_settings_without_a_search_round(spark):
+    blocks = numeric._loeffler(spark, DATA)
+    lengths, table = rd.code_array("ac_luma"), numeric._LUMA_75
+    z = trellis.quantise_trellis(blocks.withColumn("copy", F.col("raw")), table, lengths, trellis.ROUNDED).limit(50).collect()
+    assert all((trellis.round_to_table(np.array([r["copy"]]), np.array(table))[0, tables.ZIGZAG] == r["z"]).all() for r in z)
+    costs = trellis.band_costs(blocks, table, lengths, [(1, 63)])
+    plain = trellis.empty_in_rows(costs, lengths, trellis.ROUNDED)
+    assert plain.count() == blocks.count() and plain.filter("emptied <> (status = 2)").isEmpty()
+    assert trellis.empty_in_rows(costs, lengths).filter("status = 2 AND NOT emptied").isEmpty()
+
+
 def test_stream_decodes_to_the_same_blocks():
     rng = np.random.default_rng(9)
     parts = [[np.where(rng.random(64) < 0.2, rng.integers(-60, 60, 64), 0) for _ in range(6)] for _ in range(3)]
