@@ -125,6 +125,34 @@ def cluster_histograms(histogram: DataFrame, key: str, context: str, most: int)
     return histogram.groupBy(key).applyInPandas(one, f"{key} {kinds[key]}, {context} {kinds[context]}, slot int")
 
 
+def clustered_slots(histogram: DataFrame, key: str, context: str, most_dc: int, most_ac: int) -> DataFrame:
+    """key, is_dc, context and slot: which of a key's tables each context uses.
+
+    ``histogram`` has key, is_dc, context, symbol and n. DC and AC contexts
+    are clustered apart; DC tables come first, AC tables are numbered on."""
+    kinds = [(1, most_dc), (0, most_ac)]
+    dc, ac = (cluster_histograms(histogram.filter(F.col("is_dc") == is_dc).drop("is_dc"), key, context, most).withColumn("is_dc", F.lit(is_dc)) for is_dc, most in kinds)
+    # the DC slots of a key are counted where they are made, and joined on the key that both are dealt by
+    first = dc.groupBy(key).agg((F.max("slot") + 1).alias("first"))
+    ac = ac.join(first, key, "left").withColumn("slot", F.col("slot") + F.coalesce("first", F.lit(0))).drop("first")
+    return dc.unionByName(ac).select(key, "is_dc", context, "slot")
+
+
+def slot_tables(histogram: DataFrame, slots: DataFrame, key: str, context: str) -> DataFrame:
+    """key, is_dc, slot, symbol, n and len: the table of every slot, from the
+    sum of the histograms that use it."""
+    summed = histogram.join(slots, [key, "is_dc", context]).groupBy(key, "is_dc", "slot", "symbol").agg(F.sum("n").alias("n"))
+    return optimal_tables(summed, key, "is_dc", "slot")
+
+
+def luma_chroma_tables(histogram: DataFrame, key: str, component: str) -> DataFrame:
+    """key, is_dc, chroma, symbol, n and len: exactly one DC and one AC table
+    for luma (component 0) and for chroma, the rest. A key without chroma has
+    luma tables alone, which then serve both."""
+    grouped = histogram.withColumn("chroma", (F.col(component) > 0).cast("int")).groupBy(key, "is_dc", "chroma", "symbol").agg(F.sum("n").alias("n"))
+    return optimal_tables(grouped, key, "is_dc", "chroma")
+
+
 def table_cost(tables: DataFrame, *keys: str) -> DataFrame:
     """keys, symbols, code_bits and header_bits of each table."""
     return tables.groupBy(*keys).agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.col("n") * F.col("len")).alias("code_bits"), (F.lit(136) + 8 * F.count(F.lit(1))).alias("header_bits"))

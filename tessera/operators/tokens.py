@@ -43,19 +43,21 @@ def ac_tokens(z: Column, first: int = 1, last: int = 63) -> Column:
     return F.aggregate(places, start, step, end)
 
 
-def dc_differences(blocks: DataFrame, restart: int = 0) -> DataFrame:
+def dc_differences(blocks: DataFrame, restart: int = 0, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """``d``: the first coefficient less that of the block before; 0 stands
-    before an image's first block and after each restart."""
-    key = ["image_id"] + ([F.floor(F.col("n") / restart)] if restart else [])
+    before the first block of ``keys`` and after each restart."""
+    key = [*keys] + ([F.floor(F.col("n") / restart)] if restart else [])
     return blocks.withColumn("d", F.get("z", F.lit(0)) - F.lag(F.get("z", F.lit(0)), 1, 0).over(Window.partitionBy(*key).orderBy("n")))
 
 
-def tokens(blocks: DataFrame) -> DataFrame:
-    """image_id, n, is_dc, pos, symbol, nbits and v of every token."""
+def tokens(blocks: DataFrame, *more: str) -> DataFrame:
+    """image_id, ``more`` keys of a chain of blocks (its component), n, is_dc,
+    pos, symbol, nbits and v of every token."""
+    keys = ("image_id", *more)
     n = category(F.col("d"))
     dc = F.array(F.struct(F.lit(0).alias("pos"), n.alias("symbol"), n.alias("nbits"), F.col("d").cast("long").alias("v")))
-    t = dc_differences(blocks).select("image_id", "n", F.posexplode(F.concat(dc, ac_tokens(F.col("z")))).alias("seq", "t"))
-    return t.select("image_id", "n", F.when(F.col("seq") == 0, 1).otherwise(0).alias("is_dc"), "t.pos", "t.symbol", "t.nbits", "t.v")
+    t = dc_differences(blocks, keys=keys).select(*keys, "n", F.posexplode(F.concat(dc, ac_tokens(F.col("z")))).alias("seq", "t"))
+    return t.select(*keys, "n", F.when(F.col("seq") == 0, 1).otherwise(0).alias("is_dc"), "t.pos", "t.symbol", "t.nbits", "t.v")
 
 
 def histogram(tokens_df: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.functions import colour
 from tessera.functions.colour import num
 from tessera.operators import huffman, rd, tokens, transform, trellis
 from tessera.plans import rates, tables
@@ -85,11 +86,38 @@ def _size(spark, sf_dir):
     return huffman.table_cost(_lengths(spark, sf_dir), "image_id", "is_dc")
 
 
+def _component_histogram(spark, sf_dir):
+    t = tokens.tokens(views.quantised_components(spark, sf_dir), "comp")
+    return _kept(t.groupBy("image_id", "is_dc", "comp", "symbol").agg(F.count(F.lit(1)).alias("n")), "component-histogram")
+
+
+_YCC = [colour.sample(e) for e in colour.ycbcr("r", "g", "b")]
+
+
+@_R.frame(
+    "q_component_blocks",
+    f"""{views.duck('rgb')}, planes AS ({" UNION ALL ".join(f"SELECT image_id, y, x, {i} AS comp, {e} AS v FROM rgb" for i, e in enumerate(_YCC))})
+SELECT image_id, comp, count(*) AS samples, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y % 8 * 8 + x % 8 + 1)) AS BIGINT) AS placed FROM planes GROUP BY image_id, comp""",
+)
+def _components(spark, sf_dir):
+    b = views.component_blocks(spark, sf_dir).select("image_id", "comp", F.posexplode("s").alias("p", "v"))
+    return b.groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("samples"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") + 1)).alias("placed"))
+
+
 @_R.frame("q_hist_cluster")
 def _clusters(spark, sf_dir):
-    h = tokens.tokens(views.quantised(spark, sf_dir)).filter("is_dc = 0").withColumn("context", (F.col("n") % 6).cast("int"))
-    h = h.groupBy("image_id", "context", "symbol").agg(F.count(F.lit(1)).alias("n"))
-    return huffman.cluster_histograms(h, "image_id", "context", 3)
+    return huffman.clustered_slots(_component_histogram(spark, sf_dir), "image_id", "comp", 2, 2)
+
+
+@_R.frame("q_clustered_tables")
+def _clustered(spark, sf_dir):
+    h = _component_histogram(spark, sf_dir)
+    return huffman.slot_tables(h, huffman.clustered_slots(h, "image_id", "comp", 2, 2), "image_id", "comp")
+
+
+@_R.frame("q_luma_chroma_tables")
+def _luma_chroma(spark, sf_dir):
+    return huffman.luma_chroma_tables(_component_histogram(spark, sf_dir), "image_id", "comp")
 
 
 @_R.frame("q_trellis_ac")

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import colour
 from tessera.operators import transform
 from tessera.plans import tables
 
@@ -73,6 +74,22 @@ def quantised(spark: SparkSession, sf_dir: str, quality: int = 75, gain: int = G
     return transform.quantise(b, tables.quant_table(tables.IMAGE_MAGICK_LUMA, quality))
 
 
+def component_blocks(spark: SparkSession, sf_dir: str, gain: int = GAIN) -> DataFrame:
+    """image_id, n, comp (0 luma, 1 and 2 chroma) and s: the blocks of each
+    component of ``colours``, turned where they stand."""
+    picked = colour.ycbcr("s[p]", "s[(p + 21) % 64]", "s[(p + 42) % 64]")
+    planes = F.array(*[F.expr(f"transform(sequence(0, 63), p -> {colour.sample(e)})") for e in picked])
+    return blocks(spark, sf_dir, gain).select("image_id", "n", F.posexplode(planes).alias("comp", "s"))
+
+
+def quantised_components(spark: SparkSession, sf_dir: str, quality: int = 75, gain: int = GAIN) -> DataFrame:
+    """image_id, n, comp and z: luma and chroma blocks quantised by their tables."""
+    b = transform.dct_blocks(component_blocks(spark, sf_dir, gain))
+    luma = transform.quantise(b.filter("comp = 0"), tables.quant_table(tables.ANNEX_K_LUMA, quality))
+    chroma = transform.quantise(b.filter("comp > 0"), tables.quant_table(tables.ANNEX_K_CHROMA, quality))
+    return luma.unionByName(chroma)
+
+
 VIEWS = {"samp": samples, "px": pixels, "rgb": colours, "crop": cropped, "coef": coefficients}
 
 _ZIGZAG = tables.values_sql("zigzag", "z, k", list(enumerate(tables.ZIGZAG)))

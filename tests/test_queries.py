@@ -102,6 +102,24 @@ def test_optimal_tables_beat_the_standard_ones(spark):
     assert sum(r["n"] * r["len"] for r in t) <= sum(r["n"] * standard[r["symbol"]] for r in t)
 
 
+def test_tables_of_components(spark):
+    h = numeric._component_histogram(spark, DATA)
+    total = h.agg(F.sum("n")).first()[0]
+    slots = huffman.clustered_slots(h, "image_id", "comp", 2, 2)
+    images_found = h.select("image_id").distinct().count()
+    rows = slots.collect()
+    assert len(rows) == 6 * images_found
+    for image in {r["image_id"] for r in rows}:
+        dc, ac = ([r["slot"] for r in rows if r["image_id"] == image and r["is_dc"] == d] for d in (1, 0))
+        assert min(dc) == 0 and min(ac) == max(dc) + 1 and len(set(dc)) <= 2 and len(set(ac)) <= 2
+    for found in (huffman.slot_tables(h, slots, "image_id", "comp"), huffman.luma_chroma_tables(h, "image_id", "comp")):
+        t = found.toPandas()
+        key = [c for c in t.columns if c not in ("symbol", "n", "len")]
+        assert t["n"].sum() == total and t["len"].between(1, 16).all()
+        assert (t.assign(share=0.5 ** t["len"]).groupby(key)["share"].sum() < 1).all()  # the code of ones stays free
+    assert set(huffman.luma_chroma_tables(h.filter("comp = 0"), "image_id", "comp").toPandas()["chroma"]) == {0}
+
+
 def test_trellis_never_costs_more_than_rounding():
     table, lengths = tables.quant_table(tables.IMAGE_MAGICK_LUMA, 40), rd.code_array("ac_luma")
     raw = transform.loeffler_dct(np.clip(random_blocks(3) // 3 + 60, 0, 255))
