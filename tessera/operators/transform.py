@@ -89,3 +89,26 @@ def quantise(blocks: DataFrame, table: list[int], bits: int = 26) -> DataFrame:
     keep = [x for x in blocks.columns if x != "c"]
     ordered = F.transform(longs(ZIGZAG), lambda k: F.get("c", k.cast("int")))
     return blocks.select(*keep, F.zip_with(ordered, longs([table[k] for k in ZIGZAG]), lambda c, q: quantise_value(c, q, bits)).alias("z"))
+
+
+#: Strengths are held to 5 places and multipliers to 4, so thresholds are whole numbers of this part.
+BIAS_UNIT = 10**9
+
+
+def quantise_zero_bias(blocks: DataFrame, strength: str, table: list[int], multipliers: list[int], offsets: list[int], bits: int = 26) -> DataFrame:
+    """z, zigzag order, and how many values the bias ``killed``: c / (q 2^bits)
+    to the nearest whole number where its size reaches offset + multiplier *
+    strength of the block, else 0. Offsets count in 1 / BIAS_UNIT, multipliers
+    in 10^-4; ``strength`` is a column of each block."""
+    keep = [x for x in blocks.columns if x not in ("c", strength)]
+    scaled = F.round(F.col(strength) * 100000).cast("long")
+    at = [longs([x[k] for k in ZIGZAG]) for x in (table, multipliers, offsets)]
+    ordered = F.transform(longs(ZIGZAG), lambda k: F.get("c", k.cast("int")))
+    plain = F.zip_with(ordered, at[0], lambda c, q: quantise_value(c, q, bits))
+    least = F.zip_with(at[2], F.transform(at[1], lambda m: m * F.col("scaled")), lambda o, m: o + m)
+    unit = F.transform(at[0], lambda q: (q * F.lit(1 << bits)).cast("double"))
+    reached = F.zip_with(F.transform("ordered", lambda c: F.abs(c).cast("double") * float(BIAS_UNIT)), F.zip_with(unit, least, lambda u, t: u * t.cast("double")), lambda c, t: c >= t)
+    b = blocks.select(*keep, ordered.alias("ordered"), plain.alias("plain"), scaled.alias("scaled"))
+    b = b.select(*keep, "plain", F.zip_with("plain", reached, lambda v, r: F.when(r, v).otherwise(F.lit(0).cast("long"))).alias("z"))
+    lost = F.size(F.filter(F.arrays_zip("plain", "z"), lambda x: (x["plain"] != 0) & (x["z"] == 0)))
+    return b.select(*keep, "z", lost.alias("killed"))

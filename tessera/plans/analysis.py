@@ -113,5 +113,10 @@ def _strength(fuzzy: str, first_ac: float) -> str:
     return f"SELECT a.image_id, a.brow, a.bcol, round(greatest(0e0, 0.6e0 / {field} - 1e0), 5) AS aq_strength FROM {fuzzy} AS a JOIN {_TEXTURE} AS t ON a.image_id = t.image_id AND a.brow = t.brow AND a.bcol = t.bcol"
 
 
-_R.both("q_aq_strength", _strength(_FUZZY, 8.0), "px", duck=_strength(_FUZZY_DUCK, 8.0))
-_R.both("q_aq_strength_coarse", _strength(_FUZZY, 30.0), "px", duck=_strength(_FUZZY_DUCK, 30.0))
+def strength_sql(first_ac: float) -> tuple[str, str]:
+    """The field of a table whose first AC step is ``first_ac``, for Spark and for DuckDB; ``{px}`` is the plane."""
+    return _strength(_FUZZY, first_ac), _strength(_FUZZY_DUCK, first_ac)
+
+
+for _name, _first in (("q_aq_strength", 8.0), ("q_aq_strength_coarse", 30.0)):
+    _R.both(_name, strength_sql(_first)[0], "px", duck=strength_sql(_first)[1])

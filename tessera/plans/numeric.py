@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import colour
 from tessera.functions.colour import num
 from tessera.operators import huffman, rd, tokens, transform, trellis
-from tessera.plans import rates, tables
+from tessera.plans import analysis, rates, tables
 from tessera.plans.scans import script
 from tessera.plans.registry import Registry
 from tessera.sources import images, jpeg, progressive, views
@@ -104,6 +104,38 @@ def _components(spark, sf_dir):
     return b.groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("samples"), F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("p") + 1)).alias("placed"))
 
 
+# The field comes from the luma plane and holds for all components; at this quality the multipliers are those of low quality.
+_AQ_TABLES = [tables.quant_table(t, 30) for t in (tables.ANNEX_K_LUMA, tables.ANNEX_K_CHROMA, tables.ANNEX_K_CHROMA)]
+_AQ_OFFSETS = [[0] + [round(o * transform.BIAS_UNIT)] * 63 for o in tables.ZERO_BIAS_OFFSET_AC]
+_AQ_MULTIPLIERS = [[round(lq * 10000) for comp, _, _, _, lq, _ in tables.perceptual_rows() if comp == i] for i in range(3)]
+_AQ_FIELD = analysis.strength_sql(float(_AQ_TABLES[0][1]))
+_AQ_ROWS = tables.values_sql("bias", "comp, k, q, mul, off", [(i, k, _AQ_TABLES[i][k], _AQ_MULTIPLIERS[i][k], _AQ_OFFSETS[i][k]) for i in range(3) for k in range(64)])
+
+
+@_R.frame(
+    "q_quantize_aq",
+    f"""{views.duck('rgb', 'basis', 'zigzag')}, {_AQ_ROWS}, planes AS ({" UNION ALL ".join(f"SELECT image_id, y, x, {i} AS comp, {e} AS v FROM rgb" for i, e in enumerate(_YCC))}),
+luma AS (SELECT image_id, y, x, v FROM planes WHERE comp = 0),
+part AS (SELECT image_id, comp, planes.y // 8 * 8 + planes.x // 8 AS n, planes.y % 8 AS row, u, sum((v - 128) * w) AS t FROM planes JOIN basis ON basis.x = planes.x % 8 GROUP BY ALL),
+comps AS (SELECT image_id, comp, n, b.u * 8 + h.u AS k, CAST(sum(t * w) AS BIGINT) AS c FROM part h JOIN basis b ON b.x = h.row GROUP BY ALL),
+field AS ({_AQ_FIELD[1].format(px="luma")}),
+whole AS (SELECT image_id, comp, n, z, CAST(abs(c) AS DOUBLE) * 1e9 >= CAST(q * CAST(67108864 AS BIGINT) AS DOUBLE) * CAST(off + mul * CAST(round(aq_strength * 100000) AS BIGINT) AS DOUBLE) AS reached,
+  CAST(sign(c) AS BIGINT) * ((abs(c) + q * CAST(33554432 AS BIGINT)) // (q * CAST(67108864 AS BIGINT))) AS plain FROM comps JOIN field USING (image_id) JOIN bias USING (comp, k) JOIN zigzag USING (k) WHERE brow = n // 8 AND bcol = n % 8)
+SELECT image_id, comp, count(DISTINCT n) AS blocks, CAST(sum(CASE WHEN reached THEN abs(plain) ELSE 0 END) AS BIGINT) AS total, CAST(sum(CASE WHEN reached THEN plain * (z + 1) ELSE 0 END) AS BIGINT) AS placed, CAST(sum(CASE WHEN plain <> 0 AND NOT reached THEN 1 ELSE 0 END) AS BIGINT) AS killed FROM whole GROUP BY image_id, comp""",
+)
+def _quantised_by_field(spark, sf_dir):
+    planes = _kept(views.component_blocks(spark, sf_dir), "component-blocks")
+    luma = planes.filter("comp = 0").select("image_id", "n", F.posexplode("s").alias("p", "v"))
+    luma = luma.selectExpr("image_id", "n div 8 * 8 + p div 8 AS y", "n % 8 * 8 + p % 8 AS x", "v")
+    field = views.select({"px": luma}, _AQ_FIELD[0].replace(" // ", " div ")).selectExpr("image_id", "brow * 8 + bcol AS n", "aq_strength")
+    b = transform.dct_blocks(planes).join(field, ["image_id", "n"])
+    parts = [transform.quantise_zero_bias(b.filter(F.col("comp") == i), "aq_strength", _AQ_TABLES[i], _AQ_MULTIPLIERS[i], _AQ_OFFSETS[i]) for i in range(3)]
+    z = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    fold = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    size, place = F.transform("z", F.abs), F.transform("z", lambda v, i: v * (i + 1))
+    return z.groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("blocks"), F.sum(fold(size)).alias("total"), F.sum(fold(place)).alias("placed"), F.sum("killed").alias("killed"))
+
+
 @_R.frame("q_hist_cluster")
 def _clusters(spark, sf_dir):
     return huffman.clustered_slots(_component_histogram(spark, sf_dir), "image_id", "comp", 2, 2)
