@@ -136,6 +136,37 @@ def _quantised_by_field(spark, sf_dir):
     return z.groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("blocks"), F.sum(fold(size)).alias("total"), F.sum(fold(place)).alias("placed"), F.sum("killed").alias("killed"))
 
 
+_KK_75 = [tables.quant_table(t, 75) for t in (tables.ANNEX_K_LUMA, tables.ANNEX_K_CHROMA)]
+
+
+def _decoded(blocks, restart, luma_sampling=1):
+    images = jpeg.encode_colour_images(blocks, _KK_75, restart=restart, luma_sampling=luma_sampling)
+    return jpeg.decode_components(images)
+
+
+_PLANE_SUMS = "count(*) AS samples, CAST(sum(abs(v)) AS BIGINT) AS total, CAST(sum(v * (n * 64 + z + 1)) AS BIGINT) AS placed"
+
+
+@_R.frame(
+    "q_jpeg_colour_roundtrip",
+    f"""{views.duck('rgb', 'basis', 'zigzag')}, {tables.values_sql('steps', 'comp, k, q', [(i, k, _KK_75[min(i, 1)][k]) for i in range(3) for k in range(64)])}, planes AS ({" UNION ALL ".join(f"SELECT image_id, y, x, {i} AS comp, {e} AS v FROM rgb" for i, e in enumerate(_YCC))}),
+part AS (SELECT image_id, comp, planes.y // 8 * 8 + planes.x // 8 AS n, planes.y % 8 AS row, u, sum((v - 128) * w) AS t FROM planes JOIN basis ON basis.x = planes.x % 8 GROUP BY ALL),
+comps AS (SELECT image_id, comp, n, b.u * 8 + h.u AS k, CAST(sum(t * w) AS BIGINT) AS c FROM part h JOIN basis b ON b.x = h.row GROUP BY ALL),
+whole AS (SELECT image_id, comp, n, z, CAST(sign(c) AS BIGINT) * ((abs(c) + q * CAST(33554432 AS BIGINT)) // (q * CAST(67108864 AS BIGINT))) AS v FROM comps JOIN steps USING (comp, k) JOIN zigzag USING (k))
+SELECT image_id, comp, {_PLANE_SUMS} FROM whole GROUP BY image_id, comp""",
+)
+def _colour(spark, sf_dir):
+    z = _decoded(views.quantised_components(spark, sf_dir), 3).select("image_id", "comp", "n", F.posexplode("z").alias("z", "v"))
+    return views.select({"whole": z}, f"SELECT image_id, comp, {_PLANE_SUMS} FROM {{whole}} GROUP BY image_id, comp")
+
+
+@_R.frame("q_jpeg_halved_chroma")
+def _halved(spark, sf_dir):
+    """image_id, comp, n and z, v of values but 0 that a stream with halved chroma gives back."""
+    z = _decoded(views.quantised_components(spark, sf_dir, halved=True), 4, 2)
+    return z.select("image_id", "comp", "n", F.posexplode("z").alias("z", "v")).filter("v <> 0")
+
+
 @_R.frame("q_hist_cluster")
 def _clusters(spark, sf_dir):
     return huffman.clustered_slots(_component_histogram(spark, sf_dir), "image_id", "comp", 2, 2)

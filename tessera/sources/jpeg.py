@@ -143,17 +143,20 @@ def symbols_of(z: np.ndarray, before: int = 0) -> list[tuple[int, int, int, int]
     return out if last == 63 else [*out, (0, 0, 0, 0)]
 
 
-def scan_bytes(blocks: list[tuple[int, np.ndarray]], dc: dict[int, tuple[int, int]], ac: dict[int, tuple[int, int]], restart: int = 0, per_unit: int = 1) -> bytes:
-    """Blocks (component, values) in coding order; every ``restart`` units of
-    ``per_unit`` blocks the bits are closed, a restart marker follows and
-    predictions start from 0."""
+Codes = tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]]]
+
+
+def scan_bytes(blocks: list[tuple[int, np.ndarray]], codes_of: list[Codes], restart: int = 0, per_unit: int = 1) -> bytes:
+    """Blocks (component, values) in coding order, each component by its (AC,
+    DC) codes; every ``restart`` units of ``per_unit`` blocks the bits are
+    closed, a restart marker follows and predictions start from 0."""
     out, codes, sizes, before, marker = [], [], [], {}, 0
     for i, (c, z) in enumerate(blocks):
         if restart and i and i % (restart * per_unit) == 0:
             out += [pack(np.array(codes, np.int64), np.array(sizes, np.int64)), bytes([0xFF, 0xD0 + marker])]
             codes, sizes, before, marker = [], [], {}, (marker + 1) % 8
         for is_dc, symbol, n, extra in symbols_of(z, before.get(c, 0)):
-            code, size = (dc if is_dc else ac)[symbol]
+            code, size = codes_of[c][is_dc][symbol]
             codes.append(code << n | extra)
             sizes.append(size + n)
         before[c] = int(z[0])
@@ -161,30 +164,42 @@ def scan_bytes(blocks: list[tuple[int, np.ndarray]], dc: dict[int, tuple[int, in
     return b"".join(out)
 
 
-def assemble(components: list[list[np.ndarray]], width: int, height: int, quant: list[list[int]], optimise: bool = True, restart: int = 0, icc: bytes = b"") -> bytes:
-    """A baseline stream of one or three components without subsampling."""
-    order = [(c, z) for unit in zip(*components, strict=True) for c, z in enumerate(unit)]
+def unit_order(across: int, down: int, sampling: list[int]) -> list[tuple[int, int]]:
+    """(component, block) in coding order of ``across`` by ``down`` units: in a
+    unit a component has ``sampling`` squared blocks, row by row; its blocks
+    are numbered along the rows of its own plane."""
+    return [(c, (uy * s + y) * across * s + ux * s + x) for uy in range(down) for ux in range(across) for c, s in enumerate(sampling) for y in range(s) for x in range(s)]
+
+
+def assemble(components: list[list[np.ndarray]], width: int, height: int, quant: list[list[int]], optimise: bool = True, restart: int = 0, icc: bytes = b"", luma_sampling: int = 1) -> bytes:
+    """A baseline stream of one or three components. Chroma has tables and codes
+    of its own; with ``luma_sampling`` 2 it has half the samples a side. The
+    planes hold whole units."""
+    n = len(components)
+    sampling, slots = [luma_sampling] + [1] * (n - 1), [min(c, 1) for c in range(n)]
+    across, down = (-(-side // (8 * luma_sampling)) for side in (width, height))
+    order = [(c, components[c][i]) for c, i in unit_order(across, down, sampling)]
+    per_unit = sum(s * s for s in sampling)
+    names = [("ac_luma", "dc_luma"), ("ac_chroma", "dc_chroma")][: max(slots) + 1]
     if optimise:
-        counts: tuple[dict, dict] = ({}, {})
+        counts: list[tuple[dict, dict]] = [({}, {}) for _ in names]
         before: dict[int, int] = {}
         for i, (c, z) in enumerate(order):
-            if restart and i % (restart * len(components)) == 0:
+            if restart and i % (restart * per_unit) == 0:
                 before = {}
             for is_dc, symbol, _, _ in symbols_of(z, before.get(c, 0)):
-                counts[is_dc][symbol] = counts[is_dc].get(symbol, 0) + 1
+                held = counts[slots[c]][is_dc]
+                held[symbol] = held.get(symbol, 0) + 1
             before[c] = int(z[0])
-        ac_len, dc_len = (code_lengths(x) for x in counts)
-    else:
-        dc_len, ac_len = (tables.code_lengths(*tables.STANDARD_CODES[t]) for t in ("dc_luma", "ac_luma"))
-    n = len(components)
-    tables_out = dht(0, 0, dc_len) + dht(1, 0, ac_len) if optimise else wire_table(0, 0, *tables.STANDARD_CODES["dc_luma"]) + wire_table(1, 0, *tables.STANDARD_CODES["ac_luma"])
-    if optimise:
-        dc, ac = canonical(dc_len), canonical(ac_len)
+        lengths = [[code_lengths(x) for x in pair] for pair in counts]
+        tables_out = b"".join(dht(1 - is_dc, slot, pair[is_dc]) for slot, pair in enumerate(lengths) for is_dc in (1, 0))
+        codes = [(canonical(ac), canonical(dc)) for ac, dc in lengths]
     else:
-        dc, ac = (_wire_codes(*tables.STANDARD_CODES[t]) for t in ("dc_luma", "ac_luma"))
-    head = SOI + jfif() + (icc_segments(icc) if icc else b"") + dqt(dict(enumerate(quant))) + frame_header(width, height, n) + tables_out
+        tables_out = b"".join(wire_table(1 - is_dc, slot, *tables.STANDARD_CODES[pair[is_dc]]) for slot, pair in enumerate(names) for is_dc in (1, 0))
+        codes = [(_wire_codes(*tables.STANDARD_CODES[ac]), _wire_codes(*tables.STANDARD_CODES[dc])) for ac, dc in names]
+    head = SOI + jfif() + (icc_segments(icc) if icc else b"") + dqt(dict(enumerate(quant))) + frame_header(width, height, n, luma_sampling=luma_sampling * 0x11) + tables_out
     head += restart_interval(restart) if restart else b""
-    return head + scan_header(list(range(n)), [0] * n) + scan_bytes(order, dc, ac, restart, n) + EOI
+    return head + scan_header(list(range(n)), [s * 0x11 for s in slots]) + scan_bytes(order, [codes[s] for s in slots], restart, per_unit) + EOI
 
 
 def _wire_codes(bits: Iterable[int], symbols: Iterable[int]) -> dict[int, tuple[int, int]]:
@@ -244,64 +259,83 @@ def signed(bits: int, n: int) -> int:
 
 def decode(stream: bytes) -> tuple[int, int, list[list[np.ndarray]]]:
     """Width, height and the blocks of each component, in zigzag order, of a
-    baseline stream without subsampling."""
+    baseline stream; planes are those of whole units."""
     codes: dict[int, dict[tuple[int, int], int]] = {}
-    width = height = n = interval = 0
-    data = b""
+    width = height = interval = 0
+    sampling, slots, data = [1], [0], b""
     for marker, body in segments(stream):
         if marker == 0xC0:
-            height, width, n = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[5]
+            height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            sampling = [body[7 + 3 * c] & 15 for c in range(body[5])]
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xC4:
             count = sum(body[1:17])
             codes[body[0]] = {(length, code): s for s, (code, length) in _wire_codes(body[1:17], body[17 : 17 + count]).items()}
+        elif marker == 0xDA:
+            slots = [body[2 + 2 * c] for c in range(body[0])]
         elif marker == -1:
             data = body
-    reader, out, before = BitReader(data), [[] for _ in range(n)], [0] * n
-    for unit in range(-(-width // 8) * -(-height // 8)):
-        if interval and unit and unit % interval == 0:
+    across, down = (-(-side // (8 * max(sampling))) for side in (width, height))
+    n, per_unit = len(sampling), sum(s * s for s in sampling)
+    reader, before = BitReader(data), [0] * n
+    out: list[list[np.ndarray]] = [[np.zeros(64, np.int64)] * (across * down * s * s) for s in sampling]
+    for turn, (c, place) in enumerate(unit_order(across, down, sampling)):
+        if interval and turn and turn % (interval * per_unit) == 0:
             reader.restart()
             before = [0] * n
-        for c in range(n):
-            z = np.zeros(64, np.int64)
-            size = reader.symbol(codes[0x00])
-            before[c] += signed(reader.bits(size), size)
-            z[0], i = before[c], 1
-            while i < 64:
-                s = reader.symbol(codes[0x10])
-                if s == 0:
-                    break
-                i += s >> 4
-                if s & 15:
-                    z[i] = signed(reader.bits(s & 15), s & 15)
-                i += 1
-            out[c].append(z)
+        dc, ac = codes[slots[c] >> 4], codes[0x10 | slots[c] & 15]
+        z = np.zeros(64, np.int64)
+        size = reader.symbol(dc)
+        before[c] += signed(reader.bits(size), size)
+        z[0], i = before[c], 1
+        while i < 64:
+            s = reader.symbol(ac)
+            if s == 0:
+                break
+            i += s >> 4
+            if s & 15:
+                z[i] = signed(reader.bits(s & 15), s & 15)
+            i += 1
+        out[c][place] = z
     return width, height, out
 
 
 def encode_images(blocks: DataFrame, quant: list[int], optimise: bool = True, restart: int = 0) -> DataFrame:
     """image_id, width, height and payload of each image of ``blocks``
     (image_id, n, z), eight blocks a row, one component."""
+    return encode_colour_images(blocks.withColumn("comp", F.lit(0)), [quant], optimise, restart)
+
+
+def encode_colour_images(blocks: DataFrame, quant: list[list[int]], optimise: bool = True, restart: int = 0, luma_sampling: int = 1) -> DataFrame:
+    """As ``encode_images``, of blocks (image_id, comp, n, z) with one or three
+    components, luma eight blocks a row; ``quant`` holds the luma and the
+    chroma table. With ``luma_sampling`` 2 chroma has four blocks a row."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("n")
-        z = [np.asarray(v) for v in g["z"]]
-        width, height = 64, 8 * (len(z) // 8)
-        return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "width": [width], "height": [height], "payload": [assemble([z], width, height, [quant], optimise, restart)]})
+        planes = [[np.asarray(v) for v in part.sort_values("n")["z"]] for _, part in sorted(g.groupby("comp"))]
+        width, height = 64, 8 * (len(planes[0]) // 8)
+        payload = assemble(planes, width, height, quant, optimise, restart, luma_sampling=luma_sampling)
+        return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "width": [width], "height": [height], "payload": [payload]})
 
     return blocks.groupBy("image_id").applyInPandas(one, "image_id int, width int, height int, payload binary")
 
 
-def decode_images(images: DataFrame) -> DataFrame:
-    """image_id, n and z: the blocks of each payload."""
+def decode_components(images: DataFrame) -> DataFrame:
+    """image_id, comp, n and z: the blocks of each component of each payload."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, n, z) for i, p in zip(b["image_id"], b["payload"], strict=True) for n, z in enumerate(decode(bytes(p))[2][0])]
-            yield pd.DataFrame(rows, columns=["image_id", "n", "z"])
+            for i, p in zip(b["image_id"], b["payload"], strict=True):
+                rows = [(i, c, n, z) for c, plane in enumerate(decode(bytes(p))[2]) for n, z in enumerate(plane)]
+                yield pd.DataFrame(rows, columns=["image_id", "comp", "n", "z"])
 
-    return images.select("image_id", "payload").mapInPandas(run, "image_id int, n long, z array<long>")
+    return images.select("image_id", "payload").mapInPandas(run, "image_id int, comp int, n long, z array<long>")
+
+
+def decode_images(images: DataFrame) -> DataFrame:
+    """image_id, n and z: the blocks of the first component of each payload."""
+    return decode_components(images).filter("comp = 0").select("image_id", "n", "z")
 
 
 def quant_tables(images: DataFrame) -> DataFrame:

@@ -82,14 +82,32 @@ def component_blocks(spark: SparkSession, sf_dir: str, gain: int = GAIN) -> Data
     return blocks(spark, sf_dir, gain).select("image_id", "n", F.posexplode(planes).alias("comp", "s"))
 
 
-def quantised_components(spark: SparkSession, sf_dir: str, quality: int = 75, gain: int = GAIN) -> DataFrame:
+def quantised_components(spark: SparkSession, sf_dir: str, quality: int = 75, gain: int = GAIN, halved: bool = False) -> DataFrame:
     """image_id, n, comp and z: luma and chroma blocks quantised by their tables."""
-    b = transform.dct_blocks(component_blocks(spark, sf_dir, gain))
+    b = component_blocks(spark, sf_dir, gain)
+    b = transform.dct_blocks(halved_chroma(b) if halved else b)
     luma = transform.quantise(b.filter("comp = 0"), tables.quant_table(tables.ANNEX_K_LUMA, quality))
     chroma = transform.quantise(b.filter("comp > 0"), tables.quant_table(tables.ANNEX_K_CHROMA, quality))
     return luma.unionByName(chroma)
 
 
+def halved_chroma(components: DataFrame) -> DataFrame:
+    """Blocks (image_id, n, comp, s) with the chroma planes at half the size a
+    side: the means of 2x2 samples, halves up. An odd last row of blocks is
+    followed by one of its last samples, so that planes hold whole units."""
+    last = components.groupBy("image_id").agg(F.floor(F.max("n") / 8).alias("last"))
+    b = components.join(last, "image_id").withColumn("by", F.floor(F.col("n") / 8))
+    edge = b.filter("by = last AND last % 2 = 0").withColumn("by", F.col("by") + 1).withColumn("n", F.col("n") + 8)
+    edge = edge.withColumn("s", F.expr("transform(sequence(0, 63), p -> s[56 + p % 8])"))
+    b = b.unionByName(edge)
+    # the sixteen means of a block lie in one quarter of the smaller block
+    means = F.expr("transform(sequence(0, 15), p -> (s[p div 4 * 16 + p % 4 * 2] + s[p div 4 * 16 + p % 4 * 2 + 1] + s[p div 4 * 16 + p % 4 * 2 + 8] + s[p div 4 * 16 + p % 4 * 2 + 9] + 2) div 4)")
+    c = b.filter("comp > 0").selectExpr("image_id", "comp", "by div 2 * 4 + n % 8 div 2 AS at", "CAST(by % 2 * 2 + n % 2 AS INT) AS quarter", "s").withColumn("m", means)
+    c = c.groupBy("image_id", "comp", F.col("at").alias("n")).agg(F.sort_array(F.collect_list(F.struct("quarter", "m"))).alias("q"))  # four quarters
+    c = c.selectExpr("image_id", "n", "comp", "transform(sequence(0, 63), p -> CAST(q[p div 32 * 2 + p % 8 div 4].m[p div 8 % 4 * 4 + p % 4] AS INT)) AS s")
+    return b.filter("comp = 0").select("image_id", "n", "comp", "s").unionByName(c)
+
+
 VIEWS = {"samp": samples, "px": pixels, "rgb": colours, "crop": cropped, "coef": coefficients}
 
 _ZIGZAG = tables.values_sql("zigzag", "z, k", list(enumerate(tables.ZIGZAG)))

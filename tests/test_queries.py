@@ -120,6 +120,28 @@ def test_tables_of_components(spark):
     assert set(huffman.luma_chroma_tables(h.filter("comp = 0"), "image_id", "comp").toPandas()["chroma"]) == {0}
 
 
+def test_halved_chroma_comes_back(spark):
+    components = views.component_blocks(spark, DATA)
+    halved = views.halved_chroma(components).toPandas()
+    whole = components.toPandas()
+    for image, part in whole.groupby("image_id"):
+        mine = halved[halved["image_id"] == image]
+        plane = lambda f, c, across: np.vstack([np.hstack([np.reshape(s, (8, 8)) for s in row]) for row in np.array(f[f["comp"] == c].sort_values("n")["s"].tolist()).reshape(-1, across, 64)])
+        luma = plane(part, 0, 8)
+        assert (plane(mine, 0, 8)[: len(luma)] == luma).all() and len(plane(mine, 0, 8)) % 16 == 0
+        chroma = plane(part, 1, 8)
+        chroma = np.vstack([chroma, *[chroma[-1:]] * (-len(chroma) % 16)]).astype(int)
+        means = (chroma[::2, ::2] + chroma[::2, 1::2] + chroma[1::2, ::2] + chroma[1::2, 1::2] + 2) // 4
+        assert (plane(mine, 1, 4) == means).all()
+    blocks = views.quantised_components(spark, DATA, halved=True)
+    for optimise in (True, False):
+        streams = jpeg.encode_colour_images(blocks, numeric._KK_75, optimise, 4, 2)
+        back = {(r["image_id"], r["comp"], r["n"]): r["z"] for r in jpeg.decode_components(streams).collect()}
+        assert back == {(r["image_id"], r["comp"], r["n"]): r["z"] for r in blocks.collect()}
+    head = dict(jpeg.segments(bytes(streams.first()["payload"])))
+    assert head[0xC0][5] == 3 and head[0xC0][7] == 0x22 and head[0xC0][10] == 0x11
+
+
 def test_trellis_never_costs_more_than_rounding():
     table, lengths = tables.quant_table(tables.IMAGE_MAGICK_LUMA, 40), rd.code_array("ac_luma")
     raw = transform.loeffler_dct(np.clip(random_blocks(3) // 3 + 60, 0, 255))
@@ -264,7 +286,7 @@ def test_sizes_match_the_packed_stream(spark):
     bits = {r["image_id"]: r["bits"] for r in tokens.scan_bits(b).collect()}
     codes = [jpeg._wire_codes(*tables.STANDARD_CODES[t]) for t in ("dc_luma", "ac_luma")]
     rows = b.filter("image_id = 3").orderBy("n").collect()
-    raw = jpeg.scan_bytes([(0, np.array(r["z"])) for r in rows], *codes)
+    raw = jpeg.scan_bytes([(0, np.array(r["z"])) for r in rows], [(codes[1], codes[0])])
     assert len(raw.replace(b"\xff\x00", b"\xff")) == -(-bits[3] // 8)
 
 
