@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, licenses, mixing, perplexity, quality, secrets, substrings, tokens, topk
+from tessera.llm import audit, bpe, decontaminate, jaccard, licenses, mixing, perplexity, quality, secrets, substrings, tokens, topk, whitening
 from tessera.llm.common import table
 
 
@@ -61,6 +61,22 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.digests(bpe.decode(encoded, path, pattern))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_tokens": op2_tokens,
@@ -72,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_perplexity": op10_perplexity,
+    "op11_whitening": op11_whitening,
+    "op12_bpe": op12_bpe,
+    "op13_audit": op13_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +107,5 @@ s AS (
   FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_audit": audit.ORACLE_SQL,
 }
