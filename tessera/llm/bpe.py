@@ -19,6 +19,8 @@ numpy; ids and bytes are laid out by Arrow. One pass, no shuffle.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -38,14 +40,14 @@ from tessera.llm.common import slices
 #: Keys that share a bucket on average, and displacements tried at once.
 BUCKET_KEYS = 4
 TRIES = 64
-#: Pre-tokens of the second tier that a Python worker remembers.
-MOST_PIECES = 1 << 19
+#: Pre-tokens of the second tier that a Python worker remembers in each of two memories.
+MOST_PIECES = 1 << 18
 #: Bits for the place of a pair in its piece, below its rank, in an entry of the heap.
 PLACE = 32
 PLACES = (1 << PLACE) - 1
 AFTER, BEFORE = list(range(1, 1 << 12)), list(range(-1, 1 << 12))
 #: Characters that are looked up together, and those of one text that are split at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 STRETCH = 1 << 20
 
 # Hashing of bytes. Offset and prime of FNV-1a with 64 bits, multipliers of the SplitMix64 finaliser.
@@ -186,28 +188,50 @@ def merge_bytes(piece: bytes, tokens: list[int], pairs: list[int], heap: list[in
     return out
 
 
+def narrowed(pattern: str) -> re.Pattern | None:
+    """The pattern with its classes cut to ASCII, for the standard library, which
+    is faster; None if it uses anything but letters, numbers and white space."""
+    members = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": "\t-\r "}
+    out, inside = "", False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        inside = part == "[" or inside and part != "]"
+        if part == r"\S" and not inside:
+            out += f"[^{members[chr(92) + 's']}]"
+        elif part in members:
+            out += members[part] if inside else f"[{members[part]}]"
+        elif part.startswith("\\"):
+            return None
+        else:
+            out += part
+    return re.compile(out)
+
+
 class Encoder:
     """Looks pre-tokens up in both tiers; one per Python worker and vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.split = regex.compile(vocabulary.pattern)
+        self.narrow = narrowed(vocabulary.pattern) or self.split
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ids.tolist(), strict=True))
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.double = np.array([self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
-        self.merged: dict[bytes, list[int]] = {}
+        self.words = [array("i", [i]).tobytes() for i in vocabulary.ids.tolist()]
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        """All pre-tokens. Long texts are split by stretches that end where white
+        """All pre-tokens. Texts of ASCII only take the narrow pattern. Long texts are split by stretches that end where white
         space follows something else, which is a border under any pattern
         whose pieces have white space in front only."""
+        split = self.narrow if text.isascii() else self.split
         if len(text) <= STRETCH:
-            return self.split.findall(text)
+            return split.findall(text)
         found, begin = [], 0
         while begin < len(text):
             cut = CUT.search(text, begin + STRETCH)
             end = cut.start() + 1 if cut else len(text)
-            found += self.split.findall(text[begin:end])
+            found += split.findall(text[begin:end])
             begin = end
         return found
 
@@ -216,19 +240,26 @@ class Encoder:
         v = self.vocabulary
         slots = v.hashed.find(hash_bytes(*_layout(pieces), v.longest))
         raw = pieces.cast(pa.binary()).to_pylist()
-        ids = [[i] if v.tokens[s] == p else self.merged.get(p) for p, s, i in zip(raw, slots.tolist(), v.ids[slots].tolist(), strict=True)]
+        ids = [w if v.tokens[s] == p else self.recent.get(p) for p, s, w in zip(raw, slots.tolist(), map(self.words.__getitem__, slots.tolist()), strict=True)]
         missing = [k for k, x in enumerate(ids) if x is None]
         for k, x in zip(missing, self.merge([raw[k] for k in missing]), strict=True):
             ids[k] = x
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum())), counts
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), np.int32), counts
+
+    def remembered(self, piece: bytes) -> bytes | None:
+        """Pieces met lately: a full memory becomes the older one, and what is used of that moves up."""
+        found = self.older.get(piece)
+        if found is not None:
+            self.recent[piece] = found
+        return found
 
-    def merge(self, pieces: list[bytes]) -> Iterator[list[int]]:
-        """Pieces that are no tokens; what their heaps start from is found for all of them at once."""
+    def merge(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Ids, four bytes each, of pieces that are no tokens; what their heaps start from is found for all of them at once."""
         if not pieces:
             return
-        if len(self.merged) >= MOST_PIECES:
-            self.merged.clear()
+        if len(self.recent) >= MOST_PIECES:
+            self.recent, self.older = {}, self.recent
         data, sizes = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), np.fromiter(map(len, pieces), np.int64, len(pieces))
         bounds = np.append(0, np.cumsum(sizes))
         pairs = np.append(self.double[data[:-1] << 8 | data[1:]], -1)
@@ -239,9 +270,12 @@ class Encoder:
         tokens, pairs = self.single[data].tolist(), pairs.tolist()
         for k, piece in enumerate(pieces):
             a, b = bounds[k], bounds[k + 1]
-            found = merge_bytes(piece, tokens[a:b], pairs[a:b], entries[marks[k] : marks[k + 1]], self.rank)
+            if (found := self.remembered(piece)) is not None:
+                yield found
+                continue
+            found = array("i", merge_bytes(piece, tokens[a:b], pairs[a:b], entries[marks[k] : marks[k + 1]], self.rank)).tobytes()
             if b - a <= self.vocabulary.longest:
-                self.merged[piece] = found
+                self.recent[piece] = found
             yield found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +310,44 @@ def _shared(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_vocabulary(path, pattern))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(shared)
+    for b in batches:
+        texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+        for begin, end in slices(texts, SLICE):
+            ids, bounds = encoder.encode(texts[begin:end])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(begin, end - begin), lists], ["doc_id", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, ids_col: str) -> Iterator[pa.RecordBatch]:
+    v = shared.value
+    slot = np.full(int(v.ids.max()) + 2, -1, np.int64)
+    slot[v.ids] = np.arange(len(v.ids))
+    tokens = pa.array(v.tokens, pa.binary())
+    for b in batches:
+        lists = b.column(b.schema.get_field_index(ids_col))
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = slot[np.where((ids < 0) | (ids >= len(slot)), -1, ids)]
+        ends = np.append(0, np.cumsum(sizes))
+        unknown = np.append(0, np.cumsum(at < 0))
+        bad = (unknown[ends[1:]] > unknown[ends[:-1]]) | lists.is_null().to_numpy(zero_copy_only=False)
+        begin = 0
+        while begin < len(sizes):  # so many rows at once that their bytes stay bounded
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + STRETCH, "right")) - 1)
+            bounds, data = _layout(tokens.take(pa.array(np.maximum(at[ends[begin] : ends[end]], 0))))
+            whole = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(bounds[ends[begin : end + 1] - ends[begin]].copy()), pa.py_buffer(data[: bounds[-1]])])
+            if bad[begin:end].any():
+                whole = pa.compute.if_else(pa.array(bad[begin:end]), pa.scalar(None, pa.binary()), whole)
+            yield pa.RecordBatch.from_arrays([*b.slice(begin, end - begin).columns, whole], schema=pa.schema([*b.schema, pa.field("decoded", pa.binary())]))
+            begin = end
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row; null texts count as empty.
 
@@ -283,19 +355,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ids each have their own result; other columns are ignored.
     """
     shared = _shared(docs.sparkSession, path, pattern)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text"))
-            texts = [t or "" for t in texts.to_pylist()]
-            for begin, end in slices(texts, SLICE):
-                ids, bounds = encoder.encode(texts[begin:end])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")).slice(begin, end - begin), lists], ["doc_id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _encoded(batches, shared), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -304,33 +364,13 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     vocabulary give null."""
     shared = _shared(encoded.sparkSession, path, pattern)
     rows = encoded.drop("decoded")
-    schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        slot = np.full(int(v.ids.max()) + 2, -1, np.int64)
-        slot[v.ids] = np.arange(len(v.ids))
-        tokens = pa.array(v.tokens, pa.binary())
-        for b in batches:
-            lists = b.column(b.schema.get_field_index(ids_col))
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = slot[np.where((ids < 0) | (ids >= len(slot)), -1, ids)]
-            ends = np.append(0, np.cumsum(sizes))
-            unknown = np.append(0, np.cumsum(at < 0))
-            bad = (unknown[ends[1:]] > unknown[ends[:-1]]) | lists.is_null().to_numpy(zero_copy_only=False)
-            begin = 0
-            while begin < len(sizes):  # so many rows at once that their bytes stay bounded
-                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + STRETCH, "right")) - 1)
-                bounds, data = _layout(tokens.take(pa.array(np.maximum(at[ends[begin] : ends[end]], 0))))
-                data = data[: bounds[-1]]
-                whole = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer(bounds[ends[begin : end + 1] - ends[begin]].copy()), pa.py_buffer(data)])
-                if bad[begin:end].any():
-                    whole = pa.compute.if_else(pa.array(bad[begin:end]), pa.scalar(None, pa.binary()), whole)
-                yield pa.RecordBatch.from_arrays([*b.slice(begin, end - begin).columns, whole], schema=pa.schema([*b.schema, pa.field("decoded", pa.binary())]))
-                begin = end
-
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: _decoded(batches, shared, ids_col), StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids and decoded: ``encode`` and ``decode`` of its ids in one pass, under their rules."""
+    shared = _shared(docs.sparkSession, path, pattern)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: _decoded(_encoded(batches, shared), shared, "ids"), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

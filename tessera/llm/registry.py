@@ -68,9 +68,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.digests(bpe.decode(encoded, path, pattern))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

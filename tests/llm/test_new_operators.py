@@ -132,7 +132,8 @@ def test_bpe_matches_the_library_and_decodes(spark, library):
         assert r["doc_id"] == i
         assert r["ids"] == library.encode_ordinary(text or "")
         assert bytes(r["decoded"]) == (text or "").encode()
-    one = bpe.digests(bpe.decode(encoded, RANKS, PATTERN)).filter("doc_id = 0").first()
+    assert bpe.round_trip(docs, RANKS, PATTERN).collect() == got
+    one = bpe.digests(bpe.round_trip(docs, RANKS, PATTERN)).filter("doc_id = 0").first()
     ids = library.encode_ordinary(TEXTS[0])
     assert (one["n_tokens"], one["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert one["decoded_sha256"] == hashlib.sha256(TEXTS[0].encode()).hexdigest()
@@ -146,6 +147,15 @@ def test_bpe_decode_of_odd_ids(spark, library):
     assert bytes(got[1]) == library.decode_bytes([464, 3290]) and bytes(got[3]) == b"" and bytes(got[7]) == library.decode_bytes([198])
 
 
+def test_narrow_pattern_splits_ascii_alike():
+    narrow, whole = bpe.narrowed(PATTERN), bpe.regex.compile(PATTERN)
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(rng.choice(list("ab'stlredvm 1 2\t\n\x1c\x00.!_-"), 60))
+        assert narrow.findall(text) == whole.findall(text)
+    assert bpe.narrowed(r"\w+") is None and bpe.narrowed(r"\p{Lu}") is None
+
+
 def test_perfect_hash_is_minimal_and_heap_merges_like_a_plain_loop():
     v = bpe.read_vocabulary(RANKS, PATTERN)
     keys = bpe.pa.array(v.tokens, bpe.pa.binary())
@@ -156,7 +166,9 @@ def test_perfect_hash_is_minimal_and_heap_merges_like_a_plain_loop():
         assert sorted(bpe.perfect_hash(h).find(h).tolist()) == list(range(n))
     encoder, rng = bpe.Encoder(v), np.random.default_rng(5)
     pieces = [bytes(rng.choice(list(b"abethino \xc3\xa9"), rng.integers(1, 40)).astype(np.uint8)) for _ in range(400)]
-    assert list(encoder.merge(pieces)) == [plain_merge(p, encoder.rank) for p in pieces]
+    for _ in range(3):  # from the heap, from memory, and from the older memory
+        assert [np.frombuffer(x, np.int32).tolist() for x in encoder.merge(pieces)] == [plain_merge(p, encoder.rank) for p in pieces]
+        encoder.recent, encoder.older = {}, encoder.recent
 
 
 # filter audit
