@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import tokens
+from tessera.operators import refine, tokens
 from tessera.plans import tables
 from tessera.plans.registry import Registry
 from tessera.sources import views
+from tessera.sources.scratch import kept
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
@@ -116,3 +117,58 @@ def _refine(spark, sf_dir):
     b = views.quantised(spark, sf_dir).select("image_id", "n", F.get("z", F.lit(0)).alias("v"))
     first = F.shiftright("v", 1)
     return b.select("image_id", "n", first.alias("first"), F.col("v").bitwiseAND(1).alias("bit"), (first - F.lag(first, 1, 0).over(Window.partitionBy("image_id").orderBy("n"))).alias("d"))
+
+
+# Refinement scans of the standard script, from bit 2 to 1 and from 1 to 0.
+REFINEMENTS = ((2, 1), (1, 0))
+
+
+def _refine_sql(signed: bool) -> str:
+    """Tokens by windows over coefficients, one row each; DuckDB text."""
+    size = "v" if signed else "abs(v)"
+    new = "abs(v) >> low = 1" if signed else "(abs(v) >> low) & 1 = 1"
+    # where a place sends: a new value; in the direct form every sixteenth zero as well
+    rank = "sum(CASE WHEN was OR new THEN 0 ELSE 1 END) OVER (PARTITION BY high, image_id, n, gap ORDER BY z)"
+    sends = f"new OR (NOT was AND {rank} % 16 = 0)" if signed else "new"
+    common = f"""{views.duck('qz')}, refinement AS (SELECT * FROM (VALUES {', '.join(map(str, REFINEMENTS))}) AS t(high, low)),
+cell AS MATERIALIZED (SELECT high, image_id, n, z, v, {size} >> high <> 0 AS was, {size} >> high = 0 AND {new} AS new, (abs(v) >> low) & 1 AS bit FROM qz, refinement WHERE z > 0),
+gaps AS MATERIALIZED (SELECT *, coalesce(sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY high, image_id, n ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM cell),
+marked AS (SELECT *, {sends} AS sends FROM gaps),
+groups AS MATERIALIZED (SELECT *, coalesce(sum(CASE WHEN sends THEN 1 ELSE 0 END) OVER (PARTITION BY high, image_id, n ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM marked),
+part AS MATERIALIZED (SELECT high, image_id, n, g, max(CASE WHEN sends THEN z END) AS spot, coalesce(bool_or(new), false) AS new, max(CASE WHEN new THEN sign(v) END) AS sign, count(*) FILTER (NOT was AND NOT sends) AS run, coalesce(string_agg(CAST(bit AS VARCHAR), '' ORDER BY z) FILTER (was), '') AS bits FROM groups GROUP BY ALL),
+tail AS (SELECT high, image_id, n, run > 0 AS zeros, bits AS tail FROM part WHERE spot IS NULL),
+whole AS (SELECT high, image_id, n, bool_or({'sends' if signed else 'was OR new'}) AS content FROM groups GROUP BY ALL),
+b AS MATERIALIZED (SELECT whole.*, coalesce(zeros, false) AS zeros, coalesce(tail, '') AS tail FROM whole LEFT JOIN tail USING (high, image_id, n)),
+"""
+    if signed:
+        own = "own AS (SELECT high, image_id, n, g AS seq, CASE WHEN new THEN run * 16 + 1 ELSE 240 END AS symbol, CASE WHEN new THEN CASE WHEN sign < 0 THEN '0' ELSE '1' END || bits ELSE bits END AS bits FROM part WHERE spot IS NOT NULL),\n"
+        closes = "NOT content AND NOT zeros"
+        runs = f"""s AS (SELECT *, zeros AS takes, {closes} AS closes, content OR coalesce(lag({closes}) OVER (PARTITION BY high, image_id ORDER BY n), false) AS starts FROM b),
+"""
+        bits = "CASE WHEN sum(CASE WHEN takes THEN 1 ELSE 0 END) = 32767 THEN max_by(tail, CASE WHEN takes THEN n END) ELSE coalesce(max(CASE WHEN closes THEN tail END), '') END"
+    else:
+        own = """times AS (SELECT *, unnest(range(run // 16 + 1)) AS i FROM part WHERE spot IS NOT NULL),
+own AS (SELECT high, image_id, n, row_number() OVER (PARTITION BY high, image_id, n ORDER BY spot, i) - 1 AS seq, CASE WHEN i = run // 16 THEN run % 16 * 16 + 1 ELSE 240 END AS symbol, CASE WHEN i = run // 16 THEN CASE WHEN sign < 0 THEN '0' ELSE '1' END ELSE '' END || CASE WHEN i = 0 THEN bits ELSE '' END AS bits FROM times),
+"""
+        runs = """t AS (SELECT *, NOT content OR zeros OR tail <> '' AS takes FROM b),
+s AS (SELECT *, content OR coalesce(lag(content AND (NOT takes OR tail <> '')) OVER (PARTITION BY high, image_id ORDER BY n), false) AS starts FROM t),
+"""
+        bits = "max(tail)"
+    return f"""{common}{own}{runs}segments AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY high, image_id ORDER BY n) AS segment FROM s),
+counted AS (SELECT *, greatest(sum(CASE WHEN takes THEN 1 ELSE 0 END) OVER (PARTITION BY high, image_id, segment ORDER BY n) - 1, 0) // 32767 AS part FROM segments),
+ends AS (SELECT high, image_id, max(CASE WHEN takes THEN n END) AS n, sum(CASE WHEN takes THEN 1 ELSE 0 END) AS run, {bits} AS bits FROM counted GROUP BY high, image_id, segment, part)
+SELECT high, image_id, n, CAST(seq AS INTEGER) AS seq, CAST(symbol AS INTEGER) AS symbol, bits, CAST(0 AS BIGINT) AS extra, 0 AS extra_bits FROM own
+UNION ALL SELECT high, image_id, n, 64, (length(bin(CAST(run AS BIGINT))) - 1) * 16, bits, CAST(run - (1 << (length(bin(CAST(run AS BIGINT))) - 1)) AS BIGINT), length(bin(CAST(run AS BIGINT))) - 1 FROM ends WHERE run > 0"""
+
+
+def _refined(of):
+    def query(spark, sf_dir):
+        b = kept(views.quantised(spark, sf_dir).select("image_id", "n", "z"), "refined-blocks")
+        scans = [of(b, high, low).select(F.lit(high).alias("high"), "image_id", "n", "seq", "symbol", "bits", "extra", "extra_bits") for high, low in REFINEMENTS]
+        return scans[0].unionByName(scans[1])
+
+    return query
+
+
+_R.frame("q_refine_tokens", _refine_sql(False))(_refined(lambda b, high, low: refine.tokens_replayed(b, 1, 63, high, low)))
+_R.frame("q_refine_direct", _refine_sql(True))(_refined(lambda b, high, low: refine.tokens_direct(b, 1, 63, high, low)))
