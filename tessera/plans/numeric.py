@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import colour
 from tessera.functions.colour import num
-from tessera.operators import huffman, rd, tokens, transform, trellis
+from tessera.operators import curves, huffman, rd, tokens, transform, trellis
 from tessera.plans import analysis, rates, tables
 from tessera.plans.scans import script
 from tessera.plans.registry import Registry
@@ -227,30 +227,39 @@ def _refine(spark, sf_dir):
     return b.select("image_id", "n", F.size("runs").alias("new_values"), F.aggregate("runs", F.lit(0), lambda a, r: a + F.floor(r / 16).cast("int")).alias("long_runs"), F.size("old").alias("corrections"), bits.alias("correction_ones"))
 
 
-@_R.frame("q_rd_cluster")
-def _cluster(spark, sf_dir):
-    """Images join the first leader, in order of id, whose curve is near; others lead.
+_NEAR = f"near AS MATERIALIZED (SELECT image_a, image_b, distance FROM {rates._DISTANCE.format(rd_points='rd_points')} AS d WHERE distance < {num(CURVE_SIMILARITY)})"
+
 
-    The distances are summed on Spark and only pairs within the threshold go
-    on. A round settles all images whose nearer-numbered neighbours are
-    settled: it is a leader if none of them leads. Each round's state is a
-    written table, and rounds end when none is left open.
-    """
+def _in_cells(spark, sf_dir):
+    """Points of each image, and its curve of plain points with its cell."""
     points = _kept(rates._points(spark, sf_dir), "rd-points")
-    near = _kept(views.select({"rd_points": points}, f"SELECT image_a, image_b FROM {rates._DISTANCE} AS d WHERE distance < {num(CURVE_SIMILARITY)}"), "rd-near")
-    state = points.select("image_id").distinct().withColumn("leads", F.lit(None).cast("boolean"))
-    while True:
-        before = near.join(state.select(F.col("image_id").alias("image_a"), F.col("leads").alias("known")), "image_a")
-        marks = before.groupBy("image_b").agg(F.max(F.coalesce("known", F.lit(False))).alias("near_leader"), F.max(F.col("known").isNull()).alias("waits"))
-        after = state.join(marks, state["image_id"] == marks["image_b"], "left")
-        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("near_leader", F.lit(False)), False).when(F.coalesce("waits", F.lit(False)), None).otherwise(True)
-        state = _kept(after.select("image_id", leads.alias("leads")), "rd-leaders")
-        if state.filter("leads IS NULL").isEmpty():
-            break
-    leaders = near.join(state.filter("leads").select(F.col("image_id").alias("image_a")), "image_a")
-    joined = leaders.groupBy("image_b").agg(F.min("image_a").alias("first"))
-    size = points.groupBy("image_id").agg(F.sum("bytes").alias("bytes"))
-    out = state.join(joined, state["image_id"] == joined["image_b"], "left").join(size, "image_id").select("image_id", F.when(F.col("leads"), F.col("image_id")).otherwise(F.col("first")).alias("cluster"), "bytes")
+    found = curves.curves_of(points.filter("codec = 'plain'"), "bpp", "metric")
+    return points, _kept(curves.in_cells(found, CURVE_SIMILARITY, 2 * len(rd.QUALITIES)), "rd-curves")
+
+
+@_R.frame("q_rd_near", f"{rates.oracle()}, {_NEAR} SELECT image_a, image_b, round(distance, 6) AS distance FROM near")
+def _near(spark, sf_dir):
+    """All pairs of images whose curves are alike."""
+    pairs = curves.near_pairs(_in_cells(spark, sf_dir)[1], CURVE_SIMILARITY)
+    return pairs.select("image_a", "image_b", F.round("distance", 6).alias("distance"))
+
+
+@_R.frame(
+    "q_rd_cluster",
+    f"""{rates.oracle().replace("WITH ", "WITH RECURSIVE ", 1)}, {_NEAR},
+total AS (SELECT image_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM rd_points GROUP BY image_id),
+turn AS MATERIALIZED (SELECT image_id, row_number() OVER (ORDER BY image_id) AS i, coalesce((SELECT list(image_a) FROM near WHERE image_b = image_id), []) AS before FROM total),
+led AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[]) AS leaders
+  UNION ALL SELECT turn.i, CASE WHEN list_has_any(leaders, before) THEN leaders ELSE list_append(leaders, image_id) END FROM led JOIN turn ON turn.i = led.i + 1),
+last AS (SELECT leaders FROM led ORDER BY i DESC LIMIT 1),
+joined AS (SELECT image_id, CASE WHEN list_contains(leaders, image_id) THEN image_id ELSE list_min(list_filter(before, lambda x: list_contains(leaders, x))) END AS cluster FROM turn, last)
+SELECT image_id, cluster, bytes, row_number() OVER (PARTITION BY cluster ORDER BY bytes, image_id) = 1 AS is_representative FROM joined JOIN total USING (image_id)""",
+)
+def _cluster(spark, sf_dir):
+    """Images join the first leader, in order of id, whose curve is near; others lead."""
+    points, cells = _in_cells(spark, sf_dir)
+    out = curves.clusters(cells, curves.leaders(cells, CURVE_SIMILARITY), CURVE_SIMILARITY)
+    out = out.join(points.groupBy("image_id").agg(F.sum("bytes").alias("bytes")), "image_id")
     best = F.row_number().over(Window.partitionBy("cluster").orderBy("bytes", "image_id"))
     return out.withColumn("is_representative", best == 1)
 
