@@ -57,3 +57,9 @@ WHEN 'butteraugli' THEN CASE WHEN {flat} > 75e0 AND {complexity} < 20e0 AND {bpp
 WHEN 'dssim' THEN CASE WHEN {bpp} < 0.4e0 OR {bpp} > 2.5e0 THEN 'adaptive' ELSE 'trellis' END
 WHEN 'ssimulacra2' THEN CASE WHEN {bpp} >= 0.5e0 AND {bpp} <= 1.5e0 AND {complexity} <= 30e0 THEN 'trellis' ELSE 'adaptive' END
 ELSE 'trellis' END"""
+
+
+def perceptual_number(base: float, d: float, exponent: float, scale: float) -> int:
+    """``perceptual_entry`` of a known distance, as a number."""
+    by_distance = d if d < DISTANCE_BEND else max(0.5 * d, DISTANCE_BEND ** (1 - exponent) * d**exponent)
+    return int(min(255, max(1, int(base * by_distance * scale + 0.5))))
