@@ -63,3 +63,27 @@ def perceptual_number(base: float, d: float, exponent: float, scale: float) -> i
     """``perceptual_entry`` of a known distance, as a number."""
     by_distance = d if d < DISTANCE_BEND else max(0.5 * d, DISTANCE_BEND ** (1 - exponent) * d**exponent)
     return int(min(255, max(1, int(base * by_distance * scale + 0.5))))
+
+
+def scale_distance_number(s: float, exponent: float) -> float:
+    """``scale_distance`` of a known scale."""
+    return s if s < DISTANCE_BEND else min(2 * s, DISTANCE_BEND ** (1 - 1 / exponent) * s ** (1 / exponent))
+
+
+def effective_distance(tables_: list[list[int]], bases: list[list[float]], exponents: list[float], scale: float = GLOBAL_SCALE) -> float:
+    """The distance that three tables stand for: each entry bounds it from both
+    sides; a bound that contradicts those before it is passed over."""
+    low, high = 0.0, 1e4
+    for table, base in zip(tables_, bases, strict=True):
+        for v, b, e in zip(table, base, exponents, strict=True):
+            least = scale_distance_number((v - 0.5) / b / scale, e) if v > 1 else 0.0
+            most = scale_distance_number((v + 0.5) / b / scale, e) if v < 255 else 1e4
+            low = max(low, least) if least <= high else low
+            high = min(high, most) if most >= low else high
+    return high if low == 0 else low if high >= 1e4 else (low + high) / 2
+
+
+def blended(distance: float, low_quality: list[float], high_quality: list[float]) -> list[float]:
+    """Zero-bias multipliers at a distance: those of high quality to 1, those of low quality from 3 on."""
+    share = min(1.0, max(0.0, (distance - 1) / 2))
+    return [share * a + (1 - share) * b for a, b in zip(low_quality, high_quality, strict=True)]

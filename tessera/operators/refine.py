@@ -168,14 +168,15 @@ def _numbered(tokens: Column) -> Column:
     return F.transform(tokens, lambda t, j: _token(j, t["symbol"], t["bits"]))
 
 
-def sliced(tokens: DataFrame, restart: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Restart positions of token tables: keys, slice, begin, length and blocks
-    of every ``restart`` blocks, counted in tokens from the first of the scan.
-
-    Tokens must come from blocks keyed by slice, so that no run goes across a
-    restart. A slice's place is the sum of the lengths before it, so slices can
-    be coded one by one and laid end to end.
+def sliced(tokens: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Restart positions of token tables (keys, slice, n, symbol): keys, slice,
+    begin, length, blocks and the sum of symbols of each slice, counted in tokens
+    from the first of the scan.
+
+    Tokens must come from blocks keyed by slice, so that no difference and no
+    run goes across a restart. A slice begins where the lengths before it end:
+    slices can be coded one by one, anywhere, and laid end to end.
     """
-    counts = tokens.groupBy(*keys, F.floor(F.col("n") / restart).alias("slice")).agg(F.count(F.lit(1)).alias("length"), F.count_distinct("n").alias("blocks"))
+    counts = tokens.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("length"), F.count_distinct("n").alias("blocks"), F.sum("symbol").alias("symbols"))
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("begin", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).select(*keys, "slice", "begin", "length", "blocks")
+    return counts.withColumn("begin", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).select(*keys, "slice", "begin", "length", "blocks", "symbols")

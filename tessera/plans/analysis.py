@@ -142,12 +142,12 @@ def _in_order(x: str, order: str) -> str:
     return f"list_reduce(list({x} ORDER BY {order}), lambda a, b: CAST(a + b AS REAL))"
 
 
-def field_real(first_ac: float) -> str:
+def field_steps(first_ac: float, plane: str = "px") -> str:
+    """The field of the relation ``plane`` (image_id, y, x, v); its own steps stand in a WITH of their own."""
     mul, add = (_r(v) for v in field.dampening(first_ac))
     weights = " + ".join(f"{_r(w)} * a[{i}]" for i, w in enumerate(field.EROSION, 1))
     v = "greatest(fuzzy * " + _r(field.MASK_MUL0) + ", " + _r(np.float32(1e-3)) + ")"
-    return f"""{views.duck('px')},
-near AS (SELECT image_id, y, x, CAST(v AS REAL) AS v, CAST(coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) + coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) AS REAL) AS around FROM px WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+    return f"""WITH near AS (SELECT image_id, y, x, CAST(v AS REAL) AS v, CAST(coalesce(lag(v) OVER r, v) + coalesce(lead(v) OVER r, v) + coalesce(lag(v) OVER c, v) + coalesce(lead(v) OVER c, v) AS REAL) AS around FROM {plane} WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
 diff AS (SELECT image_id, y, x, {_ratio_real(f'(v + {_r(field.MATCH_OFFSET)})', False)} * (v - CAST(0.25 AS REAL) * around) AS d FROM near),
 masked AS (SELECT image_id, y, x, CAST(0.25 AS REAL) * CAST(sqrt(CAST(least(d * d, {_r(field.LIMIT)}) * {_r(field.MASKING)} + {_r(field.MASKING_OFFSET)} AS DOUBLE)) AS REAL) AS m FROM diff),
 col AS (SELECT image_id, y // 4 AS y, x, {_in_order('m', 'y')} AS m FROM masked GROUP BY image_id, y // 4, x),
@@ -155,7 +155,7 @@ cell AS MATERIALIZED (SELECT image_id, y, x // 4 AS x, CAST({_in_order('m', 'x')
 size AS (SELECT image_id, max(y) AS h, max(x) AS w FROM cell GROUP BY image_id),
 nine AS (SELECT c.image_id, c.y, c.x, list_sort(list(o.e)) AS a FROM cell c JOIN size s ON s.image_id = c.image_id, range(-1, 2) AS dy(i), range(-1, 2) AS dx(j), cell o WHERE o.image_id = c.image_id AND o.y = greatest(0, least(s.h, c.y + i)) AND o.x = greatest(0, least(s.w, c.x + j)) GROUP BY c.image_id, c.y, c.x),
 eroded AS (SELECT image_id, y // 2 AS b_y, x // 2 AS b_x, {_in_order('t', 'y, x')} AS fuzzy FROM (SELECT image_id, y, x, CAST({weights} AS REAL) AS t FROM nine) GROUP BY image_id, y // 2, x // 2),
-step AS (SELECT image_id, y, x, v, lead(v) OVER (PARTITION BY image_id, y ORDER BY x) AS e, lead(v) OVER (PARTITION BY image_id, x ORDER BY y) AS s FROM px),
+step AS (SELECT image_id, y, x, v, lead(v) OVER (PARTITION BY image_id, y ORDER BY x) AS e, lead(v) OVER (PARTITION BY image_id, x ORDER BY y) AS s FROM {plane}),
 texture AS (SELECT image_id, y // 8 AS b_y, x // 8 AS b_x, CAST(sum(CASE WHEN x % 8 < 7 THEN abs(v - e) ELSE 0 END + CASE WHEN y % 8 < 7 THEN abs(v - s) ELSE 0 END) AS REAL) AS hf, {_in_order(_ratio_real(f'(CAST(v AS REAL) + {_r(field.GAMMA_BIAS)})', True), 'y, x')} AS ratios FROM step GROUP BY image_id, y // 8, x // 8),
 mask AS (SELECT image_id, b_y, b_x, fuzzy, ratios, hf, ((({_r(field.MASK_BASE)} + {_r(field.MASK_MUL4)} * (CAST(1 AS REAL) / ({v} * {v} + {_r(field.MASK_OFFSET4)}))) + {_r(field.MASK_MUL2)} * (CAST(1 AS REAL) / ({v} + {_r(field.MASK_OFFSET2)}))) + {_r(field.MASK_MUL3)} * (CAST(1 AS REAL) / ({v} * {v} + {_r(field.MASK_OFFSET3)}))) + hf * {_r(field.HF_MUL)} AS o FROM eroded JOIN texture USING (image_id, b_y, b_x)),
 gamma AS (SELECT *, o + {_r(field.GAMMA)} * CAST(log2(CAST(ratios * {_r(field.GAMMA_SCALE)} AS DOUBLE)) AS REAL) AS g FROM mask),
@@ -163,6 +163,10 @@ final AS (SELECT *, CAST(pow(2e0, CAST(g * {_r(field.LOG2_E)} AS DOUBLE)) AS REA
 SELECT image_id, b_y * 8 + b_x AS n, CAST(fuzzy AS DOUBLE) AS fuzzy, CAST(ratios AS DOUBLE) AS ratios, round(CAST(greatest({_r(np.float32(0.6))} / f - CAST(1 AS REAL), CAST(0 AS REAL)) AS DOUBLE), 5) AS aq_strength FROM final"""
 
 
+def field_real(first_ac: float) -> str:
+    return f"{views.duck('px')}, found AS ({field_steps(first_ac)}) SELECT * FROM found"
+
+
 def _field_query(first_ac: float):
     def query(spark, sf_dir):
         found = field.aq_field(views.blocks(spark, sf_dir).select("image_id", "n", "s"), first_ac)

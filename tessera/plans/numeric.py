@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import colour
+from tessera.functions import colour, quality
 from tessera.functions.colour import num
-from tessera.operators import curves, huffman, rd, tokens, transform, trellis
+from tessera.operators import curves, field, huffman, rd, tokens, transform, trellis
 from tessera.plans import analysis, rates, tables
 from tessera.plans.scans import script
 from tessera.plans.registry import Registry
-from tessera.sources import images, jpeg, progressive, views
+from tessera.sources import images, jpeg, limits, progressive, views
 from tessera.sources.scratch import kept as _kept
 from tessera.sources.scratch import shared_dir
 
@@ -135,6 +135,62 @@ def _quantised_by_field(spark, sf_dir):
     size, place = F.transform("z", F.abs), F.transform("z", lambda v, i: v * (i + 1))
     return z.groupBy("image_id", "comp").agg(F.count(F.lit(1)).alias("blocks"), F.sum(fold(size)).alias("total"), F.sum(fold(place)).alias("placed"), F.sum("killed").alias("killed"))
 
+# --- blocks of all components at several qualities: tables from the distance, multipliers blended by the
+# distance that the tables stand for, the 32-bit field of the luma plane
+BLEND_QUALITIES = (30, 75, 95)
+
+
+def _blend_settings(q: int) -> tuple[list[list[int]], list[list[int]], list[list[int]]]:
+    """Tables, multipliers (10^-4) and offsets of a quality by component."""
+    rows = [[r for r in tables.perceptual_rows() if r[0] == i] for i in range(3)]
+    d = 0.1 + (100 - q) * 0.09
+    found = [[quality.perceptual_number(base, d, exponent, tables.GLOBAL_SCALE) for _, _, base, exponent, _, _ in r] for r in rows]
+    effective = quality.effective_distance(found, [[x[2] for x in r] for r in rows], tables.FREQUENCY_EXPONENT)
+    multipliers = [[round(m * 10000) for m in quality.blended(effective, [x[4] for x in r], [x[5] for x in r])] for r in rows]
+    return found, multipliers, _AQ_OFFSETS
+
+
+def _blend_sql() -> str:
+    """Tables, distances and multipliers worked out again in SQL."""
+    entry = f"(qv {{}} 0.5e0) / base / {num(tables.GLOBAL_SCALE)}"
+    bound = lambda sign: quality.scale_distance("(" + entry.format(sign) + ")", "exponent")
+    kept_low = "CASE WHEN b.lo <= a.hi THEN greatest(a.lo, b.lo) ELSE a.lo END"
+    fields = " UNION ALL ".join(f"SELECT {q} AS q, image_id, n, aq_strength FROM ({analysis.field_steps(float(_blend_settings(q)[0][0][1]), 'luma')})" for q in BLEND_QUALITIES)
+    return f"""{views.duck('rgb', 'basis', 'zigzag')}, {tables.values_sql('perceptual', 'c, k, base, exponent, lq, hq', tables.perceptual_rows())},
+chosen AS (SELECT p.*, q, {quality.perceptual_entry('base', 'd', 'exponent')} AS qv FROM perceptual p, (SELECT q, 0.1e0 + (100 - q) * 0.09e0 AS d FROM (VALUES {', '.join(f'({q})' for q in BLEND_QUALITIES)}) AS t(q)) AS d),
+bounds AS (SELECT q, c * 64 + k AS i, CASE WHEN qv > 1 THEN {bound('-')} ELSE 0e0 END AS lo, CASE WHEN qv < 255 THEN {bound('+')} ELSE 1e4 END AS hi FROM chosen),
+narrowed AS (SELECT q, list_reduce(list_prepend({{'i': -1, 'lo': 0e0, 'hi': 1e4}}, list({{'i': i, 'lo': lo, 'hi': hi}} ORDER BY i)), lambda a, b: {{'i': b.i, 'lo': {kept_low}, 'hi': CASE WHEN b.hi >= ({kept_low}) THEN least(a.hi, b.hi) ELSE a.hi END}}) AS r FROM bounds GROUP BY q),
+effective AS (SELECT q, CASE WHEN r.lo = 0 THEN r.hi WHEN r.hi >= 1e4 THEN r.lo ELSE (r.lo + r.hi) / 2 END AS d FROM narrowed),
+setting AS (SELECT c AS comp, k, q, qv, CASE WHEN k = 0 THEN 0 ELSE [{', '.join(str(round(o * transform.BIAS_UNIT)) for o in tables.ZERO_BIAS_OFFSET_AC)}][c + 1] END AS off, CAST(round((lq * {quality.blend('d')} + hq * (1 - {quality.blend('d')})) * 10000) AS BIGINT) AS mul FROM chosen JOIN effective USING (q)),
+planes AS MATERIALIZED ({" UNION ALL ".join(f"SELECT image_id, y, x, {i} AS comp, {e} AS v FROM rgb" for i, e in enumerate(_YCC))}),
+luma AS (SELECT image_id, y, x, v FROM planes WHERE comp = 0),
+part AS (SELECT image_id, comp, planes.y // 8 * 8 + planes.x // 8 AS n, planes.y % 8 AS row, u, sum((v - 128) * w) AS t FROM planes JOIN basis ON basis.x = planes.x % 8 GROUP BY ALL),
+comps AS MATERIALIZED (SELECT image_id, comp, n, b.u * 8 + h.u AS k, CAST(sum(t * w) AS BIGINT) AS c FROM part h JOIN basis b ON b.x = h.row GROUP BY ALL),
+strengths AS MATERIALIZED ({fields}),
+whole AS (SELECT image_id, comp, n, q, z, CAST(abs(c) AS DOUBLE) * 1e9 >= CAST(qv * CAST(67108864 AS BIGINT) AS DOUBLE) * CAST(off + mul * CAST(round(aq_strength * 100000) AS BIGINT) AS DOUBLE) AS reached,
+  CAST(sign(c) AS BIGINT) * ((abs(c) + qv * CAST(33554432 AS BIGINT)) // (qv * CAST(67108864 AS BIGINT))) AS plain FROM comps JOIN setting USING (comp, k) JOIN strengths USING (image_id, n, q) JOIN zigzag USING (k))
+SELECT q, image_id, comp, count(DISTINCT n) AS blocks, CAST(sum(CASE WHEN reached THEN abs(plain) ELSE 0 END) AS BIGINT) AS total, CAST(sum(CASE WHEN reached THEN plain * (z + 1) ELSE 0 END) AS BIGINT) AS placed, CAST(sum(CASE WHEN plain <> 0 AND NOT reached THEN 1 ELSE 0 END) AS BIGINT) AS killed FROM whole GROUP BY q, image_id, comp"""
+
+
+@_R.frame("q_quantize_blended", _blend_sql())
+def _quantised_blended(spark, sf_dir):
+    """Blocks are transformed once and quantised at each quality where they stand."""
+    planes = _kept(transform.dct_blocks(views.component_blocks(spark, sf_dir).withColumn("own", F.when(F.col("comp") == 0, F.col("s")))), "component-coefficients")
+    luma = planes.filter("comp = 0").select("image_id", "n", F.col("own").alias("s"))
+    fold = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+    parts = []
+    for q in BLEND_QUALITIES:
+        found, multipliers, offsets = _blend_settings(q)
+        strength = field.aq_field(luma, float(found[0][1])).select("image_id", "n", F.round(F.col("aq_strength").cast("double"), 5).alias("aq_strength"))
+        b = planes.drop("own").join(_kept(strength, "aq-field"), ["image_id", "n"])
+        for i in range(3):
+            z = transform.quantise_zero_bias(b.filter(F.col("comp") == i), "aq_strength", found[i], multipliers[i], offsets[i])
+            parts.append(z.select(F.lit(q).alias("q"), "image_id", "comp", fold(F.transform("z", F.abs)).alias("total"), fold(F.transform("z", lambda v, j: v * (j + 1))).alias("placed"), "killed"))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("q", "image_id", "comp").agg(F.count(F.lit(1)).alias("blocks"), *[F.sum(c).alias(c) for c in ("total", "placed", "killed")])
+
 
 _KK_75 = [tables.quant_table(t, 75) for t in (tables.ANNEX_K_LUMA, tables.ANNEX_K_CHROMA)]
 
@@ -348,6 +404,30 @@ def _validate(spark, sf_dir):
     checked = jpeg.validated(sides.withColumn("payload", F.expr("CASE WHEN bytes >= 0 THEN CAST(repeat('x', bytes) AS BINARY) END")))
     return checked.select("width", "height", "bytes", "error_code")
 
+# Images whose sides come from the line items; the second arm has sides that outgrow 64 bits and no other limits.
+_SIZES = "SELECT l_partkey * (l_orderkey % 40) * {n} AS width, l_suppkey * (l_orderkey % 800) * {n} AS height, 1 + l_linenumber % 4 AS depth, CASE WHEN l_quantity < 45 THEN l_partkey * (l_orderkey % 40) * l_suppkey * (l_orderkey % 800) * (1 + l_linenumber % 4) WHEN l_quantity < 49 THEN CAST(7 AS BIGINT) END AS payload_bytes FROM {t}"
+_ARMS = (("limited", 1, limits.MOST_SIDE, limits.MOST_PIXELS), ("unlimited", 1_000_000, None, None))
+
+
+def _limits_sql() -> str:
+    big, small = "CAST(width AS HUGEINT) * height", "9223372036854775807"
+    text = []
+    for arm, n, side, pixels in _ARMS:
+        over = "OR width > {0} OR height > {0}".format(side) if side else ""
+        large = f"WHEN {big} > {pixels} THEN 'IMAGE_TOO_LARGE'" if pixels else ""
+        text.append(f"SELECT '{arm}' AS arm, CASE WHEN width < 1 OR height < 1 {over} THEN 'INVALID_DIMENSIONS' WHEN {big} > {small} THEN 'SIZE_OVERFLOW' {large} WHEN {big} * depth > {small} THEN 'SIZE_OVERFLOW' WHEN payload_bytes IS NULL THEN 'MISSING_PAYLOAD' WHEN payload_bytes <> {big} * depth THEN 'WRONG_PAYLOAD_SIZE' END AS error_code, CASE WHEN {big} <= {small} THEN {big} END AS pixels, CASE WHEN {big} <= {small} AND {big} * depth <= {small} THEN {big} * depth END AS bytes FROM ({_SIZES.format(n=n, t='lineitem')})")
+    return "SELECT arm, error_code, count(*) AS images, CAST(coalesce(max(pixels), 0) AS BIGINT) AS most_pixels, CAST(coalesce(max(bytes), 0) AS BIGINT) AS most_bytes, count(bytes) AS sized FROM (" + " UNION ALL ".join(text) + ") GROUP BY arm, error_code"
+
+
+@_R.frame("q_image_limits", _limits_sql())
+def _limits(spark, sf_dir):
+    parts = []
+    for arm, n, side, pixels in _ARMS:
+        sizes = views.select({"t": spark.read.parquet(f"{sf_dir}/lineitem.parquet")}, _SIZES.format(n=n, t="{t}"))
+        parts.append(limits.with_limits(sizes, side, pixels).withColumn("arm", F.lit(arm)))
+    whole = parts[0].unionByName(parts[1])
+    return whole.groupBy("arm", "error_code").agg(F.count(F.lit(1)).alias("images"), *[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(f"most_{c}") for c in ("pixels", "bytes")], F.count("bytes").alias("sized"))
+
 
 _R.rows(
     "q_icc_chunks",

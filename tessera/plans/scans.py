@@ -172,3 +172,19 @@ def _refined(of):
 
 _R.frame("q_refine_tokens", _refine_sql(False))(_refined(lambda b, high, low: refine.tokens_replayed(b, 1, 63, high, low)))
 _R.frame("q_refine_direct", _refine_sql(True))(_refined(lambda b, high, low: refine.tokens_direct(b, 1, 63, high, low)))
+
+
+#: Blocks from one restart to the next.
+RESTART = 5
+
+
+@_R.frame(
+    "q_restart_slices",
+    f"""{views.duck('qz', 'tok')}, cut AS (SELECT image_id, n, n // {RESTART} AS slice, v - lag(v, 1, 0) OVER (PARTITION BY image_id, n // {RESTART} ORDER BY n) AS d FROM qz WHERE z = 0),
+sent AS (SELECT image_id, n, n // {RESTART} AS slice, symbol FROM tok WHERE is_dc = 0 UNION ALL SELECT image_id, n, slice, CASE WHEN d = 0 THEN 0 ELSE length(bin(abs(d))) END FROM cut)
+SELECT image_id, slice, CAST(coalesce(sum(length) OVER (PARTITION BY image_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin, length, blocks, symbols FROM (SELECT image_id, slice, count(*) AS length, count(DISTINCT n) AS blocks, CAST(sum(symbol) AS BIGINT) AS symbols FROM sent GROUP BY ALL)""",
+)
+def _slices(spark, sf_dir):
+    """Where the tokens of each restart interval begin, and what they sum to: intervals are coded apart."""
+    b = views.quantised(spark, sf_dir).select("image_id", "n", "z").withColumn("slice", F.floor(F.col("n") / RESTART))
+    return refine.sliced(tokens.tokens(b, "slice").select("image_id", "slice", "n", "symbol"))
