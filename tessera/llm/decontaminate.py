@@ -5,15 +5,20 @@ seed survives substituted words at ignored places. Documents and benchmark items
 are hashed at every word, and the masks together miss nothing: whichever words
 of a ``WINDOW`` differ, if ``NEEDED`` are equal (in whole items of ten to twelve
 words: three quarters) some mask at some place has only equal ones.
-Seeds are joined by hash; a hit names a diagonal
-(place in the document minus place in the item), and along it the words
-themselves are compared: an overlap counts if some ``WINDOW`` words of the item
-have at least ``NEEDED`` equal to the document's, wherever the others lie.
+Seeds are joined by hash, and a seed may be a stock phrase. So the join looks
+around: each side packs a byte of every word near the seed, seven to a number,
+and a pair holds only if as many bytes are equal as a window must have equal words:
+all windows that hold the seed lie within what is packed.
+What is left names a diagonal (place in the document minus place in the item),
+and along it the words themselves are compared: an overlap counts if some
+``WINDOW`` words of the item have at least ``NEEDED`` equal to the document's,
+wherever the others lie.
 
 On Spark: seeds of documents are produced and probed in one stage against the
 benchmark's, which are broadcast only if they are few; else Spark joins them by
-a shuffle of hashes without texts. Only hit documents are read again for the
-comparison.
+a shuffle of hashes and packed bytes without texts. A phrase that many documents
+and items share costs comparisons of a few numbers within the join, but no
+rows. Only hit documents are read again for the comparison.
 """
 
 from __future__ import annotations
@@ -57,6 +62,35 @@ def _place(masks: tuple[str, ...], stride: int) -> Column:
     return F.expr(f"CAST((CASE {cases} END) * {stride} AS INT)")
 
 
+#: Bytes of one packed number: the eighth stays free, so that no sum of bytes leaves its number.
+PACKED = 7
+_LOW, _HIGH = int("7f" * PACKED, 16), int("80" * PACKED, 16)
+
+
+def _packed(place: Column, before: int, size: int, outside: int) -> list[Column]:
+    """A byte, 1 to 254, for each of ``size`` words of the array h from ``before``
+    words before the place on, ``outside`` beyond its ends; ``PACKED`` to a number.
+    No lambda: this is compiled code, and runs only where a seed is met."""
+    out = []
+    for first in range(0, size, PACKED):
+        whole = F.lit(0).cast("long")
+        for j in range(min(PACKED, size - first)):
+            byte = F.coalesce(F.pmod(F.get("h", place - before + first + j), F.lit(254)) + 1, F.lit(outside).cast("long"))
+            whole = whole.bitwiseOR(F.shiftleft(byte, 8 * j))
+        out.append(whole)
+    return out
+
+
+def _equal_around(ours: list[Column], theirs: list[Column]) -> Column:
+    """How many packed bytes are equal; outside bytes of two sides must differ."""
+    counts = []
+    for a, b in zip(ours, theirs, strict=True):
+        x = a.bitwiseXOR(b)
+        # a byte's high bit stays unset only where all its bits are
+        counts.append(F.bit_count(F.bitwise_not((x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseOR(x)).bitwiseAND(_HIGH)))
+    return sum(counts[1:], counts[0])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, stride: int = STRIDE, window: int = WINDOW, needed: int = NEEDED) -> DataFrame:
     """doc_id, item_id, n_matched and n_words: one row for each document and
     benchmark item that overlap, with the most equal words on one diagonal and
@@ -70,11 +104,23 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     """
     hashed = lambda text: F.transform(words(text), lambda w: F.xxhash64(w))
     items = written(benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), hashed(F.col("text")).alias("h")).filter(F.size("h") >= LEAST_WORDS), "decontaminate-items")
-    of_items = items.select("item_id", F.size("h").alias("n"), F.posexplode(_seeds(masks, 1)).alias("pos", "seed")).select("item_id", "seed", _place(masks, 1).alias("item_at"))
+    before = window - min(map(len, masks))
+    size = before + window
+    names = [f"around_{k}" for k in range(-(-size // PACKED))]
+    around = lambda place, outside: [c.alias(n) for c, n in zip(_packed(place, before, size, outside), names, strict=True)]
+    need = lambda n: F.when(n >= window, F.lit(needed)).otherwise(F.ceil(n * 3 / 4)).cast("int")
+
+    of_items = items.select("item_id", "h", F.size("h").alias("n"), F.posexplode(_seeds(masks, 1)).alias("pos", "seed")).withColumn("item_at", _place(masks, 1))
+    of_items = of_items.select("item_id", "seed", "item_at", need(F.col("n")).alias("need"), *[c.alias(f"item_{c_name}") for c, c_name in zip(_packed(F.col("item_at"), before, size, 255), names, strict=True)])
     of_items = small(written(of_items.distinct(), "decontaminate-seeds"))
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    of_docs = rows.select("doc_id", hashed(F.col("text")).alias("h")).select("doc_id", F.size("h").alias("n"), F.posexplode(_seeds(masks, stride)).alias("pos", "seed"))
-    hits = of_docs.join(of_items, "seed").select("doc_id", "item_id", (_place(masks, stride) - F.col("item_at")).alias("diagonal")).distinct()
+    # seeds are a column of their own before they become rows, so that rows, packed bytes and join are one compiled loop;
+    # outer, since else a filter on their number is inferred, which hashes all words again for each of them
+    of_docs = rows.select("doc_id", hashed(F.col("text")).alias("h")).select("doc_id", "h", F.size("h").alias("n"), _seeds(masks, stride).alias("seeds"))
+    of_docs = of_docs.select("doc_id", "h", "n", F.posexplode_outer("seeds").alias("pos", "seed")).withColumn("at", _place(masks, stride))
+    of_docs = of_docs.select("doc_id", "seed", "at", *around(F.col("at"), 0))
+    met = (of_docs["seed"] == of_items["seed"]) & (_equal_around([of_docs[c] for c in names], [of_items[f"item_{c}"] for c in names]) >= of_items["need"])
+    hits = of_docs.join(of_items, met).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     hits = written(hits, "decontaminate-hits").groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals"))
     hits = small(written(hits, "decontaminate-pairs"), values=F.size("diagonals"))
     near = rows.join(hits, "doc_id").select("doc_id", "item_id", "diagonals", hashed(F.col("text")).alias("d"))
@@ -82,10 +128,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     same = F.transform("h", lambda w, j: F.when(F.get("d", F.col("diagonal") + j) == w, 1).otherwise(0))
     near = near.select("doc_id", "item_id", F.size("h").alias("n_words"), same.alias("same"))
     wide = F.least(F.lit(window), F.col("n_words"))
-    enough = F.when(F.col("n_words") >= window, F.lit(needed)).otherwise(F.ceil(F.col("n_words") * 3 / 4))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    found = F.exists(F.sequence(F.lit(1), F.col("n_words") - wide + 1), lambda i: total(F.slice("same", i, wide)) >= enough)
-    return near.filter(found).groupBy("doc_id", "item_id").agg(F.max(total(F.col("same"))).cast("long").alias("n_matched"), F.max("n_words").cast("long").alias("n_words"))
+    # equal words of the window that ends at each word of the item: one comes in, one goes out
+    ends = F.sequence(F.lit(0), F.col("n_words") - 1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, j: Column) -> Column:
+        now = a["now"] + F.get("same", j) - F.coalesce(F.get("same", j - wide), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    most = F.aggregate(ends, start, step, lambda a: a["most"])
+    total = F.aggregate("same", F.lit(0), lambda x, y: x + y)
+    return near.filter(most >= need(F.col("n_words"))).groupBy("doc_id", "item_id").agg(F.max(total).cast("long").alias("n_matched"), F.max("n_words").cast("long").alias("n_words"))
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

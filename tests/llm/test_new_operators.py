@@ -230,3 +230,59 @@ def test_audit_of_empty_tables_and_other_filters(spark):
 
 def test_new_queries_are_registered():
     assert {"op11_whitening", "op12_bpe", "op13_audit"} <= set(registry.QUERIES) and "op13_audit" in registry.ORACLE_SQL
+
+
+# decontamination around stock phrases
+
+
+def test_stock_phrases_are_no_hits_and_windows_at_ends_are(spark, monkeypatch):
+    """Texts share five-word phrases and nothing else; a true window may stand at
+    the start, the end or the middle of a text, with three words changed."""
+    from tessera.llm import decontaminate
+
+    rng = np.random.default_rng(8)
+    phrases = [[f"p{k}x{j}" for j in range(5)] for k in range(6)]
+
+    def prose(n, own):
+        w = [f"{own}{x}" for x in rng.integers(0, 10_000, n)]
+        for p in phrases:
+            at = int(rng.integers(0, len(w)))
+            w[at:at] = p
+        return w
+
+    items = [(i, prose(30, f"i{i}w")) for i in range(40)]
+    docs = [(i, prose(60, f"d{i}w")) for i in range(80)]
+    want = set()
+    for n, (i, w) in enumerate(items[:12]):
+        window = list(w[n : n + 13])
+        for at in rng.choice(13, 3, replace=False):
+            window[at] = "changed"
+        d = docs[n][1]
+        at = (0, len(d), len(d) // 2)[n % 3]
+        d[at:at] = window
+        want.add((n, i))
+    short = (900, "ten words of a short item stand here all alone".split())
+    items.append(short)
+    docs.append((901, ["x"] + short[1][:4] + ["y"] + short[1][5:] + ["z"]))
+    want.add((901, 900))
+    counted = []
+    keep = decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: (counted.append(x.count()) if name == "decontaminate-hits" else None, x)[1] if (x := keep(df, name)) is not None else x)
+    table = lambda rows, k: spark.createDataFrame([(i, " ".join(w), 1, [0]) for i, w in rows], f"{k} long, text string, seed int, diagonals array<int>")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert want <= got
+    assert counted[0] <= 2 * len(got) + 5  # a few lines, though every phrase is in every text
+
+
+def test_overlaps_with_repeated_ids_and_long_texts(spark):
+    from tessera.llm import decontaminate
+
+    item = [f"b{j}" for j in range(20)]
+    far = [f"w{j}" for j in range(200_000)]
+    docs = [(1, " ".join(far[:50_000] + item + far[50_000:])), (1, "nothing here"), (2, " ".join(item[:13])), (2, " ".join(item[7:])), (None, " ".join(item)), (3, None), (4, "")]
+    table = spark.createDataFrame([(*d, 5, [1]) for d in docs], "doc_id long, text string, leak_id int, diagonals array<int>")
+    bench = spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item)), (None, " ".join(item)), (8, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_matched"]) for r in decontaminate.find_overlaps(table, bench).collect()}
+    assert got == {(1, 7, 20), (2, 7, 13)}
+    left = decontaminate.without_overlaps(table, bench)
+    assert left.columns == table.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 3, 4]
