@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tessera.operators.transform import map_blocks
+from tessera.operators.transform import loeffler_dct, map_blocks
 from tessera.plans.tables import ZIGZAG
 
 _Z = np.array(ZIGZAG)
@@ -150,9 +150,13 @@ def dc_candidates(dc_step: int) -> int:
 
 def trellis_dc(raw: np.ndarray, dc_step: int, lengths: list[int], before: int = 0) -> np.ndarray:
     """DC values of a chain of blocks with the least rate of differences plus weighted error."""
+    return dc_chain(raw[:, 0].astype(np.int64), block_lambda(raw), dc_step, lengths, before)
+
+
+def dc_chain(dc: np.ndarray, weight: np.ndarray, dc_step: int, lengths: list[int], before: int = 0) -> np.ndarray:
+    """As ``trellis_dc``, of the raw DC values (scaled by 8) and the blocks' weights of error."""
     count, q = dc_candidates(dc_step), 8 * dc_step
-    dc = raw[:, 0].astype(np.int64)
-    weight = block_lambda(raw) / dc_step**2
+    weight = weight / dc_step**2
     offsets = np.arange(count) - count // 2
     size, sign = np.abs(dc), np.where(dc < 0, -1, 1)
     near = np.clip(((size + q // 2) // q)[:, None] + offsets, -1023, 1023)
@@ -275,3 +279,50 @@ def empty_in_rows(costs: DataFrame, lengths: list[int], settings: Settings = Set
         return g.assign(emptied=zero_blocks(g["zero_cost"].tolist(), g["skip_cost"].tolist(), g["status"].tolist(), lengths))
 
     return costs.groupBy("image_id", "by", "first").applyInPandas(one, StructType([*costs.schema.fields, StructField("emptied", BooleanType())]))
+
+
+def scaled_table(table: list[int], multiplier: float) -> list[int]:
+    """The table by a block's multiplier, from 1 to 255, halves up."""
+    return [int(min(255, max(1, np.floor(q * multiplier + 0.5)))) for q in table]
+
+
+def choose_ac(blocks: DataFrame, table: list[int], lengths: list[int], settings: Settings = Settings(), deringing: bool = False) -> DataFrame:
+    """image_id, by, bx, z, raw_dc and weight: the first of two passes over
+    blocks (image_id, by, bx, s, multiplier), a narrow stage.
+
+    Samples are deringed if asked to, transformed once, and quantised by the
+    table times the block's multiplier. What the second pass needs of the
+    transform goes with z: the raw DC value and the block's weight of error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = lambda name, b=b: b.column(b.schema.get_field_index(name))
+            s = column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, 64)
+            raw = loeffler_dct(dering(s, table[0]) + 128 if deringing else s)
+            multipliers, z = column("multiplier").to_numpy(zero_copy_only=False), np.zeros((len(raw), 64), np.int64)
+            for m in np.unique(multipliers):
+                own, scaled = multipliers == m, scaled_table(table, m)
+                z[own] = trellis_ac(raw[own], scaled, lengths, settings) if settings.ac else round_to_table(raw[own], np.array(scaled))[:, _Z]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, 64, dtype=np.int32)), pa.array(z.reshape(-1)))
+            keys = [column(c).cast(t) for c, t in (("image_id", pa.int32()), ("by", pa.int64()), ("bx", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*keys, lists, pa.array(raw[:, 0].astype(np.int64)), pa.array(block_lambda(raw, settings.scale_1, settings.scale_2))], ["image_id", "by", "bx", "z", "raw_dc", "weight"])
+
+    return blocks.select("image_id", "by", "bx", "s", "multiplier").mapInArrow(run, "image_id int, by long, bx long, z array<long>, raw_dc long, weight double")
+
+
+def choose_dc(chosen: DataFrame, dc_step: int, lengths: list[int], settings: Settings = Settings()) -> DataFrame:
+    """image_id, by, bx and the final z: the second pass takes the blocks as the
+    first one left them and puts the cheapest chain of DC values in, one chain
+    for each row of blocks, from 0. The step is that of the table itself: a
+    block's multiplier holds for its own rounding only."""
+    if not settings.dc:
+        return chosen.select("image_id", "by", "bx", "z")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("bx")
+        z = np.stack(g["z"].to_numpy())
+        z[:, 0] = dc_chain(g["raw_dc"].to_numpy(), g["weight"].to_numpy(), dc_step, lengths)
+        return g[["image_id", "by", "bx"]].assign(z=list(z))
+
+    return chosen.groupBy("image_id", "by").applyInPandas(one, "image_id int, by long, bx long, z array<long>")

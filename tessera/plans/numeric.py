@@ -250,6 +250,22 @@ def _dc(spark, sf_dir):
     return trellis.quantise_dc_rows(_loeffler(spark, sf_dir), _LUMA_75[0], _DC)
 
 
+def _with_multiplier(blocks):
+    """The multiplier of the plain field, by the spread of a block's samples."""
+    mean = F.aggregate("s", F.lit(0.0), lambda a, v: a + v) / 64
+    spread = F.aggregate("s", F.lit(0.0), lambda a, v: a + v * v) / 64 - mean * mean
+    sd = F.sqrt(F.greatest(spread, F.lit(0.0)))
+    return blocks.withColumn("multiplier", F.when(sd < 5, 1.3).when(sd < 20, 1.0).otherwise(0.8))
+
+
+@_R.frame("q_trellis_blocks")
+def _trellis_blocks(spark, sf_dir):
+    """Final blocks: adaptive table, deringing, one transform, AC values, then the chain of DC values over them."""
+    chosen = trellis.choose_ac(_with_multiplier(views.blocks(spark, sf_dir)), _LUMA_75, _AC, deringing=True)
+    final = trellis.choose_dc(chosen, _LUMA_75[0], _DC)
+    return final.select("image_id", "by", "bx", F.posexplode("z").alias("z", "v")).filter("v <> 0")
+
+
 @_R.frame("q_eob_opt")
 def _eob(spark, sf_dir):
     # a coarse table, so that whole bands are empty
