@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import colour, quality
 from tessera.functions.colour import num
-from tessera.operators import curves, field, huffman, rd, tokens, transform, trellis
+from tessera.operators import arms, curves, field, huffman, rd, tokens, transform, trellis
 from tessera.plans import analysis, rates, tables
 from tessera.plans.scans import script
 from tessera.plans.registry import Registry
@@ -283,6 +283,20 @@ def _dering(spark, sf_dir):
     changed = F.zip_with("copy", "curved", lambda s, c: F.when(s - 128 != c, 1).otherwise(0))
     return b.select("image_id", "n", F.aggregate(changed, F.lit(0), lambda a, x: a + x).alias("changed"), F.array_max("curved").alias("highest"), F.aggregate("curved", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
+@_R.frame("q_dering_ab")
+def _dering_arms(spark, sf_dir):
+    """Both arms at all qualities as CSV by quality, read again; samples reach far, so that there is something to dering."""
+    folder = f"{shared_dir(spark)}/dering-{uuid.uuid4().hex}"
+    arms.write_arms(arms.dering_arms(views.blocks(spark, sf_dir, 900)), folder)
+    back = spark.read.schema(arms.RESULT).option("header", True).option("enforceSchema", False).csv(folder)
+    return back.select("image_id", "quality", "with_bytes", "without_bytes", *[F.round(c, 6).alias(c) for c in ("size_diff_pct", "with_error", "without_error", "error_diff")])
+
+
+@_R.frame("q_dering_ab_summary")
+def _dering_summary(spark, sf_dir):
+    found = arms.summed_up(arms.dering_arms(views.blocks(spark, sf_dir, 900)))
+    return found.select("quality", "image_id", "pairs", F.round("size_diff_pct", 6).alias("size_diff_pct"), F.round("error_diff", 6).alias("error_diff"), "better")
+
 
 @_R.frame("q_ac_refine_tokens")
 def _refine(spark, sf_dir):
