@@ -31,7 +31,38 @@ def _loeffler(spark, sf_dir, gain=views.GAIN):
     return transform.map_blocks(views.blocks(spark, sf_dir, gain), "s", "raw", "long", transform.loeffler_dct)
 
 
-@_R.frame("q_dct_loeffler")
+def _loeffler_pass(source: str, by: str, at: str, first: bool) -> str:
+    """One pass of the integer transform over the eight values ``s`` of each ``by``, as rows of (at, s); DuckDB text."""
+    fix = lambda v: int(v * 8192 + 0.5)
+    half, unit = (1024, 11) if first else (16384, 15)
+    down = lambda e: f"(({e}) + {half}) >> {unit}"
+    flat = lambda e: f"({e}) * 4" if first else f"({e} + 2) >> 2"
+    names = "abcdefgh"
+    row = f"SELECT image_id, n, {by}, " + ", ".join(f"max(CASE WHEN {at} = {i} THEN s END) AS {c}" for i, c in enumerate(names)) + f" FROM {source} GROUP BY image_id, n, {by}"
+    # sums and differences of opposite values
+    sums = f"SELECT image_id, n, {by}, a + h AS s0, b + g AS s1, c + f AS s2, d + e AS s3, a - h AS t0, b - g AS t1, c - f AS t2, d - e AS t3 FROM ({row})"
+    parts = f"SELECT *, ((s1 - s2) + (s0 - s3)) * {fix(0.541196100)} AS z, ((t3 + t1) + (t2 + t0)) * {fix(1.175875602)} AS z5, (t3 + t0) * -{fix(0.899976223)} AS m1, (t2 + t1) * -{fix(2.562915447)} AS m2 FROM ({sums})"
+    parts = f"SELECT *, (t3 + t1) * -{fix(1.961570560)} + z5 AS m3, (t2 + t0) * -{fix(0.390180644)} + z5 AS m4 FROM ({parts})"
+    out = [
+        flat("(s0 + s3) + (s1 + s2)"),
+        down(f"t0 * {fix(1.501321110)} + m1 + m4"),
+        down(f"z + (s0 - s3) * {fix(0.765366865)}"),
+        down(f"t1 * {fix(3.072711026)} + m2 + m3"),
+        flat("(s0 + s3) - (s1 + s2)"),
+        down(f"t2 * {fix(2.053119869)} + m2 + m4"),
+        down(f"z - (s1 - s2) * {fix(1.847759065)}"),
+        down(f"t3 * {fix(0.298631336)} + m1 + m3"),
+    ]
+    return f"SELECT image_id, n, {by}, unnest(range(8)) AS u, unnest([{', '.join(out)}]) AS s FROM ({parts})"
+
+
+_LOEFFLER = f"""{views.duck('px')}, level AS (SELECT image_id, y // 8 * 8 + x // 8 AS n, y % 8 AS y, x % 8 AS x, v - 128 AS s FROM px),
+across AS ({_loeffler_pass('level', 'y', 'x', True)}),
+down AS ({_loeffler_pass('(SELECT image_id, n, u AS v, y, s FROM across)', 'v', 'y', False)})
+SELECT image_id, n, CAST(u * 8 + v AS INTEGER) AS k, s AS c FROM down"""
+
+
+@_R.frame("q_dct_loeffler", _LOEFFLER)
 def _dct(spark, sf_dir):
     return _loeffler(spark, sf_dir).select("image_id", "n", F.posexplode("raw").alias("k", "c"))
 
@@ -69,7 +100,20 @@ def _mse(spark, sf_dir):
     return errors.groupBy("image_id").agg(F.round(mse, 4).alias("mse"), F.round(F.avg(F.abs("e")), 4).alias("mae"), F.round(10 * F.log10(65025 / mse), 4).alias("psnr"))
 
 
-@_R.frame("q_huffman_lengths")
+# The two lightest trees merge until one is left; the log names every symbol once for each merge it takes part in.
+# Lengths are dealt in order, without the longest one of all. At this size no code needs to be shortened to 16 bits.
+_MERGED = f"""{views.duck('tok').replace("WITH ", "WITH RECURSIVE ", 1)},
+hist AS MATERIALIZED (SELECT image_id, is_dc, CAST(symbol AS INTEGER) AS symbol, count(*) AS n FROM tok GROUP BY ALL),
+leaf AS (SELECT * FROM hist UNION ALL SELECT DISTINCT image_id, is_dc, 256, CAST(1 AS BIGINT) FROM hist),
+merge_ AS (SELECT image_id, is_dc, list_sort(list({{'n': CAST(n AS BIGINT), 'place': -symbol, 'members': [symbol]}})) AS trees, CAST([] AS INTEGER[]) AS log FROM leaf GROUP BY image_id, is_dc
+  UNION ALL SELECT image_id, is_dc, list_sort(list_append(trees[3:], {{'n': CAST(trees[1].n + trees[2].n AS BIGINT), 'place': trees[1].place, 'members': list_concat(trees[1].members, trees[2].members)}})), list_concat(log, list_concat(trees[1].members, trees[2].members)) FROM merge_ WHERE len(trees) > 1),
+depth AS MATERIALIZED (SELECT image_id, is_dc, symbol, count(*) AS depth FROM (SELECT image_id, is_dc, unnest(log) AS symbol FROM merge_ WHERE len(trees) = 1) GROUP BY ALL),
+lens AS (SELECT image_id, is_dc, depth AS len, row_number() OVER (PARTITION BY image_id, is_dc ORDER BY depth) AS i FROM depth),
+turn AS (SELECT image_id, is_dc, symbol, row_number() OVER (PARTITION BY image_id, is_dc ORDER BY depth, symbol) AS i FROM depth WHERE symbol < 256),
+coded AS (SELECT image_id, is_dc, symbol, n, CAST(len AS INTEGER) AS len FROM turn JOIN lens USING (image_id, is_dc, i) JOIN hist USING (image_id, is_dc, symbol))"""
+
+
+@_R.frame("q_huffman_lengths", f"{_MERGED} SELECT image_id, is_dc, symbol, n, len FROM coded")
 def _lengths(spark, sf_dir):
     h = tokens.tokens(views.quantised(spark, sf_dir)).groupBy("image_id", "is_dc", "symbol").agg(F.count(F.lit(1)).alias("n"))
     return huffman.optimal_tables(h, "image_id", "is_dc")
@@ -81,7 +125,7 @@ def _floor(spark, sf_dir):
     return huffman.optimal_tables(h, "image_id", "is_dc", lengths=huffman.two_pointer_lengths)
 
 
-@_R.frame("q_size_optimal")
+@_R.frame("q_size_optimal", f"{_MERGED} SELECT image_id, is_dc, count(*) AS symbols, CAST(sum(n * len) AS BIGINT) AS code_bits, 136 + 8 * count(*) AS header_bits FROM coded GROUP BY image_id, is_dc")
 def _size(spark, sf_dir):
     return huffman.table_cost(_lengths(spark, sf_dir), "image_id", "is_dc")
 

@@ -1,8 +1,8 @@
 """JPEG streams: marker segments, entropy-coded scans, and their decoder.
 
-Writing is one group of a grouped-map job per image, as a scan's bits have one
-order; everything before it (transform, quantisation, symbols, histograms, code
-lengths) is done on tables.
+Blocks are transformed and quantised on tables. A stream is then written by one
+group of a grouped-map job per image, symbols, histogram, code lengths and bits
+alike, so an image is bounded by what one task holds (32,768 blocks here).
 """
 
 from __future__ import annotations
