@@ -56,13 +56,13 @@ def _loeffler_pass(source: str, by: str, at: str, first: bool) -> str:
     return f"SELECT image_id, n, {by}, unnest(range(8)) AS u, unnest([{', '.join(out)}]) AS s FROM ({parts})"
 
 
-_LOEFFLER = f"""{views.duck('px')}, level AS (SELECT image_id, y // 8 * 8 + x // 8 AS n, y % 8 AS y, x % 8 AS x, v - 128 AS s FROM px),
+LOEFFLER = f"""{views.duck('px')}, level AS (SELECT image_id, y // 8 * 8 + x // 8 AS n, y % 8 AS y, x % 8 AS x, v - 128 AS s FROM px),
 across AS ({_loeffler_pass('level', 'y', 'x', True)}),
 down AS ({_loeffler_pass('(SELECT image_id, n, u AS v, y, s FROM across)', 'v', 'y', False)})
 SELECT image_id, n, CAST(u * 8 + v AS INTEGER) AS k, s AS c FROM down"""
 
 
-@_R.frame("q_dct_loeffler", _LOEFFLER)
+@_R.frame("q_dct_loeffler", LOEFFLER)
 def _dct(spark, sf_dir):
     return _loeffler(spark, sf_dir).select("image_id", "n", F.posexplode("raw").alias("k", "c"))
 
@@ -102,15 +102,20 @@ def _mse(spark, sf_dir):
 
 # The two lightest trees merge until one is left; the log names every symbol once for each merge it takes part in.
 # Lengths are dealt in order, without the longest one of all. At this size no code needs to be shortened to 16 bits.
-_MERGED = f"""{views.duck('tok').replace("WITH ", "WITH RECURSIVE ", 1)},
-hist AS MATERIALIZED (SELECT image_id, is_dc, CAST(symbol AS INTEGER) AS symbol, count(*) AS n FROM tok GROUP BY ALL),
-leaf AS (SELECT * FROM hist UNION ALL SELECT DISTINCT image_id, is_dc, 256, CAST(1 AS BIGINT) FROM hist),
-merge_ AS (SELECT image_id, is_dc, list_sort(list({{'n': CAST(n AS BIGINT), 'place': -symbol, 'members': [symbol]}})) AS trees, CAST([] AS INTEGER[]) AS log FROM leaf GROUP BY image_id, is_dc
-  UNION ALL SELECT image_id, is_dc, list_sort(list_append(trees[3:], {{'n': CAST(trees[1].n + trees[2].n AS BIGINT), 'place': trees[1].place, 'members': list_concat(trees[1].members, trees[2].members)}})), list_concat(log, list_concat(trees[1].members, trees[2].members)) FROM merge_ WHERE len(trees) > 1),
-depth AS MATERIALIZED (SELECT image_id, is_dc, symbol, count(*) AS depth FROM (SELECT image_id, is_dc, unnest(log) AS symbol FROM merge_ WHERE len(trees) = 1) GROUP BY ALL),
-lens AS (SELECT image_id, is_dc, depth AS len, row_number() OVER (PARTITION BY image_id, is_dc ORDER BY depth) AS i FROM depth),
-turn AS (SELECT image_id, is_dc, symbol, row_number() OVER (PARTITION BY image_id, is_dc ORDER BY depth, symbol) AS i FROM depth WHERE symbol < 256),
-coded AS (SELECT image_id, is_dc, symbol, n, CAST(len AS INTEGER) AS len FROM turn JOIN lens USING (image_id, is_dc, i) JOIN hist USING (image_id, is_dc, symbol))"""
+def _merged(tokens_sql: str, keys: str) -> str:
+    """``coded``: keys, symbol, n and len of the relation ``tok`` (keys, symbol) that ``tokens_sql`` ends with."""
+    return f"""{tokens_sql.replace("WITH ", "WITH RECURSIVE ", 1)},
+hist AS MATERIALIZED (SELECT {keys}, CAST(symbol AS INTEGER) AS symbol, count(*) AS n FROM tok GROUP BY ALL),
+leaf AS (SELECT * FROM hist UNION ALL SELECT DISTINCT {keys}, 256, CAST(1 AS BIGINT) FROM hist),
+merge_ AS (SELECT {keys}, list_sort(list({{'n': CAST(n AS BIGINT), 'place': -symbol, 'members': [symbol]}})) AS trees, CAST([] AS INTEGER[]) AS log FROM leaf GROUP BY {keys}
+  UNION ALL SELECT {keys}, list_sort(list_append(trees[3:], {{'n': CAST(trees[1].n + trees[2].n AS BIGINT), 'place': trees[1].place, 'members': list_concat(trees[1].members, trees[2].members)}})), list_concat(log, list_concat(trees[1].members, trees[2].members)) FROM merge_ WHERE len(trees) > 1),
+depth AS MATERIALIZED (SELECT {keys}, symbol, count(*) AS depth FROM (SELECT {keys}, unnest(log) AS symbol FROM merge_ WHERE len(trees) = 1) GROUP BY ALL),
+lens AS (SELECT {keys}, depth AS len, row_number() OVER (PARTITION BY {keys} ORDER BY depth) AS i FROM depth),
+turn AS (SELECT {keys}, symbol, row_number() OVER (PARTITION BY {keys} ORDER BY depth, symbol) AS i FROM depth WHERE symbol < 256),
+coded AS (SELECT {keys}, symbol, n, CAST(len AS INTEGER) AS len FROM turn JOIN lens USING ({keys}, i) JOIN hist USING ({keys}, symbol))"""
+
+
+_MERGED = _merged(views.duck("tok"), "image_id, is_dc")
 
 
 @_R.frame("q_huffman_lengths", f"{_MERGED} SELECT image_id, is_dc, symbol, n, len FROM coded")
@@ -119,7 +124,15 @@ def _lengths(spark, sf_dir):
     return huffman.optimal_tables(h, "image_id", "is_dc")
 
 
-@_R.frame("q_huffman_lengths_floor")
+# Two queues: of equal counts symbols come before trees, higher symbols first, trees as they were made. No code is too long here.
+_TWO_QUEUES = f"""{views.duck('tok').replace("WITH ", "WITH RECURSIVE ", 1)},
+hist AS MATERIALIZED (SELECT image_id, is_dc, CAST(symbol AS INTEGER) AS symbol, count(*) AS n FROM tok GROUP BY ALL),
+merge_ AS (SELECT image_id, is_dc, 0 AS i, list_sort(list({{'n': CAST(n AS BIGINT), 'tree': 0, 'place': -symbol, 'members': [symbol]}})) AS trees, CAST([] AS INTEGER[]) AS log FROM hist GROUP BY image_id, is_dc
+  UNION ALL SELECT image_id, is_dc, i + 1, list_sort(list_append(trees[3:], {{'n': CAST(trees[1].n + trees[2].n AS BIGINT), 'tree': 1, 'place': i, 'members': list_concat(trees[1].members, trees[2].members)}})), list_concat(log, list_concat(trees[1].members, trees[2].members)) FROM merge_ WHERE len(trees) > 1),
+depth AS (SELECT image_id, is_dc, symbol, count(*) AS depth FROM (SELECT image_id, is_dc, unnest(log) AS symbol FROM merge_ WHERE len(trees) = 1) GROUP BY ALL)"""
+
+
+@_R.frame("q_huffman_lengths_floor", f"{_TWO_QUEUES} SELECT image_id, is_dc, symbol, n, CAST(coalesce(depth, 1) AS INTEGER) AS len FROM hist LEFT JOIN depth USING (image_id, is_dc, symbol)")
 def _floor(spark, sf_dir):
     h = tokens.tokens(views.quantised(spark, sf_dir)).groupBy("image_id", "is_dc", "symbol").agg(F.count(F.lit(1)).alias("n"))
     return huffman.optimal_tables(h, "image_id", "is_dc", lengths=huffman.two_pointer_lengths)
@@ -247,14 +260,13 @@ def _decoded(blocks, restart, luma_sampling=1):
 _PLANE_SUMS = "count(*) AS samples, CAST(sum(abs(v)) AS BIGINT) AS total, CAST(sum(v * (n * 64 + z + 1)) AS BIGINT) AS placed"
 
 
-@_R.frame(
-    "q_jpeg_colour_roundtrip",
-    f"""{views.duck('rgb', 'basis', 'zigzag')}, {tables.values_sql('steps', 'comp, k, q', [(i, k, _KK_75[min(i, 1)][k]) for i in range(3) for k in range(64)])}, planes AS ({" UNION ALL ".join(f"SELECT image_id, y, x, {i} AS comp, {e} AS v FROM rgb" for i, e in enumerate(_YCC))}),
+_COMPONENTS = f"""{views.duck('rgb', 'basis', 'zigzag')}, {tables.values_sql('steps', 'comp, k, q', [(i, k, _KK_75[min(i, 1)][k]) for i in range(3) for k in range(64)])}, planes AS ({" UNION ALL ".join(f"SELECT image_id, y, x, {i} AS comp, {e} AS v FROM rgb" for i, e in enumerate(_YCC))}),
 part AS (SELECT image_id, comp, planes.y // 8 * 8 + planes.x // 8 AS n, planes.y % 8 AS row, u, sum((v - 128) * w) AS t FROM planes JOIN basis ON basis.x = planes.x % 8 GROUP BY ALL),
 comps AS (SELECT image_id, comp, n, b.u * 8 + h.u AS k, CAST(sum(t * w) AS BIGINT) AS c FROM part h JOIN basis b ON b.x = h.row GROUP BY ALL),
-whole AS (SELECT image_id, comp, n, z, CAST(sign(c) AS BIGINT) * ((abs(c) + q * CAST(33554432 AS BIGINT)) // (q * CAST(67108864 AS BIGINT))) AS v FROM comps JOIN steps USING (comp, k) JOIN zigzag USING (k))
-SELECT image_id, comp, {_PLANE_SUMS} FROM whole GROUP BY image_id, comp""",
-)
+whole AS (SELECT image_id, comp, n, z, CAST(sign(c) AS BIGINT) * ((abs(c) + q * CAST(33554432 AS BIGINT)) // (q * CAST(67108864 AS BIGINT))) AS v FROM comps JOIN steps USING (comp, k) JOIN zigzag USING (k))"""
+
+
+@_R.frame("q_jpeg_colour_roundtrip", f"{_COMPONENTS}\nSELECT image_id, comp, {_PLANE_SUMS} FROM whole GROUP BY image_id, comp")
 def _colour(spark, sf_dir):
     z = _decoded(views.quantised_components(spark, sf_dir), 3).select("image_id", "comp", "n", F.posexplode("z").alias("z", "v"))
     return views.select({"whole": z}, f"SELECT image_id, comp, {_PLANE_SUMS} FROM {{whole}} GROUP BY image_id, comp")
@@ -278,7 +290,16 @@ def _clustered(spark, sf_dir):
     return huffman.slot_tables(h, huffman.clustered_slots(h, "image_id", "comp", 2, 2), "image_id", "comp")
 
 
-@_R.frame("q_luma_chroma_tables")
+_COMPONENT_TOKENS = f"""{_COMPONENTS},
+nz AS (SELECT image_id, comp, n, z, v, z - lag(z, 1, 0) OVER (PARTITION BY image_id, comp, n ORDER BY z) - 1 AS run FROM whole WHERE z > 0 AND v <> 0),
+dcs AS (SELECT image_id, comp, v - lag(v, 1, 0) OVER (PARTITION BY image_id, comp ORDER BY n) AS d FROM whole WHERE z = 0),
+tok AS (SELECT image_id, 1 AS is_dc, CASE WHEN comp > 0 THEN 1 ELSE 0 END AS chroma, CASE WHEN d = 0 THEN 0 ELSE length(bin(abs(d))) END AS symbol FROM dcs
+  UNION ALL SELECT image_id, 0, CASE WHEN comp > 0 THEN 1 ELSE 0 END, run % 16 * 16 + length(bin(abs(v))) FROM nz
+  UNION ALL SELECT image_id, 0, CASE WHEN comp > 0 THEN 1 ELSE 0 END, 240 FROM (SELECT image_id, comp, unnest(range(run // 16)) FROM nz)
+  UNION ALL SELECT image_id, 0, CASE WHEN comp > 0 THEN 1 ELSE 0 END, 0 FROM (SELECT image_id, comp, n, max(CASE WHEN v <> 0 THEN z ELSE 0 END) AS last FROM whole GROUP BY ALL) WHERE last < 63)"""
+
+
+@_R.frame("q_luma_chroma_tables", f"{_merged(_COMPONENT_TOKENS, 'image_id, is_dc, chroma')} SELECT image_id, is_dc, chroma, symbol, n, len FROM coded")
 def _luma_chroma(spark, sf_dir):
     return huffman.luma_chroma_tables(_component_histogram(spark, sf_dir), "image_id", "comp")
 
@@ -342,7 +363,12 @@ def _dering_summary(spark, sf_dir):
     return found.select("quality", "image_id", "pairs", F.round("size_diff_pct", 6).alias("size_diff_pct"), F.round("error_diff", 6).alias("error_diff"), "better")
 
 
-@_R.frame("q_ac_refine_tokens")
+@_R.frame(
+    "q_ac_refine_tokens",
+    f"""{views.duck('qz')}, cell AS (SELECT image_id, n, z, v, coalesce(sum(CASE WHEN abs(v) = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, n ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM qz WHERE z > 0),
+gaps AS (SELECT image_id, n, gap, count(*) FILTER (v = 0) AS run, count(*) FILTER (abs(v) = 1) AS new, count(*) FILTER (abs(v) > 1) AS old, count(*) FILTER (abs(v) > 1 AND abs(v) % 2 = 1) AS ones FROM cell GROUP BY ALL)
+SELECT image_id, n, CAST(sum(new) AS INTEGER) AS new_values, CAST(sum(CASE WHEN new > 0 THEN run // 16 ELSE 0 END) AS INTEGER) AS long_runs, CAST(sum(old) AS INTEGER) AS corrections, CAST(sum(ones) AS BIGINT) AS correction_ones FROM gaps GROUP BY image_id, n""",
+)
 def _refine(spark, sf_dir):
     """Refinement from bit 1 to 0: values new at this bit with their runs over
     zeros, a correction bit for each value known before, and runs of blocks

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.plans import tables
+from tessera.plans import numeric, tables
 from tessera.plans.registry import Registry
 from tessera.sources import views
 from tessera.sources.scratch import kept, shared_dir
@@ -17,7 +17,13 @@ _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.oracle
 
 
-@_R.frame("q_band_stream")
+@_R.frame(
+    "q_band_stream",
+    f"""{numeric.LOEFFLER.replace('SELECT image_id, n, CAST(u * 8 + v', ', raw AS (SELECT image_id, n, CAST(u * 8 + v')}), {views.duck('quant').removeprefix('WITH ')},
+z AS (SELECT image_id, n, k, CAST(sign(c) * ((abs(c) + q * 4) // (q * 8)) AS BIGINT) AS v FROM raw JOIN quant USING (k))
+SELECT image_id, CAST(n // 8 AS INTEGER) AS band, CAST(n % 8 AS INTEGER) AS bx, CAST(dc - lag(dc, 1, 0) OVER (PARTITION BY image_id ORDER BY n) AS INTEGER) AS dc, nonzero
+FROM (SELECT image_id, n, max(CASE WHEN k = 0 THEN v END) AS dc, CAST(sum(CASE WHEN k > 0 AND v <> 0 THEN 1 ELSE 0 END) AS INTEGER) AS nonzero FROM z GROUP BY ALL)""",
+)
 def _bands(spark, sf_dir):
     folder = f"{shared_dir(spark)}/bands-{uuid.uuid4().hex}"
     rows = views.pixels(spark, sf_dir).groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]).alias("v"))
