@@ -55,6 +55,14 @@ _R.both(
     f"SELECT image_id, q, approach, approach = 'trellis' AS ac_trellis, approach = 'trellis' AND q < 50 AS dc_trellis, approach = 'adaptive' AS aq, round(CASE WHEN approach = 'adaptive' THEN least(1e0, 0.5e0 + 0.5e0 * luma_complexity + 0.2e0 * edge_density) ELSE 0e0 END, 6) AS aq_strength, approach = 'trellis' AND q < 90 AS progressive FROM ({_RECOMMEND}) AS r WHERE metric = 'butteraugli'",
     "rgb",
 )
+# What each way of coding an image would be set to, whichever is recommended: both ways together take the field at seven tenths.
+_WAYS = "(SELECT 'trellis' AS approach UNION ALL SELECT 'adaptive' UNION ALL SELECT 'hybrid')"
+_FROM_IMAGE = "least(1e0, 0.5e0 + 0.5e0 * luma_complexity + 0.2e0 * edge_density)"
+_R.both(
+    "q_strategy_ways",
+    f"SELECT image_id, q, approach, approach <> 'adaptive' AS ac_trellis, approach = 'trellis' AND q < 50 AS dc_trellis, approach <> 'trellis' AS aq, round(CASE approach WHEN 'adaptive' THEN {_FROM_IMAGE} WHEN 'hybrid' THEN {_FROM_IMAGE} * 0.7e0 ELSE 0e0 END, 6) AS aq_strength, (approach = 'trellis' AND q < 90) OR (approach = 'hybrid' AND q < 80) AS progressive FROM {_STATS} AS s CROSS JOIN {_GRID_Q} AS q CROSS JOIN {_WAYS} AS w",
+    "rgb",
+)
 _R.rows(
     "q_strategy",
     "SELECT strategy, q, CASE WHEN strategy IN ('trellis', 'auto', 'simple') THEN 'trellis' ELSE strategy END AS approach, strategy IN ('trellis', 'auto', 'hybrid') AS ac_trellis, strategy IN ('trellis', 'auto') AND q < 50 AS dc_trellis, (strategy IN ('trellis', 'auto') AND q < 90) OR (strategy = 'hybrid' AND q < 80) AS progressive, strategy <> 'simple' AS optimise_codes, round(CASE WHEN strategy IN ('adaptive', 'hybrid') THEN (CASE WHEN q >= 90 THEN 1e0 WHEN q >= 80 THEN 0.8e0 WHEN q >= 70 THEN 0.6e0 ELSE 0.4e0 END) * (CASE WHEN strategy = 'hybrid' THEN 0.7e0 ELSE 1e0 END) ELSE 0e0 END, 6) AS aq_strength FROM {strategies} CROSS JOIN {qualities}",
