@@ -4,7 +4,7 @@ A refinement scan sends one more bit of every coefficient of a band. A value
 that was known before adds a correction bit; a value that is new at this bit
 gets a symbol with the zeros before it, its sign, and the correction bits that
 wait; blocks that end in zeros join a run of ends. Each block turns into its own
-tokens by array expressions where it stands; what links blocks, the run of
+tokens by one fold over its places where it stands; what links blocks, the run of
 ends with the bits it carries, is a segmented count over windows of an image.
 
 Two ways of sending are in use. ``tokens_replayed`` gathers tokens for a second
@@ -16,6 +16,8 @@ behind the last symbol are sent only by an end that is written at that block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,52 +26,50 @@ LONGEST_RUN = 0x7FFF
 #: Place of a run's end behind the tokens of its last block.
 END = 64
 SIXTEEN_ZEROS = 0xF0
-_TOKEN = "array<struct<seq:int,symbol:int,bits:string>>"
-
-
-class Band:
-    """Conditions on places of the array z (zigzag order) in the band first..last, going from bit ``high`` to ``low``."""
+_TOKENS = "array<struct<symbol:int,bits:string>>"
+#: Codes of places.
+ZERO, KNOWN_0, KNOWN_1, NEW_MINUS, NEW_PLUS = range(5)
 
-    def __init__(self, z: Column, first: int, last: int, high: int, low: int, signed: bool) -> None:
-        self.z, self.first, self.last, self.high, self.low, self.signed = z, first, last, high, low, signed
 
-    def at(self, i: Column) -> Column:
-        return F.get(self.z, i)
+def _codes(z: Column, first: int, last: int, high: int, low: int, signed: bool) -> Column:
+    """What each place of the band first..last of z (zigzag order) is to a scan from
+    bit ``high`` to ``low``: a zero, known before with its bit, or new with its sign.
+    ``signed``: known by the shift of the signed value, which no negative value leaves at 0."""
 
-    def was(self, i: Column) -> Column:
-        """Known before. ``signed``: by the shift of the signed value, which no negative value leaves at 0."""
-        v = self.at(i) if self.signed else F.abs(self.at(i))
-        return F.shiftright(v, self.high) != 0
+    def code(v: Column) -> Column:
+        size = F.shiftright(F.abs(v), low)
+        bit = size.bitwiseAND(1) == 1
+        new = (size == 1) if signed else bit
+        known = F.shiftright(v if signed else F.abs(v), high) != 0
+        return F.when(known, F.when(bit, KNOWN_1).otherwise(KNOWN_0)).when(new, F.when(v < 0, NEW_MINUS).otherwise(NEW_PLUS)).otherwise(ZERO)
 
-    def new(self, i: Column) -> Column:
-        size = F.shiftright(F.abs(self.at(i)), self.low)
-        return ~self.was(i) & ((size == 1) if self.signed else (size.bitwiseAND(1) == 1))
+    return F.transform(F.slice(z, first + 1, last - first + 1), code)
 
-    def between(self, a: Column, b: Column) -> Column:
-        """Places after a and before b."""
-        return F.when(b - a > 1, F.sequence(a + 1, b - 1)).otherwise(F.array().cast("array<int>"))
 
-    def zeros(self, a: Column, b: Column) -> Column:
-        return F.filter(self.between(a, b), lambda i: ~self.was(i) & ~self.new(i))
+def _token(symbol: Column | int, bits: Column) -> Column:
+    return F.struct((F.lit(symbol) if isinstance(symbol, int) else symbol).cast("int").alias("symbol"), bits.alias("bits"))
 
-    def bits(self, a: Column, b: Column) -> Column:
-        """Correction bits between two places, as text."""
-        bit = lambda i: F.shiftright(F.abs(self.at(i)), self.low).bitwiseAND(1).cast("string")
-        return F.array_join(F.transform(F.filter(self.between(a, b), self.was), bit), "")
 
-    def news(self) -> Column:
-        return F.filter(F.sequence(F.lit(self.first), F.lit(self.last)), self.new)
+def _folded(codes: Column, sends: Callable[[Column, Column], Column], sent: Callable[[Column, Column], Column]) -> Column:
+    """One pass over a block's codes: its tokens, the correction bits and the run
+    of zeros behind the last of them, and whether it has known or new values.
+    ``sends`` (state, code): this place sends tokens; ``sent``: which."""
 
-    def sign(self, i: Column) -> Column:
-        return F.when(self.at(i) < 0, "0").otherwise("1")
+    def step(s: Column, c: Column) -> Column:
+        now = sends(s, c)
+        return F.struct(
+            F.when(now, F.concat(s["tokens"], sent(s, c))).otherwise(s["tokens"]).alias("tokens"),
+            F.when(now, "").when(c == KNOWN_1, F.concat(s["bits"], F.lit("1"))).when(c == KNOWN_0, F.concat(s["bits"], F.lit("0"))).otherwise(s["bits"]).alias("bits"),
+            F.when(now, 0).when(c == ZERO, s["run"] + 1).otherwise(s["run"]).alias("run"),
+            (s["values"] | (c != ZERO)).alias("values"),
+        )
 
+    start = F.struct(F.array().cast(_TOKENS).alias("tokens"), F.lit("").alias("bits"), F.lit(0).alias("run"), F.lit(False).alias("values"))
+    return F.aggregate(codes, start, step)
 
-def _token(seq: Column, symbol: Column, bits: Column) -> Column:
-    return F.struct(seq.cast("int").alias("seq"), symbol.cast("int").alias("symbol"), bits.alias("bits"))
 
-
-def _before(places: Column, j: Column, first: int) -> Column:
-    return F.when(j == 0, F.lit(first - 1)).otherwise(F.get(places, j - 1))
+def _sign(c: Column) -> Column:
+    return F.when(c == NEW_MINUS, "0").otherwise("1")
 
 
 def _with_ends(blocks: DataFrame, keys: list[str], starts: Column, ends: Column, run_bits: Column) -> DataFrame:
@@ -90,40 +90,30 @@ def _with_ends(blocks: DataFrame, keys: list[str], starts: Column, ends: Column,
 
 
 def _rows(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    own = blocks.select(*keys, "n", F.explode("tokens").alias("t"))
-    return own.select(*keys, "n", "t.seq", "t.symbol", "t.bits", F.lit(0).cast("long").alias("extra"), F.lit(0).alias("extra_bits"))
+    # by the outer form: for the inner one Spark folds each block again, to filter those without tokens
+    own = blocks.select(*keys, "n", F.posexplode_outer("tokens").alias("seq", "t")).filter("t IS NOT NULL")
+    return own.select(*keys, "n", "seq", "t.symbol", "t.bits", F.lit(0).cast("long").alias("extra"), F.lit(0).alias("extra_bits"))
 
 
 def tokens_replayed(blocks: DataFrame, first: int, last: int, high: int, low: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """keys, n, seq, symbol, bits, extra and extra_bits of every token of a scan
     of the blocks (keys, n, z), in the order of n and seq. Blocks should be a
-    written table: each place of z is looked at several times.
+    written table: tokens and ends of runs each read it.
 
     A block with known or new values closes the run before it; its own tail of
     zeros or bits opens one. A tail with bits stands alone, since the bits of
     one run belong to one block.
     """
-    keys, band = list(keys), Band(F.col("z"), first, last, high, low, signed=False)
-
-    def of_value(i: Column, j: Column) -> Column:
-        before = _before(F.col("news"), j, first)
-        run, bits = F.size(band.zeros(before, i)), band.bits(before, i)
-        long = F.floor(run / 16).cast("int")
-        zrl = lambda m: _token(i - 1, F.lit(SIXTEEN_ZEROS), F.when(m == 1, bits).otherwise(""))
-        longs = F.when(long > 0, F.transform(F.sequence(F.lit(1), F.greatest(long, F.lit(1))), zrl)).otherwise(F.array().cast(_TOKEN))
-        value = _token(i - 1, run % 16 * 16 + 1, F.concat(band.sign(i), F.when(long > 0, "").otherwise(bits)))
-        return F.concat(longs, F.array(value))
-
-    b = blocks.select(*keys, "n", "z", band.news().alias("news"))
-    tail_from, end = F.coalesce(F.try_element_at("news", F.lit(-1)), F.lit(first - 1)), F.lit(last + 1)
-    b = b.select(
-        *keys,
-        "n",
-        _numbered(F.flatten(F.transform("news", of_value))).alias("tokens"),
-        F.exists(F.sequence(F.lit(first), F.lit(last)), lambda i: band.was(i) | band.new(i)).alias("content"),
-        (F.size(band.zeros(tail_from, end)) > 0).alias("zeros"),
-        band.bits(tail_from, end).alias("tail"),
-    )
+    keys = list(keys)
+
+    def sent(s: Column, c: Column) -> Column:
+        value = lambda bits: F.array(_token(s["run"] % 16 * 16 + 1, F.concat(_sign(c), bits)))
+        longs = F.concat(F.array(_token(SIXTEEN_ZEROS, s["bits"])), F.array_repeat(_token(SIXTEEN_ZEROS, F.lit("")), F.floor(s["run"] / 16).cast("int") - 1))
+        return F.when(s["run"] < 16, value(s["bits"])).otherwise(F.concat(longs, value(F.lit(""))))
+
+    folded = _folded(_codes(F.col("z"), first, last, high, low, signed=False), lambda s, c: c >= NEW_MINUS, sent)
+    b = blocks.select(*keys, "n", folded.alias("s"))
+    b = b.select(*keys, "n", "s.tokens", F.col("s.values").alias("content"), (F.col("s.run") > 0).alias("zeros"), F.col("s.bits").alias("tail"))
     order = Window.partitionBy(*keys).orderBy("n")
     takes = ~F.col("content") | F.col("zeros") | (F.col("tail") != "")
     b = b.withColumns({"alone": F.col("content") & (~takes | (F.col("tail") != ""))})
@@ -135,22 +125,14 @@ def tokens_replayed(blocks: DataFrame, first: int, last: int, high: int, low: in
 def tokens_direct(blocks: DataFrame, first: int, last: int, high: int, low: int, runs: bool = True, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """As ``tokens_replayed``, for the coder that writes as it goes. Without
     ``runs`` every block that ends in zeros has an end of its own, with its bits."""
-    keys, band = list(keys), Band(F.col("z"), first, last, high, low, signed=True)
-
-    def sixteenths(a: Column, b: Column) -> Column:
-        return F.filter(band.zeros(a, b), lambda _, j: (j + 1) % 16 == 0)
-
-    stops = F.concat(F.col("news"), F.array(F.lit(last + 1)))
-    sent = F.flatten(F.transform(stops, lambda i, j: F.concat(sixteenths(_before(F.col("news"), j, first), i), F.when(i <= last, F.array(i)).otherwise(F.array().cast("array<int>")))))
+    keys = list(keys)
 
-    def of_place(i: Column, j: Column) -> Column:
-        before = _before(F.col("sent"), j, first)
-        bits, run = band.bits(before, i), F.size(band.zeros(before, i))
-        return F.when(band.new(i), _token(i - 1, run * 16 + 1, F.concat(band.sign(i), bits))).otherwise(_token(i - 1, F.lit(SIXTEEN_ZEROS), bits))
+    def sent(s: Column, c: Column) -> Column:
+        return F.array(F.when(c == ZERO, _token(SIXTEEN_ZEROS, s["bits"])).otherwise(_token(s["run"] * 16 + 1, F.concat(_sign(c), s["bits"]))))
 
-    b = blocks.select(*keys, "n", "z", band.news().alias("news")).withColumn("sent", sent)
-    tail_from, end = F.coalesce(F.try_element_at("sent", F.lit(-1)), F.lit(first - 1)), F.lit(last + 1)
-    b = b.select(*keys, "n", _numbered(F.transform("sent", of_place)).alias("tokens"), (F.size("sent") > 0).alias("content"), (F.size(band.zeros(tail_from, end)) > 0).alias("zeros"), band.bits(tail_from, end).alias("tail"))
+    sends = lambda s, c: (c >= NEW_MINUS) | ((c == ZERO) & (s["run"] == 15))
+    b = blocks.select(*keys, "n", _folded(_codes(F.col("z"), first, last, high, low, signed=True), sends, sent).alias("s"))
+    b = b.select(*keys, "n", "s.tokens", (F.size("s.tokens") > 0).alias("content"), (F.col("s.run") > 0).alias("zeros"), F.col("s.bits").alias("tail"))
     if not runs:
         return _rows(b, keys).unionByName(_with_ends(b, keys, F.lit(True), F.col("zeros"), F.max("tail")))
     # a block of known values alone closes the run before it and gives it its bits
@@ -163,11 +145,6 @@ def tokens_direct(blocks: DataFrame, first: int, last: int, high: int, low: int,
     return _rows(b, keys).unionByName(_with_ends(b, keys, F.col("starts"), F.col("zeros"), F.when(full, last_tail).otherwise(closing)))
 
 
-def _numbered(tokens: Column) -> Column:
-    """Tokens of a block count from 0."""
-    return F.transform(tokens, lambda t, j: _token(j, t["symbol"], t["bits"]))
-
-
 def sliced(tokens: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Restart positions of token tables (keys, slice, n, symbol): keys, slice,
     begin, length, blocks and the sum of symbols of each slice, counted in tokens

@@ -117,3 +117,12 @@ def test_tokens_match_plain_loops(monkeypatch, blocks, images, scan, longest):
 
 def test_no_blocks_give_no_tokens(blocks):
     assert refine.tokens_replayed(blocks.limit(0), 1, 63, 1, 0).count() == 0
+
+
+@pytest.mark.parametrize("tokens", [refine.tokens_replayed, refine.tokens_direct])
+def test_blocks_are_folded_once_for_tokens_and_once_for_ends(spark, blocks, tokens):
+    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 24)
+    plan = tokens(blocks, 1, 63, 1, 0)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.maxPlanStringLength")
+    # a fold has three: the code of a place, the step and what is left at the end
+    assert plan.count("lambdafunction(") == 2 * 3
