@@ -462,7 +462,7 @@ def _dqt(spark, sf_dir):
 @_R.frame("q_png_pixels", f"{views.duck('px')}\nSELECT image_id, y, x, v FROM px")
 def _png(spark, sf_dir):
     """Images coded as PNG and read again."""
-    pixels = images.pixels_of(images.load_images(images.as_pngs(views.blocks(spark, sf_dir).select("image_id", "n", "s"))))
+    pixels = images.read_pixels(images.as_pngs(views.blocks(spark, sf_dir).select("image_id", "n", "s")))
     name = F.regexp_extract("path", r"image-(-?\d+)\.png$", 1).cast("int")
     return pixels.select(name.alias("image_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("r").cast("int").alias("v"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.sources import jpeg
 
 PNG_SIGN = b"\x89PNG\r\n\x1a\n"
+#: Bytes of samples, and pixels as rows, that a task hands on at once, if one image or line does not hold more.
+HANDED_BYTES, HANDED_PIXELS = 1 << 22, 1 << 16
 
 
 def find_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,33 +76,71 @@ def load_images(files: DataFrame) -> DataFrame:
     files: gray is repeated over three channels, alpha is dropped. What cannot
     be read has a null payload and says so."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, data in zip(b["path"], b["content"], strict=True):
-                try:
-                    p = read_png(bytes(data))
-                    rgb = p[..., :3] if p.shape[2] >= 3 else np.repeat(p[..., :1], 3, axis=2)
-                    rows.append((path, rgb.shape[1], rgb.shape[0], rgb.tobytes(), None))
-                except (ValueError, zlib.error) as error:
-                    rows.append((path, None, None, None, f"UNREADABLE: {error}"))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "payload", "error_code"]).astype({"width": "Int32", "height": "Int32"})
+            rows, held = [], 0
+            for path, content in zip(b.column("path"), b.column("content"), strict=True):
+                rows.append(_loaded(path.as_py(), content.as_py()))
+                held += len(rows[-1]["payload"] or b"")
+                if held >= HANDED_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _LOADED)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _LOADED)
+
+    return files.select("path", "content").mapInArrow(run, "path string, width int, height int, payload binary, error_code string")
+
+
+_LOADED = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("payload", pa.binary()), ("error_code", pa.string())])
 
-    return files.select("path", "content").mapInPandas(run, "path string, width int, height int, payload binary, error_code string")
+
+def _loaded(path: str, data: bytes) -> dict:
+    try:
+        p = read_png(data)
+    except (ValueError, zlib.error) as error:
+        return {"path": path, "width": None, "height": None, "payload": None, "error_code": f"UNREADABLE: {error}"}
+    rgb = p[..., :3] if p.shape[2] >= 3 else np.repeat(p[..., :1], 3, axis=2)
+    return {"path": path, "width": rgb.shape[1], "height": rgb.shape[0], "payload": rgb.tobytes(), "error_code": None}
 
 
 def pixels_of(images: DataFrame, channels: int = 3) -> DataFrame:
     """path, y, x and one column for each channel of interleaved payloads."""
+    names = "rgba"[:channels]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, w, h, payload in zip(b["path"], b["width"], b["height"], b["payload"], strict=True):
-                p = np.frombuffer(bytes(payload), np.uint8).reshape(h, w, channels)
-                y, x = np.mgrid[:h, :w]
-                yield pd.DataFrame({"path": path, "y": y.ravel(), "x": x.ravel()} | {c: p[..., i].ravel().astype("int16") for i, c in enumerate("rgba"[:channels])})
+            for path, w, h, payload in zip(*(b.column(c) for c in ("path", "width", "height", "payload")), strict=True):
+                yield from _lines(path, w.as_py(), np.frombuffer(payload.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), channels), names)
+
+    return images.filter("payload IS NOT NULL").select("path", "width", "height", "payload").mapInArrow(run, _pixel_kinds(names))
+
+
+def read_pixels(files: DataFrame) -> DataFrame:
+    """``pixels_of`` the images that ``load_images`` reads, by one worker a task
+    instead of two, with no payload on its way between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path"), b.column("content"), strict=True):
+                image = _loaded(path.as_py(), content.as_py())
+                if image["payload"] is not None:
+                    yield from _lines(path, image["width"], np.frombuffer(image["payload"], np.uint8).reshape(image["height"], image["width"], 3), "rgb")
+
+    return files.select("path", "content").mapInArrow(run, _pixel_kinds("rgb"))
+
+
+def _pixel_kinds(names: str) -> str:
+    return "path string, y int, x int, " + ", ".join(f"{c} smallint" for c in names)
+
 
-    kinds = ", ".join(f"{c} smallint" for c in "rgba"[:channels])
-    return images.filter("payload IS NOT NULL").mapInPandas(run, f"path string, y int, x int, {kinds}")
+def _lines(path: pa.Scalar, width: int, pixels: np.ndarray, names: str) -> Iterator[pa.RecordBatch]:
+    """The pixels of an image as rows, some lines at a time."""
+    step = max(1, HANDED_PIXELS // max(1, width))
+    for top in range(0, len(pixels), step):
+        p = pixels[top : top + step]
+        y, x = np.indices(p.shape[:2], np.int32)
+        planes = [p[..., i].ravel().astype(np.int16) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays([pa.repeat(path, y.size), *(pa.array(a) for a in (y.ravel() + np.int32(top), x.ravel(), *planes))], ["path", "y", "x", *names])
 
 
 def as_pngs(blocks: DataFrame) -> DataFrame:

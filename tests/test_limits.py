@@ -1,5 +1,7 @@
 """Faults of sizes, distances of tables, and slices between restarts."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from tessera import catalogue
 from tessera.functions import quality
 from tessera.operators import refine, tokens
 from tessera.plans import numeric, scans, tables
-from tessera.sources import limits, views
+from tessera.sources import images, limits, views
 
 BIG = 1 << 62
 
@@ -66,3 +68,30 @@ def test_slices_replay_the_scan(spark):
         part = replay[s["begin"] : s["begin"] + s["length"]]
         assert {n // scans.RESTART for n, _ in part} == {s["slice"]} and sum(x for _, x in part) == s["symbols"]
     assert slices[0]["begin"] == 0 and slices[-1]["begin"] + slices[-1]["length"] == len(replay)
+
+
+def test_images_and_pixels_are_handed_on_in_parts(spark, monkeypatch):
+    """Neither all images of a batch nor all pixels of an image leave a task at once."""
+    sides = [(300, 400), (2, 3), (500, 700), (300, 400)]
+    rng = np.random.default_rng(8)
+    pixels = {f"{i}.png": rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for i, (h, w) in enumerate(sides)}
+    files = spark.createDataFrame([(k, bytearray(images.write_png(p))) for k, p in pixels.items()], "path string, content binary")
+    both, read = images.pixels_of(images.load_images(files)), images.read_pixels(files)
+    assert both.count() == sum(h * w for h, w in sides)
+    small = pixels["1.png"]
+    assert {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in both.filter("path = '1.png'").collect()} == {(y, x): tuple(small[y, x].tolist()) for y in range(2) for x in range(3)}
+    assert read.schema == both.schema and read.exceptAll(both).count() == both.exceptAll(read).count() == 0
+    # the functions alone, on one batch of each image four times
+    runs = []
+    kept = type(files).mapInArrow
+    monkeypatch.setattr(type(files), "mapInArrow", lambda df, run, schema: (runs.append(run), kept(df, run, schema))[1])
+    images.pixels_of(images.load_images(files))
+    images.read_pixels(files)
+    load, spread, read_and_spread = runs
+    batch = pa.RecordBatch.from_pylist([{"path": k, "content": images.write_png(p)} for k, p in pixels.items()] * 4)
+    loaded = list(load([batch]))
+    payloads = [sum(len(x) for x in b.column("payload").to_pylist()) for b in loaded]
+    assert sum(map(len, loaded)) == 16 and len(loaded) > 1 and max(payloads) < images.HANDED_BYTES + 500 * 700 * 3
+    for parts in (spread(loaded), read_and_spread([batch])):
+        sizes = [len(b) for b in parts]
+        assert max(sizes) <= images.HANDED_PIXELS and sum(sizes) == 4 * sum(h * w for h, w in sides)
